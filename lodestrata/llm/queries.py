@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extract, media, rollups, url_filter
+from . import extract, jaccard, media, packing, rollups, url_filter
 
-MODULES = (media, extract, url_filter, rollups)
+MODULES = (media, extract, url_filter, rollups, packing, jaccard)
 
 
 def queries() -> dict:
