@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extract, jaccard, media, packing, rollups, url_filter
+from . import decontaminate, extract, jaccard, media, packing, quality, rollups, url_filter
 
-MODULES = (media, extract, url_filter, rollups, packing, jaccard)
+MODULES = (quality, rollups, url_filter, decontaminate, jaccard, packing, media, extract)
 
 
 def queries() -> dict:
