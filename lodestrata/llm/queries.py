@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, jaccard, media, packing, quality, rollups, url_filter
+from . import decontaminate, extract, jaccard, line_dedup, media, packing, quality, rollups, substrings, url_filter
 
-MODULES = (quality, rollups, url_filter, decontaminate, jaccard, packing, media, extract)
+MODULES = (substrings, quality, line_dedup, rollups, url_filter, decontaminate, jaccard, packing, media, extract)
 
 
 def queries() -> dict:
