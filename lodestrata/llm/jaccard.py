@@ -34,20 +34,31 @@ def bands(num: int, den: int, most: int = 2**33) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def layout(tag: int, num: int, den: int) -> tuple[int, int, np.ndarray]:
-    """First-level parts, second-level parts and the subsets to enumerate, for the sets of a tag.
+def layout(tag: int, num: int, den: int) -> tuple[int, int, np.ndarray, int]:
+    """First-level parts, second-level parts, the subsets to enumerate and the least features of a signature, for a tag's sets.
 
     Two linked sets of at most ``hi`` features differ in ``k`` of them at most. With ``n1 * (k2 + 1) > k``
     some first-level part holds ``k2`` differences at most, and so some ``n2 - k2`` of its ``n2`` parts hold none.
+    Where that leaves few features to a signature (thresholds below nine tenths), small sets enumerate more
+    subsets. Large ones leave out signatures of fewer than 2 or 3 features, which unrelated texts share: some
+    half of the parts hold one difference at most, so that over the random division of the domain a link is
+    lost with a probability under 1e-7.
     """
     hi = int(bands(num, den)[tag + 1]) - 1
     k = 2 * hi * (den - num) // (den + num)
-    n1, k2, n2 = (1, k, k + 2) if k <= 5 else (-(-(k + 1) // 2), 1, 3)
+    least = 0
+    if k <= 5:
+        n1, k2, n2 = 1, k, k + 3
+    elif 9 * (den - num) <= den or k > 24:
+        n1, k2, n2 = -(-(k + 1) // 2), 1, 3
+        least = 0 if k <= 24 else 2 if k <= 60 else 3
+    else:
+        n1, k2, n2 = -(-(k + 1) // 5), 4, 8
     chosen = list(combinations(range(n2), n2 - k2))
     subsets = np.zeros((len(chosen), n2), np.uint64)
     for row, own in zip(subsets, chosen):
         row[list(own)] = 1
-    return n1, n2, subsets
+    return n1, n2, subsets, least
 
 
 def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -59,12 +70,17 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
     worth = mix64(h + np.uint64(0x14057B7EF767814F))
     out = []
     for tag in (band, band + 1):
-        n1, n2, subsets = layout(tag, num, den)
+        n1, n2, subsets, least = layout(tag, num, den)
+        cell = ((place >> np.uint64(32)) % np.uint64(n1)) * np.uint64(n2) + (place & np.uint64(0xFFFFFFFF)) % np.uint64(n2)
         cells = np.zeros(n1 * n2, np.uint64)
-        np.add.at(cells, ((place >> np.uint64(32)) % np.uint64(n1)) * np.uint64(n2) + (place & np.uint64(0xFFFFFFFF)) % np.uint64(n2), worth)
+        np.add.at(cells, cell, worth)
         sums = (cells.reshape(n1, 1, n2) * subsets).sum(axis=2, dtype=np.uint64)
         own = np.uint64(tag << 40) + (np.arange(n1, dtype=np.uint64) << np.uint64(12))[:, None] + np.arange(len(subsets), dtype=np.uint64)
-        out.append(mix64(mix64(own) + sums).ravel())
+        found = mix64(mix64(own) + sums)
+        if least:
+            counts = np.bincount(cell.astype(np.int64), minlength=n1 * n2).astype(np.uint64)
+            found = found[(counts.reshape(n1, 1, n2) * subsets).sum(axis=2, dtype=np.uint64) >= least]
+        out.append(found.ravel())
     return np.concatenate(out)
 
 
