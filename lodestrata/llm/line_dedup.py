@@ -113,20 +113,23 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor()
         for batch in batches:
-            for z, spans in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for doc_id, z, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = grow.decompress(z.as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["h"] for s in spans], pa.int64()), pa.array([data[s["start"] : s["stop"]] for s in spans], pa.binary())], ["h", "piece"]
+                    [
+                        pa.array([s["h"] for s in spans], pa.int64()),
+                        pa.array([doc_id] * len(spans), pa.int64()),
+                        pa.array([s["start"] for s in spans], pa.int32()),
+                        pa.array([data[s["start"] : s["stop"]] for s in spans], pa.binary()),
+                    ],
+                    ["h", "first_doc", "first_start", "piece"],
                 )
 
     wanted = repeated.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "first.start", "first.stop")).alias("spans"))
-    pieces = _squeezed(docs).join(wanted, "doc_id").select("z", "spans").mapInArrow(cut, "h long, piece binary")
-    later = found.join(repeated, "h").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).drop("first")
-    return (
-        later.join(pieces, "h")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "stop", "n_lines", "piece")).alias("spans"))
-    )
+    pieces = _squeezed(docs).join(wanted, "doc_id").select("doc_id", "z", "spans").mapInArrow(cut, "h long, first_doc long, first_start int, piece binary")
+    # both sides are read from files, so that adaptive execution can split a chunk that very many documents have
+    later = found.join(stored(pieces, "pieces"), "h").filter((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")))
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "n_lines", "piece")).alias("spans"))
 
 
 def regions(data: bytes, spans: list[dict], min_lines: int, min_words: int) -> list[tuple[int, int, int]]:
