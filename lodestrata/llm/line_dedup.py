@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, stored, table, text_or_empty
-from .shingles import BYTE, powers
+from .shingles import BYTE, CHUNK_BYTES, powers
 
-#: A line ends after a line feed, and after a sentence's end with a space.
-LINE_END = re.compile(rb"\n|[.!?]+ ")
+#: A line ends after a line feed, and after a sentence's end (``.``, ``!`` or ``?``) with a space.
 #: Of so many line hashes in a row, the smallest ends a chunk; so no chunk has more lines.
 WINDOW = 3
 MIN_LINES = 2
@@ -23,49 +22,43 @@ MIN_WORDS = 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def line_bounds(data: bytes) -> np.ndarray:
-    """Offsets 0, the end of each line, and the length."""
-    ends = [m.end() for m in LINE_END.finditer(data)]
-    if not ends or ends[-1] != len(data):
-        ends.append(len(data))
-    return np.array([0, *ends], np.int64)
+def chunks(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Number of its text, hash, start, stop and number of lines of each chunk of several texts.
 
-
-def line_hashes(data: bytes, bounds: np.ndarray) -> np.ndarray:
-    """A rolling polynomial over bytes, cut at the lines' ends."""
+    A line's hash is a polynomial over its bytes. Of each ``window`` line hashes in a row the smallest, the last of
+    equals, ends a chunk, and so does a text's last line; whether a line ends one depends on its
+    neighbours alone, so boundaries move with the text. A chunk's hash is a polynomial over its line hashes.
+    """
+    data = b"".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
     if not len(data):
-        return np.empty(0, np.uint64)
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     b = np.frombuffer(data, np.uint8)
-    lengths = np.diff(bounds)
-    place = np.arange(len(b)) - np.repeat(bounds[:-1], lengths)
-    sums = np.add.reduceat(BYTE[b] * powers(int(lengths.max()))[place], bounds[:-1])
-    return mix64(sums ^ lengths.astype(np.uint64))
-
-
-def chunk_ends(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Numbers of the lines that end a chunk: the smallest hash of each ``window`` in a row, the last of equals, and the last line.
-
-    Whether a line ends a chunk depends on its neighbours alone, so boundaries move with the text.
-    """
-    if len(h) <= window:
-        return np.array([len(h) - 1], np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
-    least = np.arange(len(rows)) + window - 1 - rows.argmin(axis=1)
-    return np.unique(np.append(least, len(h) - 1))
-
-
-def chunks(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start, stop and number of lines of each chunk of a text."""
-    bounds = line_bounds(data)
-    h = line_hashes(data, bounds)
-    if not len(h):
-        return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
-    ends = chunk_ends(h, window)
-    first = np.concatenate([[0], ends[:-1] + 1])
-    # the polynomial over the chunk's line hashes
-    place = np.arange(len(h)) - np.repeat(first, ends - first + 1)
-    keys = mix64(np.add.reduceat(h * powers(int(place.max()) + 1)[place], first) + (ends - first + 1).astype(np.uint64))
-    return keys, bounds[first], bounds[ends + 1], ends - first + 1
+    ends_line = b == 10
+    ends_line[1:] |= (b[1:] == 32) & ((b[:-1] == 46) | (b[:-1] == 33) | (b[:-1] == 63))
+    ends_line[(begin + sizes)[sizes > 0] - 1] = True
+    stop = np.nonzero(ends_line)[0] + 1
+    start = np.concatenate([[0], stop[:-1]])
+    # a space that begins a text ends no line, whatever ends the text before it
+    lead = np.isin(stop, begin[sizes > 0] + 1) & (b[stop - 1] == 32) & ~np.isin(stop, (begin + sizes))
+    if lead.any():
+        stop, start = stop[~lead], start[np.append(True, ~lead[:-1])]
+    lengths = stop - start
+    place = np.arange(len(b)) - np.repeat(start, lengths)
+    h = mix64(np.add.reduceat(BYTE[b] * powers(int(lengths.max()))[place], start) ^ lengths.astype(np.uint64))
+    owner = np.searchsorted(begin, start, side="right") - 1
+    last = np.append(np.nonzero(np.diff(owner))[0], len(h) - 1)
+    if len(h) >= window:
+        rows = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
+        least = np.arange(len(rows)) + window - 1 - rows.argmin(axis=1)
+        last = np.unique(np.append(least[owner[window - 1 :] == owner[: len(rows)]], last))
+    first = np.concatenate([[0], last[:-1] + 1])
+    n = last - first + 1
+    place = np.arange(len(h)) - np.repeat(first, n)
+    keys = mix64(np.add.reduceat(h * powers(int(place.max()) + 1)[place], first) + n.astype(np.uint64))
+    own = owner[first]
+    return own, keys, start[first] - begin[own], stop[last] - begin[own], n
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -85,15 +78,18 @@ def chunk_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [chunks(x.as_py(), window) for x in part.column(1)]
-                ids = np.repeat(part.column(0).to_numpy(), [len(x[0]) for x in found])
-                own = [np.concatenate([x[k] for x in found]) for k in range(4)]
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            i = 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size + len(texts[j]) < CHUNK_BYTES):
+                    size += len(texts[j])
+                    j += 1
+                own, keys, *places = chunks(texts[i:j], window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[0].astype(np.int64)), pa.array(ids), pa.array(own[1].astype(np.int32)), pa.array(own[2].astype(np.int32)), pa.array(own[3].astype(np.int32))],
-                    ["h", "doc_id", "start", "stop", "n_lines"],
+                    [pa.array(keys.astype(np.int64)), pa.array(ids[i:j][own]), *(pa.array(x.astype(np.int32)) for x in places)], ["h", "doc_id", "start", "stop", "n_lines"]
                 )
+                i = j
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     return rows.mapInArrow(run, "h long, doc_id long, start int, stop int, n_lines int")
