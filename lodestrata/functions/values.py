@@ -34,9 +34,9 @@ def run_status(interrupted: Column, n_issues: Column) -> Column:
 
 def usage_cost(tokens: Column, model: Column, rates: dict[str, str]) -> Column:
     """Exact price of ``tokens`` at ``rates`` for a million; null for an unknown model or unknown usage."""
-    rate = F.lit(None).cast("decimal(18,6)")
+    rate = F.lit(None).cast("decimal(10,6)")
     for name, price in rates.items():
-        rate = F.when(model == name, F.lit(price).cast("decimal(18,6)")).otherwise(rate)
+        rate = F.when(model == name, F.lit(price).cast("decimal(10,6)")).otherwise(rate)
     return (tokens.cast("decimal(18,0)") * rate * F.lit("0.000001").cast("decimal(7,6)")).cast(MONEY)
 
 
