@@ -207,3 +207,31 @@ def test_registry():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert len(queries) > 100 and set(sql) <= set(queries)
+
+
+def test_sources(spark, tmp_path):
+    from lodestrata.sources import files as R
+
+    (tmp_path / "tree" / "a").mkdir(parents=True)
+    (tmp_path / "tree" / "a" / "b.txt").write_bytes(b"\xef\xbb\xbfhi")
+    (tmp_path / "tree" / "c.bin").write_bytes(b"\xff\x00")
+    got = {r.path: (r.bytes, r.source) for r in R.snapshot(R.scan_files(spark, str(tmp_path / "tree"))).collect()}
+    assert got == {"a/b.txt": (5, "\ufeffhi"), "c.bin": (2, None)}
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "good.jsonl").write_text('{"kind": "start", "requestId": "1"}\n\n{"kind": "end", "status": 200}\n')
+    (tmp_path / "logs" / "bad.jsonl").write_text('{"kind": "start"}\n{"kind": \n')
+    rows = R.read_event_log(spark, str(tmp_path / "logs")).collect()
+    assert sorted((r.kind, r.valid) for r in rows if r.kind) == [("end", True), ("start", False), ("start", True)]
+    (tmp_path / "r.json").write_text('{"id": 1,\n "rows": [{"task": "t", "cost": null}, {"task": "u", "cost": 1.5}]}')
+    assert [(r.task, r.cost) for r in R.read_results(spark, str(tmp_path / "r.json")).collect()] == [("t", None), ("u", 1.5)]
+
+
+def test_declarations(spark):
+    from lodestrata.operators import declarations as D
+
+    assert D.mro({"A": ["B", "C"], "B": ["D"], "C": ["D"], "D": []}, "A") == ["A", "B", "C", "D"]
+    assert D.mro({"A": ["B"], "B": ["A"]}, "A") is None
+    source = "class X:\n    def m(self): pass\n    def m(self): pass\nclass Y(Z, X):\n    def n(self): return self.m()\nclass P:\n    def q(self): pass\nclass Q(Z, P):\n    async def r(self): self.q()\n"
+    df = spark.createDataFrame([("a.py", source), ("b.py", "def ("), ("c.py", None)], "path string, source string")
+    assert [tuple(r) for r in D.inherited_calls(df).collect()] == [("a.py", "Q.r", "q", "?")]
+    assert [(r.path, r.kind) for r in D.python_units(df).filter("path <> 'a.py'").collect()] == [("b.py", "text")]
