@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import stored, table, text_or_empty
 
 KEYS = ("source", "lang", "tokenizer")
 MEASURES = ("n_docs", "n_tokens")
@@ -27,14 +27,14 @@ def pieces(text: Column) -> Column:
 TOKENIZERS = {"words-1": words, "pieces-2": pieces}
 
 
-def count_tokens(docs: DataFrame, tokenizers=TOKENIZERS) -> DataFrame:
-    """``(doc_id, source, lang, tokenizer, n_tokens)``: the tokens of every whole text under each version.
+def count_tokens(docs: DataFrame, tokenizers=TOKENIZERS, keep: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, source, lang, *keep, tokenizer, n_tokens)``: the tokens of every whole text under each version.
 
     ``tokenizers`` maps a version to a function from a text column to a count. A null text
     has no tokens; null sources and languages are groups of their own.
     """
     counted = F.array(*[F.struct(F.lit(name).alias("tokenizer"), f(text_or_empty()).alias("n_tokens")) for name, f in tokenizers.items()])
-    return docs.select("doc_id", "source", "lang", F.inline(counted))
+    return docs.select("doc_id", "source", "lang", *keep, F.inline(counted))
 
 
 def signed(batch_id: int, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
@@ -99,11 +99,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", text_or_empty().alias("text"))
     tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    changed = docs.filter(F.col("text") != tidy)
+    forms = docs.withColumn("tidy", tidy).select(
+        "doc_id", "source", "lang", (F.col("text") != F.col("tidy")).alias("changed"), F.posexplode(F.array("text", "tidy")).alias("revised", "text")
+    )
+    # each form of a text is counted once; the batches share the written counts
+    counts = stored(count_tokens(forms, keep=("changed", "revised")), "counts")
+    old, new = counts.filter("revised = 0"), counts.filter("revised = 1")
     bad = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    first = signed(1, inserts=count_tokens(docs))
-    second = signed(2, inserts=count_tokens(changed.withColumn("text", tidy)), deletes=count_tokens(changed))
-    third = signed(3, deletes=count_tokens(docs.withColumn("text", tidy)).join(bad, "doc_id", "left_semi"))
+    first = signed(1, inserts=old)
+    second = signed(2, inserts=new.filter("changed"), deletes=old.filter("changed"))
+    third = signed(3, deletes=new.join(bad, "doc_id", "left_semi"))
     return totals(committed([first, second, second, third]))
 
 
