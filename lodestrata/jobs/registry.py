@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounting_queries, eligibility_queries, evidence_queries, retrieval_queries, source_queries, span_queries, streaming_queries, text_queries
+from . import accounting_queries, eligibility_queries, evidence_queries, preview_queries, retrieval_queries, source_queries, span_queries, streaming_queries, text_queries
 
-MODULES = (eligibility_queries, text_queries, span_queries, retrieval_queries, evidence_queries, accounting_queries, streaming_queries, source_queries)
+MODULES = (eligibility_queries, text_queries, span_queries, retrieval_queries, evidence_queries, accounting_queries, streaming_queries, source_queries, preview_queries)
 
 
 def queries() -> dict:

@@ -235,3 +235,16 @@ def test_declarations(spark):
     df = spark.createDataFrame([("a.py", source), ("b.py", "def ("), ("c.py", None)], "path string, source string")
     assert [tuple(r) for r in D.inherited_calls(df).collect()] == [("a.py", "Q.r", "q", "?")]
     assert [(r.path, r.kind) for r in D.python_units(df).filter("path <> 'a.py'").collect()] == [("b.py", "text")]
+
+
+def test_preview(spark):
+    from lodestrata.operators import preview as V
+
+    lines = b"import x\n".split(b"\n")[:1] + [b"y"] * 50 + [b"def target():", b"    pass"] + [b"z"] * 50
+    spans_ = V.preview_lines(lines, {"target"}, 200)
+    assert spans_[0][:2] == ("opening", 0) and any(b == "query" and a <= 51 <= e for b, a, e in spans_)
+    assert sum(len(lines[i]) + 1 for _, a, e in spans_ for i in range(a, e + 1)) <= 200
+    assert V.preview_lines([b"x" * 500], set(), 100) == []
+    V.register_preview(spark)
+    got = spark.sql("SELECT p.* FROM VALUES ('a\nclass C7:\nx\n') t(source), LATERAL preview_spans(source, 'C7', 40) p").collect()
+    assert [tuple(r) for r in got] == [("opening", 1, 1), ("query", 2, 4)]
