@@ -19,8 +19,8 @@ def lines(spark, sf_dir):
     return S.line_index(files(spark, sf_dir))
 
 
-def _events(*cols):
-    return lambda s, d: table(s, d, "events").select("event_id", *cols)
+def _events(col):
+    return lambda s, d: table(s, d, "events").select("event_id", col())
 
 
 RATES = {"click": "0.042", "view": "1.25"}
@@ -43,7 +43,7 @@ QUERIES = {
         "WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part), n AS (SELECT p_partkey, c, count(*) AS k FROM c GROUP BY ALL), t AS (SELECT p_partkey, sum(k) AS n FROM n GROUP BY ALL) SELECT p_partkey, round(-sum(k / n * log2(k / n)), 9) AS bits FROM n JOIN t USING (p_partkey) GROUP BY p_partkey",
     ),
     "p10_request_digest": (
-        _events(V.request_digest(F.lit("ns"), F.col("event_type")).alias("digest")),
+        _events(lambda: V.request_digest(F.lit("ns"), F.col("event_type")).alias("digest")),
         """SELECT event_id, sha256('{"schema":1,"namespace":"ns","request":"' || event_type || '"}') AS digest FROM events""",
     ),
     "p11_unit_value": (
@@ -51,10 +51,10 @@ QUERIES = {
         "SELECT l_orderkey, l_linenumber, greatest(least(l_discount * 10, l_tax * 10), coalesce(CASE WHEN l_quantity > 40 THEN l_quantity / 100 END, 0)) AS value FROM lineitem",
     ),
     "p12_role_labels": (
-        _events(F.array_join(V.role_labels(F.create_map(F.col("event_type"), F.col("value") / 50, F.lit("owner"), F.col("value") / 25, F.lit("priority"), F.lit(1.0))), ",").alias("roles")),
+        _events(lambda: F.array_join(V.role_labels(F.create_map(F.col("event_type"), F.col("value") / 50, F.lit("owner"), F.col("value") / 25, F.lit("priority"), F.lit(1.0))), ",").alias("roles")),
         "SELECT event_id, coalesce(array_to_string(list_sort(list_filter([CASE WHEN value / 50 > 0.5 THEN event_type END, CASE WHEN value / 25 > 0.5 THEN 'owner' END], lambda x: x IS NOT NULL)), ','), '') AS roles FROM events",
     ),
-    "p13_quote_label": (_events(T.quote_label(F.col("event_type")).alias("label")), """SELECT event_id, '"' || event_type || '"' AS label FROM events"""),
+    "p13_quote_label": (_events(lambda: T.quote_label(F.col("event_type")).alias("label")), """SELECT event_id, '"' || event_type || '"' AS label FROM events"""),
     "p14_human_size": (
         lambda s, d: files(s, d).select("path", T.human_size(F.col("bytes")).alias("size")),
         f"WITH {FILES} SELECT path, CASE WHEN bytes < 1024 THEN bytes || ' B' ELSE printf('%.1f KiB', floor(bytes / 1024.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM files",
@@ -64,27 +64,27 @@ QUERIES = {
         f"WITH {FILES} SELECT path, CAST(greatest(3, coalesce(list_max(list_transform(regexp_extract_all(source, '[`$]+'), lambda x: length(x))), 0) + 1) AS INT) AS fence FROM files",
     ),
     "p16_run_status": (
-        _events(V.run_status(F.col("event_type") == "error", F.col("user_id") % 3).alias("status")),
+        _events(lambda: V.run_status(F.col("event_type") == "error", F.col("user_id") % 3).alias("status")),
         "SELECT event_id, CASE WHEN event_type = 'error' THEN 'interrupted' WHEN user_id % 3 > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM events",
     ),
     "p17_usage_cost": (
-        _events(V.usage_cost(F.col("user_id") * 1000, F.col("event_type"), RATES).alias("cost")),
+        _events(lambda: V.usage_cost(F.col("user_id") * 1000, F.col("event_type"), RATES).alias("cost")),
         "SELECT event_id, CAST(CAST(user_id * 1000 AS DECIMAL(18,0)) * CASE event_type WHEN 'click' THEN 0.042 WHEN 'view' THEN 1.25 END * 0.000001 AS DECIMAL(38,12)) AS cost FROM events",
     ),
     "p18_answer_is_fresh": (
-        _events(V.answer_is_fresh(F.col("ts"), F.expr(_NOW)).alias("fresh")),
+        _events(lambda: V.answer_is_fresh(F.col("ts"), F.expr(_NOW)).alias("fresh")),
         f"SELECT event_id, ts <= {_NOW} AND epoch_us({_NOW}) - epoch_us(ts) < 604800000000 AS fresh FROM events",
     ),
     "p19_cooldown_end": (
-        _events(V.cooldown_end(F.col("ts"), F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).when(F.col("user_id") % 3 == 0, "Wed, 21 Feb 2024 07:28:00 GMT").otherwise("soon")).cast("timestamp_ntz").alias("until")),
+        _events(lambda: V.cooldown_end(F.col("ts"), F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).when(F.col("user_id") % 3 == 0, "Wed, 21 Feb 2024 07:28:00 GMT").otherwise("soon")).cast("timestamp_ntz").alias("until")),
         "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN ts + to_microseconds(user_id * 1000000) WHEN user_id % 3 = 0 AND timestamp '2024-02-21 07:28:00' > ts THEN timestamp '2024-02-21 07:28:00' ELSE ts + INTERVAL 1 SECOND END AS until FROM events",
     ),
     "p20_usage_field": (
-        _events(V.usage_field(F.col("props"), ("input_tokens", "k")).alias("k")),
+        _events(lambda: V.usage_field(F.col("props"), ("input_tokens", "k")).alias("k")),
         "SELECT event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k FROM events",
     ),
     "p21_redact": (
-        _events(T.redact(F.concat(F.col("props"), F.lit("\t"), F.col("event_type")), F.col("event_type")).alias("message")),
+        _events(lambda: T.redact(F.concat(F.col("props"), F.lit("\t"), F.col("event_type")), F.col("event_type")).alias("message")),
         "SELECT event_id, left(replace(props || ' ' || event_type, event_type, '[redacted]'), 500) AS message FROM events",
     ),
     "g3_block_units": (
@@ -111,7 +111,7 @@ QUERIES = {
         f"WITH {_LINES} SELECT path, line_no, CAST(sum(CASE WHEN regexp_matches(line, '\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS nonblank FROM lines",
     ),
     "u1_type_set": (
-        _events(F.array_join(V.type_set(F.array(F.col("event_type"), F.lit("code"), F.lit("docs"), F.lit("code")), F.array(F.lit("error"), F.lit("docs"))), ",").alias("types")),
+        _events(lambda: F.array_join(V.type_set(F.array(F.col("event_type"), F.lit("code"), F.lit("docs"), F.lit("code")), F.array(F.lit("error"), F.lit("docs"))), ",").alias("types")),
         "SELECT event_id, array_to_string(list_sort(list_filter(list_distinct([event_type, 'code']), lambda x: x <> 'error')), ',') AS types FROM events",
     ),
 }
