@@ -141,7 +141,7 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     ids, texts, size = [], [], 0
             yield met(ids, shingle_sets(texts, n))
 
-    rows = _bytes(docs).mapInArrow(run, "sig long, u long, v long")
+    rows = _bytes(docs).filter("doc_id is not null").mapInArrow(run, "sig long, u long, v long")
     # one exchange by signature; local pairs pass under their own ends
     keyed = rows.select(F.when(F.col("v").isNull(), F.col("sig")).otherwise(F.xxhash64("u", "v")).alias("sig"), "u", "v")
     least = F.min("u").over(W.partitionBy("sig", F.col("v").isNull()))
@@ -273,8 +273,9 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: i
     Sets are of ``n``-word shingles; a text of fewer words is one shingle, and one without
     words (or null) is empty and linked with nothing. Documents with equal sets are one class,
     of which one document is compared. Signatures give candidates and candidate components;
-    within these, each pair of classes that can link is met exactly. ``doc_id`` is unique.
-    Columns beside ``doc_id`` and ``text`` are ignored.
+    within these, each pair of classes that can link is met exactly. A row with a null
+    ``doc_id`` links with nothing and has a null component; repeated rows give equal rows. Columns beside
+    ``doc_id`` and ``text`` are ignored.
     """
     sizes = stored(set_sizes(docs, n), "sizes")
     filled = sizes.filter("n_shingles > 0")

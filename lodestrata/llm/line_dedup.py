@@ -91,7 +91,7 @@ def chunk_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 )
                 i = j
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     return rows.mapInArrow(run, "h long, doc_id long, start int, stop int, n_lines int")
 
 
@@ -132,6 +132,8 @@ def regions(data: bytes, spans: list[dict], min_lines: int, min_words: int) -> l
     """``(start, stop, lines)`` of the runs of adjacent spans whose bytes equal the earlier ones' and that are long enough."""
     out: list[list[int]] = []
     for s in sorted(spans, key=lambda s: s["start"]):
+        if out and s["start"] < out[-1][1]:  # a repeated row's
+            continue
         if data[s["start"] : s["stop"]] != s["piece"]:
             continue
         if out and out[-1][1] == s["start"]:
@@ -147,7 +149,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINE
 
     ``kept`` is the whole text without the runs of repeated chunks that have ``min_lines`` lines
     and ``min_words`` words at least. The earliest of equal chunks stays, so nothing is lost from the
-    corpus. A null or empty text is kept as an empty one. ``doc_id`` is unique; other columns are ignored.
+    corpus. A null or empty text is kept as an empty one. A row with a null ``doc_id`` is kept whole and
+    compared with nothing; repeated rows give equal rows. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,7 +143,7 @@ def sampled_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if ids:
                 yield met(ids, found)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     return rows.mapInArrow(run, "bucket long, identity long, doc_id long, at int, first int, last int, n int")
 
 
@@ -258,7 +258,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Each byte that a string of ``length`` bytes covers which starts anywhere else too, in this
     document or another, is removed; ``kept`` is the other bytes, concatenated. Strings are judged on the input and never
     cross documents. A null or empty text keeps nothing, and a text shorter than ``length`` keeps all.
-    ``doc_id`` is unique; other columns are ignored.
+    A row with a null ``doc_id`` keeps all and is compared with nothing; repeated rows are copies of each other.
+    Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

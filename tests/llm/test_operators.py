@@ -373,3 +373,26 @@ def test_extract_unclosed():
     assert extract.main_text("<article><p>x<!-- c --><script>if (a < b) {}</script> y</p><nav>menu</nav></article>") == "x\ny"
 
 
+
+
+def test_null_and_repeated_ids(spark, docs):
+    long = " ".join(f"v{k}" for k in range(200))
+    odd = [(None, long, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    twice = [r for r in ROWS if r[0] in (5, 8, 12)]
+    df = docs.unionByName(frame(spark, odd + twice))
+    n = len(ROWS) + len(odd) + len(twice)
+    base = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    got = jaccard.jaccard_components(df).collect()
+    assert len(got) == n and all(r.component_id == base.get(r.doc_id) for r in got)
+    lines = line_dedup.dedup_lines(df).collect()
+    assert len(lines) == n and [r.kept for r in lines if r.doc_id is None and r.kept] == [long]
+    removed = substrings.remove_repeats(df).collect()
+    assert len(removed) == n and {bytes(r.kept) for r in removed if r.doc_id is None} == {b"", long.encode()}
+    assert media.to_wav(df).count() == n
+    packed = packing.pack_documents(df)
+    assert packed.filter("piece = 0").count() == n and packed.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 1024").count() == 0
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.find_leaks(df, bench).collect()] == [None]
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.resample(df, labels).count() == n
+    assert rollups.totals(rollups.committed([rollups.signed(1, inserts=rollups.count_tokens(df))])).agg({"n_docs": "sum"}).first()[0] == 2 * n
