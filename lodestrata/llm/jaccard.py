@@ -280,7 +280,8 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: i
     sizes = stored(set_sizes(docs, n), "sizes")
     filled = sizes.filter("n_shingles > 0")
     classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copied = classes.filter("copies > 1").drop("copies")
+    # stored, so that the join with a class that very many documents share can be split
+    copied = stored(classes.filter("copies > 1").drop("copies"), "classes")
     same = stored(filled.join(copied, ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "same")
     near = candidate_edges(docs, n, num, den)
     groups = connected_components(near.unionByName(same))
