@@ -86,12 +86,13 @@ def propagate(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
     groups = stored(connected_components(links), "aliases")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("url")).filter("url is not null").distinct()
     _, said = matched_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
-    decisions = (
+    decisions = stored(
         ends.select(F.xxhash64("url").alias("node"), said.alias("said"))
         .filter("said is not null")
         .join(groups, "node")
         .groupBy("component")
-        .agg(F.bool_or(F.col("said") == "allow").alias("allowed"))
+        .agg(F.bool_or(F.col("said") == "allow").alias("allowed")),
+        "decisions",
     )
     # one verdict for each url before the pages join, so that a hot component is spread over its urls
     alias = groups.join(decisions, "component").select("node", F.when(F.col("allowed"), "allow").otherwise("block").alias("spread"))
