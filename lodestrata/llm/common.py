@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (a local session, as in tests) a temporary
-    folder is taken, once for each application.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestrata.scratch", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("lodestrata.scratch", found)
-    return found.rstrip("/")
+from ..sources.scratch import scratch_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,7 +18,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     one run has a name of its own, so that a repeated run never reads old rows.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
