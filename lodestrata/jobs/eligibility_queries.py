@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import eligibility as E
-from .mapping import FILES, files, table
+from .mapping import FILES, files
 
 _BASE = "regexp_extract(path, '[^/]*$')"
 _DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END"
