@@ -11,22 +11,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mix64, stored, table, text_or_empty
-from .shingles import CHUNK_BYTES, STEP, word_hashes
+from .shingles import BYTE, CHUNK_BYTES, STEP, word_hashes
 
 #: Labelled documents that the models are fitted on, at most.
 MAX_LABELLED = 50_000
 SMOOTHING = 0.5
-#: Standard deviations for a sample of 400 documents; one more for ten times as many, as more n-grams are tested.
-LEAST_Z = 3.0
-LEAST_RATIO = 2.2
-#: Share of the sample, and number, of documents that an n-gram's ratio has to rest on: more than a family of copies.
-LEAST_SHARE, LEAST_DOCS = 0.0015, 12
+#: A ratio of ``z`` standard deviations counts by the share ``z**4 / (z**4 + SHRINKAGE**2)``; none is cut off.
+SHRINKAGE = 20.0
+#: Bytes of the n-grams within words.
+CHARS = 5
+#: An n-gram that a document holds so often is one more feature.
+OFTEN = 3
 #: Multiplies log weights, so that the noise of the sampling doesn't reach over one clear feature.
 SHARPNESS = 10.0
 #: Documents of at least this weight make up k.
 LEAST_WEIGHT = 0.05
 SEED = 17
-FILTER_BITS = 20
+#: Bits of a feature's bucket.
+BITS = 20
 
 _LETTERS = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 _SIGNS = bytes(32 if i >= 128 or chr(i).isalnum() else i for i in range(256))
@@ -34,7 +36,7 @@ _REPEAT = np.uint64(0x8BADF00DCAFE1234)
 
 
 def ngram_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of texts and hashes of their n-grams, with repeats: words, word pairs and runs of signs.
+    """Numbers of texts and hashes of their n-grams, with repeats: words, word pairs, runs of signs and ``CHARS`` bytes within words.
 
     Words are runs of ASCII letters and digits and of other bytes above 127, with A-Z in lower case. A pair of
     the same word twice is one feature for all words.
@@ -55,9 +57,31 @@ def ngram_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, signs = word_hashes(joined.translate(_SIGNS))
     owners.append(np.searchsorted(bounds, starts, side="right"))
     hashes.append(mix64(signs + np.uint64(77)))
+    b = np.frombuffer(joined.translate(_LETTERS), np.uint8)
+    if len(b) >= CHARS:
+        n = len(b) - CHARS + 1
+        rolled, within = np.zeros(n, np.uint64), np.ones(n, bool)
+        word = (b != 32) & ((b < 9) | (b > 13))
+        for k in range(CHARS):
+            rolled = rolled * STEP + BYTE[b[k : n + k]]
+            within &= word[k : n + k]
+        at = np.nonzero(within)[0]
+        owners.append(np.repeat(np.arange(len(texts)), np.diff(bounds, prepend=0))[at])
+        hashes.append(mix64(rolled[at] + np.uint64(CHARS)))
     return np.concatenate(owners), np.concatenate(hashes)
 
 
+def feature_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts and buckets of their distinct n-grams; an n-gram found ``OFTEN`` times or more has a second bucket."""
+    owner, feature = ngram_features(texts)
+    low = np.uint64((1 << BITS) - 1)
+    pairs, counts = np.unique(owner.astype(np.uint64) << np.uint64(BITS) | feature >> np.uint64(64 - BITS), return_counts=True)
+    often = pairs[counts >= OFTEN]
+    more = (often & ~low) | mix64((often & low) * STEP + np.uint64(OFTEN)) >> np.uint64(64 - BITS)
+    pairs = np.unique(np.concatenate([pairs, more]))
+    return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & low).astype(np.int64)
+
+
 def _chunks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
     i = 0
     while i < len(texts):
@@ -81,65 +105,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text_or_empty().cast("binary").alias("data"), "good")
 
 
-def fit_ratios(sample: DataFrame, smoothing: float = SMOOTHING, least_z: float = LEAST_Z, least_ratio: float = LEAST_RATIO, least_share: float = LEAST_SHARE, least_docs: int = LEAST_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of n-grams, sorted, and their log ratios under the target and the raw model.
+def fit_ratios(sample: DataFrame, smoothing: float = SMOOTHING, shrinkage: float = SHRINKAGE) -> np.ndarray:
+    """The log ratio under the target and the raw model of each bucket of n-grams.
 
-    Target text is the good rows of the sample, raw text all of them. A model gives an n-gram the
-    share of documents that hold it; counting documents keeps one long document from
-    deciding. Ratios that the sample doesn't support (by ``least_z`` standard deviations, and more or fewer good
-    documents than expected by ``least_share`` of the sample and ``least_docs``) or whose log is under
-    ``least_ratio`` are taken as 1, so that rare words of clean documents weigh nothing.
+    Target text is the good rows of the sample, raw text all of them. A model gives a bucket the
+    share of documents that hold one of its n-grams; counting documents keeps one long document from
+    deciding. Ratios are smoothed and shrink towards 0 as the sample supports them less (``SHRINKAGE``), so that
+    many weak ones add up where they agree, and rare words of clean documents weigh next to nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, t = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for batch in batches:
             good = batch.column(1).to_numpy()
             for rows, texts in _chunks(list(range(batch.num_rows)), batch.column(0).to_pylist()):
-                owner, feature = ngram_features(texts)
-                pairs = np.unique(np.stack([owner.astype(np.uint64), feature], 1), axis=0)
-                own = good[np.asarray(rows)[pairs[:, 0].astype(np.int64)]]
-                key, back = np.unique(pairs[:, 1], return_inverse=True)
-                n, t = np.bincount(back, minlength=len(key)), np.bincount(back, own, len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n), pa.array(t)], ["f", "n", "t"])
+                owner, bucket = feature_buckets(texts)
+                n += np.bincount(bucket, minlength=len(n))
+                t += np.bincount(bucket[good[np.asarray(rows)[owner]] > 0], minlength=len(t))
+        held = np.nonzero(n)[0]
+        for at in range(0, len(held), 1 << 16):
+            own = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(t[own])], ["f", "n", "t"])
 
     data = sample.select("data", "good")
     n_docs, n_good = (x or 0 for x in sample.agg(F.count("*"), F.sum("good")).first())
-    if not n_docs or not n_good:
-        return np.empty(0, np.uint64), np.empty(0)
+    ratios = np.zeros(1 << BITS, np.float32)
+    if not n_docs or not n_good or n_docs == n_good:
+        return ratios
+    # at most a row for each bucket
+    found = data.mapInArrow(run, "f int, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    f, n, t = (found.column(c).to_numpy() for c in ("f", "n", "t"))
     share = n_good / n_docs
-    counted = data.mapInArrow(run, "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    expected = F.col("n") * share
-    ratio = F.log((F.col("t") + smoothing) / (expected + smoothing))
-    apart = F.greatest(F.col("n") - F.col("t"), F.col("t") - expected)
-    least_z += float(np.log10(max(1.0, n_docs / 400)))
-    clear = (F.abs(expected - F.col("t")) >= least_z * F.sqrt(expected)) & (apart >= max(least_docs, least_share * n_docs))
-    # at most the n-grams of a bounded sample
-    rows = counted.filter(clear).select("f", ratio.alias("ratio")).filter(F.abs("ratio") >= least_ratio).toPandas()
-    keys = rows["f"].to_numpy(np.int64).astype(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows["ratio"].to_numpy(float)[order]
-
-
-def log_weights(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(doc_id, log_weight)``: the sum of the log ratios of a whole text's distinct n-grams; 0 for an empty or null text."""
-    keys, ratios = model
-    maybe = np.zeros(1 << FILTER_BITS, bool)
-    maybe[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((keys, ratios, maybe))
+    z4 = ((t - n * share) ** 2 / (n * share * (1 - share))) ** 2
+    ratios[f] = np.log((t + smoothing) / (n * share + smoothing)) * z4 / (z4 + shrinkage**2)
+    return ratios
+
+
+def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """``(doc_id, log_weight)``: the sum of the log ratios of the buckets of a whole text's n-grams; 0 for an empty or null text."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ratios, maybe = shared.value
+        ratios = shared.value
+        some = ratios.any()
         for batch in batches:
             for ids, texts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 weights = np.zeros(len(ids))
-                if len(keys):
-                    owner, feature = ngram_features(texts)
-                    hit = np.nonzero(maybe[(feature >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])[0]
-                    k = np.searchsorted(keys, feature[hit])
-                    k[k == len(keys)] = 0
-                    own = keys[k] == feature[hit]
-                    pairs = np.unique(np.stack([owner[hit][own], k[own]], 1), axis=0)
-                    weights = np.bincount(pairs[:, 0], ratios[pairs[:, 1]], len(ids)) if len(pairs) else weights
+                if some:
+                    owner, bucket = feature_buckets(texts)
+                    weights = np.bincount(owner, ratios[bucket], len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weights, pa.float64())], ["doc_id", "log_weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
