@@ -61,16 +61,18 @@ def chunks(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
     return own, keys, start[first] - begin[own], stop[last] - begin[own], n
 
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, z)``: whole texts as compressed UTF-8, for the shuffle."""
+def _squeezed(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """``(doc_id, z[, own])``: whole texts as compressed UTF-8, for the shuffle, and a struct of the ``carried`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(x.as_py()) for x in batch.column(1)], pa.binary())], ["doc_id", "z"])
+            z = pa.array([press.compress(x.as_py()) for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], ["doc_id", "z", "own"][: batch.num_columns])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    return rows.mapInArrow(run, "doc_id long, z binary")
+    own = [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("own")] if carried else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"), *own)
+    return rows.mapInArrow(run, "doc_id long, z binary" + (f", own {rows.schema['own'].dataType.simpleString()}" if own else ""))
 
 
 def chunk_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,13 +146,14 @@ def regions(data: bytes, spans: list[dict], min_lines: int, min_words: int) -> l
     return [(a, b, n) for a, b, n in out if n >= min_lines and len(_WORD.findall(data[a:b])) >= min_words]
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, kept, n_lines_removed, n_bytes_removed, n_regions)`` for every document.
+def dedup_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, carried: list[str] | None = None) -> DataFrame:
+    """``(doc_id, kept, n_lines_removed, n_bytes_removed, n_regions[, own])`` for every document.
 
     ``kept`` is the whole text without the runs of repeated chunks that have ``min_lines`` lines
     and ``min_words`` words at least. The earliest of equal chunks stays, so nothing is lost from the
     corpus. A null or empty text is kept as an empty one. A row with a null ``doc_id`` is kept whole and
-    compared with nothing; repeated rows give equal rows. Other columns are ignored.
+    compared with nothing; repeated rows give equal rows. ``own`` is a struct
+    of each row's own ``carried`` columns, so that nothing has to be joined back by id; others are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +171,15 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINE
                     for column, x in zip(rows, (b"".join([*parts, data[last:]]).decode(), sum(n for *_, n in gone), sum(b - a for a, b, _ in gone), len(gone))):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array(rows[0], pa.string()), *(pa.array(c, pa.int64()) for c in rows[1:])],
-                    ["doc_id", "kept", "n_lines_removed", "n_bytes_removed", "n_regions"],
+                    [batch.column(0).slice(at, 256), pa.array(rows[0], pa.string()), *(pa.array(c, pa.int64()) for c in rows[1:]), *(c.slice(at, 256) for c in batch.columns[3:])],
+                    ["doc_id", "kept", "n_lines_removed", "n_bytes_removed", "n_regions", "own"][: 5 + bool(carried)],
                 )
 
     spans = repeated_chunks(docs, window)
-    rows = _squeezed(docs).join(spans, "doc_id", "left").select("doc_id", "z", "spans")
-    return rows.mapInArrow(run, "doc_id long, kept string, n_lines_removed long, n_bytes_removed long, n_regions long")
+    whole = _squeezed(docs, carried)
+    rows = whole.join(spans, "doc_id", "left").select("doc_id", "z", "spans", *whole.columns[2:])
+    own = f", own {whole.schema['own'].dataType.simpleString()}" if carried else ""
+    return rows.mapInArrow(run, "doc_id long, kept string, n_lines_removed long, n_bytes_removed long, n_regions long" + own)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
