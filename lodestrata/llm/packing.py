@@ -20,6 +20,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ROWS_A_BUCKET = 20_000
 FITS = 3
 
+#: The added token of the ``tokenizers`` file.
+SPECIAL = {"<|endoftext|>": 50256}
+
 _encoders: dict = {}
 
 
@@ -30,14 +33,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def encoder(path: str):
-    """The byte-level BPE of a ranks file, kept for each worker process. Special strings are ordinary text."""
+    """The byte-level BPE of a ranks file, kept for each worker process. Special strings are tokens of their own where the caller allows them."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[path]
 
 
@@ -56,7 +59,7 @@ def tokenize(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID
             for at in range(0, batch.num_rows, 1024):
                 rows: list[list] = [[] for _ in names]
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
-                    ids = np.append(encode(text, disallowed_special=()).astype("<u4"), np.array([end_id], "<u4"))
+                    ids = np.append(encode(text, allowed_special="all").astype("<u4"), np.array([end_id], "<u4"))
                     n = -(-len(ids) // max_tokens)
                     start, stop = 0, len(ids) - (n - 1) * max_tokens
                     for piece in range(n):
