@@ -23,7 +23,8 @@ TOKEN = re.compile(
 )
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 MARKED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 #: Content that is never text of the page.
 RAW = frozenset("script style noscript template iframe object svg canvas math textarea title xmp".split())
 ASIDE = frozenset("nav header footer aside form button select option dialog menu head fieldset label datalist".split())
@@ -40,9 +41,18 @@ NOISE = re.compile(
 MAIN = re.compile(r"(?:^|[^a-z])(?:article|post|story|entry|content|main)(?:$|[^a-z])")
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an attribute ``hidden``, ``aria-hidden=true`` or a style hides the element."""
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and UNSEEN.search(value)):
+            return True
+    return False
+
+
 def _kind(name: str, attrs: str) -> int:
     """-1: beside the article, 1: holds it, 0: neither."""
-    if name in ASIDE or HIDDEN.search(attrs):
+    if name in ASIDE or _hidden(attrs):
         return -1
     marks = " ".join(m[1].strip("\"'") for m in MARKED.finditer(attrs))
     marks = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", marks).lower()
