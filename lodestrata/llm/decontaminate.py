@@ -37,12 +37,17 @@ class GramIndex:
     """The q-grams of benchmark items, with the budget of edits and the least number of shared q-grams of each.
 
     An item of ``m`` bytes with ``e`` edits shares ``m - q + 1 - q * e`` of its q-grams at least; where that isn't
-    positive, the budget is lowered until it is. Items of fewer than ``q`` bytes are left out.
+    positive, the budget is lowered until it is. Items of fewer than ``q`` bytes are searched for exactly, as whole words.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, edit_share: float = EDIT_SHARE):
+    def __init__(self, items: list[tuple[int | None, bytes]], q: int = Q, edit_share: float = EDIT_SHARE):
         self.q = q
-        self.ids = np.array([i for i, t in items if len(t) >= q], np.int64)
+        self.ids = [i for i, t in items if len(t) >= q]
+        # one search for each distinct short text, whatever the number of items
+        self.short: dict[bytes, list[int | None]] = {}
+        for i, t in items:
+            if 0 < len(t) < q:
+                self.short.setdefault(t, []).append(i)
         self.texts = [t for _, t in items if len(t) >= q]
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((lengths * edit_share).astype(np.int64), (lengths - q) // q)
@@ -58,8 +63,25 @@ class GramIndex:
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def regions(self, text: bytes) -> list[tuple[int, int, int, int]]:
+    def regions(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
         """``(item_id, start, stop, edits)`` of the normalized text: the best place for each item and region within its budget."""
+        return self.near(text) + self.exact(text)
+
+    def exact(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
+        """The places of items shorter than ``q`` bytes, between any bytes that aren't letters, digits or above 127."""
+        out = []
+        for item, ids in self.short.items():
+            at, last = text.find(item), 0
+            while at >= 0:
+                stop = at + len(item)
+                if at >= last and not _joins(text[max(0, at - 1) : at], item[:1]) and not _joins(item[-1:], text[stop : stop + 1]):
+                    out += [(i, at, stop, 0) for i in ids]
+                    last = stop
+                at = text.find(item, at + 1)
+        return out
+
+    def near(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
+        """The places of items of ``q`` bytes and more."""
         h = gram_hashes(text, self.q)
         at = np.nonzero(self.maybe[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])[0]
         if not len(at) or not len(self.keys):
@@ -88,9 +110,14 @@ class GramIndex:
             window = text[start : (b + 2) * (e + 1) + len(item_text) + e]
             got = align(item_text, window, e)
             if got:
-                key = (int(self.ids[i]), start + got[0], start + got[1])
+                key = (i, start + got[0], start + got[1])
                 found[key] = min(got[2], found.get(key, e))
-        return _best(found)
+        return [(self.ids[i], a, b, e) for i, a, b, e in _best(found)]
+
+
+def _joins(left: bytes, right: bytes) -> bool:
+    """Whether a word goes on from one byte to the next."""
+    return all(x and (x >= b"\x80" or x.isalnum()) for x in (left, right))
 
 
 def _best(found: dict[tuple[int, int, int], int]) -> list[tuple[int, int, int, int]]:
@@ -140,7 +167,7 @@ def align(item: bytes, window: bytes, budget: int) -> tuple[int, int, int] | Non
     return (int(begin[k]), m + int(column[k]), int(cost[k])) if cost[k] <= budget else None
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks of about ``block_bytes``, so that what is broadcast has a bound however large the benchmark is."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().cast("binary").alias("data"))
     total = items.agg(F.sum(F.length("data"))).first()[0] or 0
@@ -155,8 +182,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: fl
 
     Offsets are bytes of the text in lower case with white space runs as one space. The budget is
     ``edit_share`` of an item's length. Each block of the benchmark is met with all documents in one
-    pass without a shuffle. Null and empty texts and items, and items shorter than ``q`` bytes, give
-    no rows; repeated documents and items each give their own. Other columns are ignored.
+    pass without a shuffle. Null and empty texts and items give
+    no rows, an item with a null id gives rows with a null ``item_id``; an item shorter than ``q`` bytes is
+    found where it stands exactly, as whole words; repeated documents and items each give their own. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     schema = "doc_id long, item_id long, start long, stop long, edits int"
