@@ -203,7 +203,8 @@ def _string_rows(blocks: DataFrame, block: int) -> DataFrame:
             j = np.arange(block)
             o = side - j
             h = _joined(_joined(mix64(words[:, o]), mix64(words[:, o + 8])), _joined(mix64(words[:, o + 16]), mix64(words[:, o + side - 8])))
-            h = mix64(h + shared.astype(np.uint64)[:, None])
+            # the number of bytes left of the core is a part of it: the same side bytes, cut elsewhere, are another string
+            h = mix64(h + mix64(j.astype(np.uint64)) + shared.astype(np.uint64)[:, None])
             row, col = np.nonzero((j >= lo[:, None]) & (j <= hi[:, None]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h[row, col].astype(np.int64)), pa.array(doc_id[row]), pa.array((start[row] - col).astype(np.int32))], ["string", "doc_id", "at"]
@@ -287,8 +288,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated strings of 400 bytes."""
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Every document without its repeated strings of 400 bytes: digests, then what is left as text (a cut character becomes U+FFFD) and its bytes."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+        F.length("kept").cast("long").alias("n_kept"),
+    )
 
 
 QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup}
