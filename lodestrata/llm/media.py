@@ -130,7 +130,7 @@ def fingerprints(media: DataFrame, media_col: str = "media", block: int = BLOCK)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's WAV file, of what is read back from it and of its fingerprint."""
+    """Digests of every document's WAV file, of what is read back from it and of its fingerprint, and that itself as time-coded arrays."""
     found = fingerprints(to_wav(table(spark, sf_dir, "documents")))
     return found.select(
         "doc_id",
@@ -141,7 +141,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.format_string("%016x", F.xxhash64("times", "codes")).alias("feature"),
-        F.size("codes").alias("n_pairs"),
+        "times",
+        "codes",
     )
 
 
