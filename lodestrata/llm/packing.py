@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from .common import stored, table, text_or_empty
 MAX_TOKENS = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
-ROWS_A_BUCKET = 20_000
+#: Documents of a length are numbered in buckets of so many, or of the square root of their number if that is more.
+ROWS_A_BUCKET = 500
 FITS = 3
 
 #: The added token of the ``tokenizers`` file.
@@ -195,8 +197,9 @@ def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
         sequence += n
     plan = {k: tuple(np.array(x) for x in zip(*v)) for k, v in starts.items()}
 
-    buckets = max(1, -(-max(histogram.values(), default=1) // ROWS_A_BUCKET))
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # neither a bucket nor a length's list of buckets grows faster than the square root of the rows
+    buckets = [max(1, -(-n // max(ROWS_A_BUCKET, isqrt(n)))) for n in (histogram.get(k, 0) for k in range(size + 1))]
+    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)[F.col("length").cast("int")]))
     sizes = keyed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     before = sizes.select("length", "_b", (F.sum("_n").over(W.partitionBy("length").orderBy("_b")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(W.partitionBy("length", "_b").orderBy("doc_id", "piece")) - 1
