@@ -273,28 +273,6 @@ def test_tone_peaks():
     assert {c >> 16 for c in codes} == {20} and {c & 15 for c in codes} == {1, 2, 3}
 
 
-def test_rollups(spark, docs, none, tmp_path):
-    counts = rollups.count_tokens(docs)
-    want = collections.Counter()
-    for r in ROWS:
-        want[(r[3], r[2], "words-1")] += len((r[1] or "").encode().split())
-    base = rollups.signed(1, inserts=counts)
-    got = {(r.source, r.lang, r.tokenizer): r.n_tokens for r in rollups.totals(rollups.committed([base, base])).collect()}
-    assert {k: v for k, v in got.items() if k[2] == "words-1"} == want
-    gone = rollups.signed(2, deletes=counts)
-    assert rollups.totals(rollups.committed([base, gone, gone])).count() == 0
-    other = rollups.signed(1, inserts=counts.filter("doc_id > 10"))
-    assert rollups.totals(rollups.committed([base, other])).filter("n_tokens is null").count() > 0
-    path = str(tmp_path / "ledger")
-    for _ in range(2):  # a retried batch
-        rollups.commit(spark, base, path, 1)
-    revised = rollups.signed(2, inserts=counts.limit(1), deletes=counts.limit(1))
-    rollups.commit(spark, revised, path, 2)
-    kept = {(r.source, r.lang, r.tokenizer): r.n_tokens for r in rollups.totals(rollups.read_ledger(spark, path)).collect()}
-    assert kept == got
-    assert rollups.totals(rollups.committed([rollups.signed(1, inserts=rollups.count_tokens(none))])).count() == 0
-
-
 def test_urls(spark):
     pages = [
         (1, "http://www.a.EXAMPLE.net/en/1?x=1"),
@@ -419,4 +397,4 @@ def test_null_and_repeated_ids(spark, docs):
     assert [r.doc_id for r in decontaminate.find_leaks(df, bench).collect()] == [None]
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.resample(df, labels).count() == n
-    assert rollups.totals(rollups.committed([rollups.signed(1, inserts=rollups.count_tokens(df))])).agg({"n_docs": "sum"}).first()[0] == 2 * n
+    assert rollups.signed(inserts=rollups.count_tokens(df)).agg({"n_docs": "sum"}).first()[0] == 2 * n
