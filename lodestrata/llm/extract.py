@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +16,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Lines whose lengths are summed, and the least peak of a region as a share of the page's largest sum.
 WINDOW = 3
-LEAST_CHARS = 86
+SURGE_SHARE = 0.2
 LINK_SHARE = 0.5
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.DOTALL,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What ends a tag, or begins a quoted value in it.
+IN_TAG = re.compile(r"""=[ \t\n\r\f]*+(["'])|>""")
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
-MARKED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+""")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 #: Content that is never text of the page.
 RAW = frozenset("script style noscript template iframe object svg canvas math textarea title xmp".split())
@@ -38,43 +40,64 @@ NOISE = re.compile(
     r"|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|share|sharing|social|breadcrumbs?|pagination|pager|related|recommended"
     r"|comments?|disqus|replies|reply|respond|complementary|contentinfo|toolbar|skip|legal|copyright)(?:$|[^a-z])"
 )
-MAIN = re.compile(r"(?:^|[^a-z])(?:article|post|story|entry|content|main)(?:$|[^a-z])")
-
-
-def _hidden(attrs: str) -> bool:
-    """Whether an attribute ``hidden``, ``aria-hidden=true`` or a style hides the element."""
-    for m in ATTRIBUTE.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and UNSEEN.search(value)):
-            return True
-    return False
+#: Blocks that end an open paragraph; of the second kind, one also ends an open one of its own name.
+ENDS_PARAGRAPH = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 div ul ol article section footer header nav aside table form main blockquote pre".split())
+ENDS_ITSELF = frozenset("li dt dd tr td th option".split())
 
 
+@lru_cache(maxsize=4096)
 def _kind(name: str, attrs: str) -> int:
-    """-1: beside the article, 1: holds it, 0: neither."""
-    if name in ASIDE or _hidden(attrs):
+    """-1: beside the article, 1: holds it, 0: neither. An attribute given twice counts as first given."""
+    if name in ASIDE:
         return -1
-    marks = " ".join(m[1].strip("\"'") for m in MARKED.finditer(attrs))
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(found.get("style", "")):
+        return -1
+    marks = " ".join(found[k] for k in ("class", "id", "role", "aria-label") if k in found)
     marks = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", marks).lower()
     if name not in ("html", "body") and marks and NOISE.search(marks):
         return -1
     return 1 if name in ("article", "main") else 0
 
 
-def line_blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The page as lines, one for each block element: text, characters in links, beside the article, inside it."""
-    lines: list[tuple[str, int, bool, bool]] = []
+class Line(NamedTuple):
+    text: str
+    #: Characters in links.
+    linked: int
+    #: Beside the article, by the elements around it.
+    aside: bool
+    #: In an ``article`` or ``main``.
+    inside: bool
+
+
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE)
+
+
+def line_blocks(page: str) -> list[Line]:
+    """The page as lines, one for each block element; in time linear in the page's length.
+
+    A quoted attribute value that is never closed is no quote: its tag ends at the next ``>``. A comment or a
+    script that is never closed goes on to the end.
+    """
+    lines: list[Line] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, int]] = []
-    noise = inside = links = 0
+    blocks: list[int] = []  # places in the stack of what isn't inline
+    opened: Counter[str] = Counter()
+    noise = inside = 0
+    last_quote = {q: page.rfind(q) for q in "\"'"}
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
             if text:
-                lines.append((text, linked, noise > 0, inside > 0))
+                lines.append(Line(text, linked, noise > 0, inside > 0))
             parts.clear()
         linked = 0
 
@@ -82,93 +105,135 @@ def line_blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         if start < end:
             parts.append(page[start:end])
-            if links:
+            if opened["a"]:
                 linked += end - start
 
-    at = 0
-    while (m := TOKEN.search(page, at)) is not None:
-        take(at, m.start())
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
+    def close(down_to: int) -> None:
+        nonlocal noise, inside
+        while len(stack) > down_to:
+            n, kind = stack.pop()
+            opened[n] -= 1
+            noise -= kind < 0
+            inside -= kind > 0
+        while blocks and blocks[-1] >= down_to:
+            blocks.pop()
+
+    def tag_end(at: int) -> int:
+        while (m := IN_TAG.search(page, at)) is not None:
+            if m[1] is None:
+                return m.end()
+            at = page.find(m[1], m.end()) + 1 if m.end() <= last_quote[m[1]] else m.end()
+        return len(page)
+
+    text_from = at = 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            take(text_from, at)
+            end = page.find("]]>", at)
+            parts.append(html.escape(page[at + 9 : len(page) if end < 0 else end]))
+            text_from = at = len(page) if end < 0 else end + 3
             continue
-        name = name.lower()
-        if m["close"]:
-            if name in VOID or not any(n == name for n, _ in stack):
-                if name not in INLINE:
-                    flush()
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+        else:
+            m = NAME.match(page, at)
+            if m is None:
+                at += 1
                 continue
+            end = tag_end(m.end())
+            take(text_from, at)
+            text_from = at = end
+            name = m[2].lower()
             if name not in INLINE:
                 flush()
-            while stack:
-                n, kind = stack.pop()
-                noise -= kind < 0
-                inside -= kind > 0
-                links -= n == "a"
-                if n == name:
-                    break
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+            if m[1]:
+                if opened[name] > 0 and name not in VOID:
+                    down_to = len(stack) - 1
+                    while stack[down_to][0] != name:
+                        down_to -= 1
+                    close(down_to)
+                continue
+            if name in RAW:
+                found = _end_of(name).search(page, at)
+                text_from = at = found.end() if found else len(page)
+                continue
+            attrs = page[m.end() : end].removesuffix(">")
+            if name in VOID or attrs.endswith("/"):
+                continue
+            if name in ENDS_PARAGRAPH and blocks:
+                # a paragraph, and what is open within it, ends where a block begins
+                n = stack[blocks[-1]][0]
+                if n == "p" or (n == name and name in ENDS_ITSELF):
+                    close(blocks[-1])
+            kind = _kind(name, attrs)
             if name not in INLINE:
-                flush()
-            at = end.end() if end else len(page)
+                blocks.append(len(stack))
+            stack.append((name, kind))
+            opened[name] += 1
+            noise += kind < 0
+            inside += kind > 0
             continue
-        if name not in INLINE:
-            flush()
-        if name in VOID or m["attrs"].endswith("/"):
-            continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "article", "section", "footer", "header", "nav", "aside", "table", "form", "main", "blockquote", "pre"):
-            # a paragraph, and what is open within it, ends where a block begins
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or (name == stack[k][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    for n, kind in stack[k:]:
-                        noise -= kind < 0
-                        inside -= kind > 0
-                        links -= n == "a"
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        kind = _kind(name, m["attrs"])
-        stack.append((name, kind))
-        noise += kind < 0
-        inside += kind > 0
-        links += name == "a"
-    take(at, len(page))
+        take(text_from, at)
+        text_from = at = end
+    take(text_from, len(page))
     flush()
     return lines
 
 
-def main_text(page: str, window: int = WINDOW, least_chars: int = LEAST_CHARS, link_share: float = LINK_SHARE) -> str:
-    """The text between the surge and the dive of the sums over ``window`` lines.
+def line_weights(lines: list[Line], link_share: float = LINK_SHARE) -> list[int | None]:
+    """What each line adds to a sum: its length; None for a line within the article that takes no room there.
+
+    The elements around a line weigh it, they don't choose it: a line beside the article weighs nothing, as does one
+    that mostly is links, and as do lines outside of ``article`` and ``main`` on a page that has text in such.
+    """
+    some = any(x.inside and not x.aside for x in lines)
+    out: list[int | None] = []
+    for x in lines:
+        if x.aside:
+            out.append(None if x.inside else 0)
+        elif some:
+            out.append(len(x.text) if x.inside else 0)
+        else:
+            out.append(0 if x.linked > link_share * len(x.text) else len(x.text))
+    return out
+
+
+def regions(weights: list[int], window: int = WINDOW, share: float = SURGE_SHARE) -> list[tuple[int, int]]:
+    """``(start, stop)`` of the stretches of lines from a surge to the next dive.
 
-    A line beside the article, or one that mostly is links, weighs nothing. Where the
-    page marks its article, only lines inside it weigh, and any weight is a surge:
-    then a short article stays whole. Else the sum must reach ``least_chars`` (or half
-    of the largest sum, on a page of short lines). A region ends where the sum falls
-    to nothing; lines with weight between a surge and its dive are kept.
+    The sum at a line is that of its weight and those of the ``window - 1`` lines after it. A surge is a rise from nothing that
+    reaches ``share`` of the largest sum before it falls to nothing again, which is the dive.
+    """
+    total = [0, *accumulate(weights)]
+    n = len(weights)
+    sums = [total[min(n, i + window)] - total[i] for i in range(n)]
+    least = share * max(sums, default=0)
+    out: list[tuple[int, int]] = []
+    start, peak = None, 0
+    for i, x in enumerate([*sums, 0]):
+        if x and start is None:
+            start, peak = i, x
+        elif x:
+            peak = max(peak, x)
+        elif start is not None:
+            if peak >= least:
+                out.append((start, i))
+            start = None
+    return out
+
+
+def main_text(page: str, window: int = WINDOW, share: float = SURGE_SHARE, link_share: float = LINK_SHARE) -> str:
+    """The lines with weight between the surges and dives of the sums over ``window`` lines, joined by line feeds.
+
+    One rule for every page, however long and however marked. Null-like pages (empty, or with no text of weight) give an empty string.
     """
     lines = line_blocks(page)
-    marked = any(i and not n for _, _, n, i in lines)
-    weight = [
-        0 if n or (marked and not i) or (not marked and linked > link_share * len(text)) else len(text)
-        for text, linked, n, i in lines
-    ]
-    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
-    surge = 1 if marked else min(least_chars, max(1, max(sums, default=0) // 2))
-    kept, i = [], 0
-    while i < len(sums):
-        if sums[i] < surge or not weight[i]:
-            i += 1
-            continue
-        while i < len(sums) and sums[i] > 0:  # until the dive
-            if weight[i]:
-                kept.append(lines[i][0])
-            i += 1
-    return "\n".join(kept)
+    own = [(x.text, w) for x, w in zip(lines, line_weights(lines, link_share), strict=True) if w is not None]
+    return "\n".join(text for a, b in regions([w for _, w in own], window, share) for text, w in own[a:b] if w)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
