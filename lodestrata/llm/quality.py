@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,16 +17,16 @@ from .shingles import BYTE, CHUNK_BYTES, STEP, word_hashes
 #: Labelled documents that the models are fitted on, at most.
 MAX_LABELLED = 50_000
 SMOOTHING = 0.5
-#: A ratio of ``z`` standard deviations counts by the share ``z**4 / (z**4 + SHRINKAGE**2)``; none is cut off.
-SHRINKAGE = 20.0
+#: Ways to shrink a ratio of ``z`` standard deviations, as ``(p, c)``: it counts by the share ``z**p / (z**p + c)``. None is cut off.
+SHRINKAGES = ((2, 25.0), (4, 400.0))
+#: Parts of the labelled documents, each of which is scored by models fitted on the others.
+FOLDS = 3
+#: Of the good labelled documents, the share that sampling is to hold; sets k where that isn't given.
+RECALL = 0.995
 #: Bytes of the n-grams within words.
 CHARS = 5
 #: An n-gram that a document holds so often is one more feature.
 OFTEN = 3
-#: Multiplies log weights, so that the noise of the sampling doesn't reach over one clear feature.
-SHARPNESS = 10.0
-#: Documents of at least this weight make up k.
-LEAST_WEIGHT = 0.05
 SEED = 17
 #: Bits of a feature's bucket.
 BITS = 20
@@ -94,51 +95,108 @@ def _chunks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """``(doc_id, data, good)`` of at most ``most`` labelled documents, those with the smallest hashes.
+    """``(doc_id, data, good, fold)`` of at most ``most`` labelled documents, those with the smallest hashes.
 
     A document labelled twice takes its lowest quality and highest toxicity; one with neither label is left out. The sample has a
     bound, so it is broadcast and the texts aren't shuffled.
     """
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     good = ((F.coalesce("q", F.lit(1)) == 1) & (F.coalesce("t", F.lit(0)) == 0)).cast("long").alias("good")
-    chosen = one.filter("doc_id is not null and (q is not null or t is not null)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", good)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text_or_empty().cast("binary").alias("data"), "good")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).alias("fold")
+    chosen = one.filter("doc_id is not null and (q is not null or t is not null)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", good, fold)
+    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("data"))
+    return rows.join(F.broadcast(chosen), "doc_id")
 
 
-def fit_ratios(sample: DataFrame, smoothing: float = SMOOTHING, shrinkage: float = SHRINKAGE) -> np.ndarray:
-    """The log ratio under the target and the raw model of each bucket of n-grams.
+def count_features(sample: DataFrame, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the sample's documents, and of those that hold an n-gram of a bucket: ``[fold, good]`` and ``[fold, good, bucket]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2 * folds, 1 << BITS), np.int32)
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            for rows, texts in _chunks(list(range(batch.num_rows)), batch.column(0).to_pylist()):
+                owner, bucket = feature_buckets(texts)
+                own = kind[np.asarray(rows)[owner]]
+                for k in np.unique(own):
+                    counts[k] += np.bincount(bucket[own == k], minlength=counts.shape[1]).astype(np.int32)
+        held = np.nonzero(counts.any(axis=0))[0]
+        for at in range(0, len(held), 1 << 16):
+            own = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(c[own]) for c in counts)], names)
+
+    names = ["f", *(f"n{k}" for k in range(2 * folds))]
+    data = sample.select("data", (2 * F.col("fold") + F.col("good")).cast("int").alias("kind"))
+    docs = np.zeros(2 * folds, np.int64)
+    for r in data.groupBy("kind").count().collect():
+        docs[r["kind"]] = r["count"]
+    # at most a row for each bucket
+    sums = data.mapInArrow(run, "f int" + "".join(f", {c} int" for c in names[1:])).groupBy("f").agg(*[F.sum(c).cast("int").alias(c) for c in names[1:]]).toArrow()
+    counts = np.zeros((2 * folds, 1 << BITS), np.int32)
+    counts[:, sums.column("f").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in names[1:]])
+    return docs.reshape(folds, 2), counts.reshape(folds, 2, -1)
+
+
+def log_ratios(docs: np.ndarray, counts: np.ndarray, shrinkage: tuple[int, float], smoothing: float = SMOOTHING) -> np.ndarray:
+    """The log ratio under the target and the raw model of each bucket, from ``[good]`` and ``[good, bucket]`` counts.
 
     Target text is the good rows of the sample, raw text all of them. A model gives a bucket the
     share of documents that hold one of its n-grams; counting documents keeps one long document from
-    deciding. Ratios are smoothed and shrink towards 0 as the sample supports them less (``SHRINKAGE``), so that
+    deciding. Ratios are smoothed and shrink towards 0 as the sample supports them less, so that
     many weak ones add up where they agree, and rare words of clean documents weigh next to nothing.
     """
+    n, t = counts.sum(axis=0).astype(float), counts[1].astype(float)
+    if not docs.all():
+        return np.zeros(len(n), np.float32)
+    share = docs[1] / docs.sum()
+    p, c = shrinkage
+    z = np.abs(t - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+    return (np.log((t + smoothing) / (n * share + smoothing)) * z**p / (z**p + c)).astype(np.float32)
+
+
+class Model(NamedTuple):
+    ratios: np.ndarray
+    #: Of all documents, the share to sample.
+    share: float
+
+
+def gumbel(seed: int) -> Column:
+    """Standard Gumbel noise, a function of ``doc_id`` and ``seed``."""
+    return -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53)))
+
+
+def fit(sample: DataFrame, recall: float = RECALL, seed: int = SEED) -> Model:
+    """The ratios of all of the sample, and the share of documents to sample.
+
+    Each part of the sample is scored by ratios fitted on the other parts. The shrinkage is the one under which the
+    fewest labelled documents have to be sampled, by weight and noise, until ``recall`` of the good ones are; that share of all documents is to be
+    sampled. The sample's weights, a few for each labelled document, go to the driver. Without good or without other rows all ratios are 0 and the share is 1.
+    """
+    docs, counts = count_features(sample)
+    if not docs.sum(axis=0).all():
+        return Model(np.zeros(counts.shape[2], np.float32), 1.0)
+    rest = [(docs.sum(axis=0) - docs[k], counts.sum(axis=0) - counts[k]) for k in range(len(docs))]
+    apart = sample.sparkSession.sparkContext.broadcast(np.array([[log_ratios(*own, s) for own in rest] for s in SHRINKAGES]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, t = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            good = batch.column(1).to_numpy()
+            fold, good, noise = (batch.column(k).to_numpy() for k in (1, 2, 3))
             for rows, texts in _chunks(list(range(batch.num_rows)), batch.column(0).to_pylist()):
                 owner, bucket = feature_buckets(texts)
-                n += np.bincount(bucket, minlength=len(n))
-                t += np.bincount(bucket[good[np.asarray(rows)[owner]] > 0], minlength=len(t))
-        held = np.nonzero(n)[0]
-        for at in range(0, len(held), 1 << 16):
-            own = held[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(t[own])], ["f", "n", "t"])
-
-    data = sample.select("data", "good")
-    n_docs, n_good = (x or 0 for x in sample.agg(F.count("*"), F.sum("good")).first())
-    ratios = np.zeros(1 << BITS, np.float32)
-    if not n_docs or not n_good or n_docs == n_good:
-        return ratios
-    # at most a row for each bucket
-    found = data.mapInArrow(run, "f int, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    f, n, t = (found.column(c).to_numpy() for c in ("f", "n", "t"))
-    share = n_good / n_docs
-    z4 = ((t - n * share) ** 2 / (n * share * (1 - share))) ** 2
-    ratios[f] = np.log((t + smoothing) / (n * share + smoothing)) * z4 / (z4 + shrinkage**2)
-    return ratios
+                own = fold[np.asarray(rows)]
+                keys = [np.bincount(owner, ratios[own[owner], bucket], len(rows)) + noise[rows] for ratios in apart.value]
+                yield pa.RecordBatch.from_arrays([pa.array(good[rows]), *map(pa.array, keys)], names)
+
+    names = ["good", *(f"k{k}" for k in range(len(SHRINKAGES)))]
+    scored = sample.select("data", F.col("fold").cast("int").alias("fold"), "good", gumbel(seed).alias("noise")).mapInArrow(run, "good long" + "".join(f", {c} double" for c in names[1:])).toArrow()
+    good = scored.column("good").to_numpy() > 0
+    shares = []
+    for c in names[1:]:
+        keys = scored.column(c).to_numpy()
+        least = np.sort(keys[good])[int((1 - recall) * good.sum())]
+        shares.append(float((keys >= least).mean()))
+    best = int(np.argmin(shares))
+    return Model(log_ratios(docs.sum(axis=0), counts.sum(axis=0), SHRINKAGES[best]), shares[best])
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
@@ -189,19 +247,16 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str = "doc_id", digits: int =
     return above.unionByName(equal.filter(F.col("_n") <= want).drop("_n")).drop("_bits")
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = MAX_LABELLED, sharpness: float = SHARPNESS, least_weight: float = LEAST_WEIGHT, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = MAX_LABELLED, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """``(doc_id, log_weight, key)`` of the ``k`` documents sampled by their importance weights, without replacement.
 
-    ``key`` is the log weight times ``sharpness`` plus standard Gumbel noise, a function of ``doc_id`` and
-    ``seed``; the largest keys stay. Without ``k``, as many stay as have a weight of ``least_weight``
-    or more. Without labels all weights are 1. Repeated ids share their noise; a null id is one more id.
+    ``key`` is the log weight plus standard Gumbel noise, a function of ``doc_id`` and
+    ``seed``; the largest keys stay, which is a draw of ``k`` documents in proportion to their weights. Without ``k`` it is the share of all documents that ``fit``
+    finds to hold ``recall`` of the good ones. Without labels all weights are 1 and all stay. Repeated ids share their noise; a null id is one more id.
     """
-    scored = log_weights(docs, fit_ratios(labelled_sample(docs, labels, most)))
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53)
-    keyed = stored(scored.withColumn("key", sharpness * F.col("log_weight") - F.log(-F.log(unit))), "weights")
-    if k is None:
-        k = keyed.filter(F.col("log_weight") >= float(np.log(least_weight))).count()
-    return top_k(keyed, "key", k)
+    model = fit(labelled_sample(docs, labels, most), recall, seed)
+    keyed = stored(log_weights(docs, model.ratios).withColumn("key", F.col("log_weight") + gumbel(seed)), "weights")
+    return top_k(keyed, "key", round(model.share * keyed.count()) if k is None else k)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

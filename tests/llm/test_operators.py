@@ -304,46 +304,6 @@ def test_urls(spark):
     assert url_filter.propagate(df.limit(0), url_filter.declared_edges(df.limit(0).selectExpr("*", "url as html"))).count() == 0
 
 
-def test_quality(spark, none):
-    rng = random.Random(8)
-    rows, labels = [], []
-    for i in range(1500):
-        w = [f"w{rng.randrange(2000)}" for _ in range(80)]
-        bad = i % 5 == 0
-        if bad:
-            for _ in range(3):
-                w[rng.randrange(80)] = rng.choice(["awful", "nasty"])
-        rows.append((i, " ".join(w)))
-        if i % 2 == 0:
-            labels.append((i, 1, int(bad)))
-    rows += [(5000, None), (5001, "")]
-    labels += [(0, 1, 0), (None, 1, 1), (5001, None, None)]
-    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in quality.resample(df, lab).collect()}
-    assert kept == {i for i, _ in rows if i >= 5000 or i % 5}
-    assert quality.resample(df, lab, k=100).count() == 100
-    assert quality.resample(df, lab, k=0).count() == 0
-    assert quality.resample(df, lab.limit(0)).count() == len(rows)
-    assert quality.resample(none, lab).count() == 0
-
-
-def test_quality_parts_of_words(spark):
-    """Toxic documents share a part of words only, never a whole one."""
-    rng = random.Random(18)
-    rows, labels = [], []
-    for i in range(1200):
-        w = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
-        bad = i % 8 == 0
-        for _ in range(5 if bad else 0):
-            w[rng.randrange(60)] = w[0][:3] + "réeux" + "".join(rng.choice("abcdefgh") for _ in range(3))
-        rows.append((i, " ".join(w)))
-        labels.append((i, 1, int(bad)))
-    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in quality.resample(df, lab).collect()}
-    assert len([i for i in kept if i % 8 == 0]) <= 3
-    assert len([i for i in kept if i % 8]) >= 0.99 * 1050
-
-
 @pytest.mark.parametrize("k", [1, 7, 40, 99, 100, 500])
 def test_top_k(spark, k):
     rng = random.Random(9)
