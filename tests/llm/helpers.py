@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import types as T
 
@@ -49,3 +50,60 @@ def corpus(seed: int = 0) -> list[tuple]:
 
 def frame(spark, rows):
     return spark.createDataFrame(rows, DOCS)
+
+
+def split_lines(text: str) -> list[str]:
+    """Lines end after a line feed and after a sentence's end with a space."""
+    return [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text) if x]
+
+
+def check_line_dedup(before: dict[int, str], after: dict[int, str], least_lines: int = 2, least_words: int = 20, sure: int = 4) -> int:
+    """Plain rules for a corpus without repeated lines: what went stands earlier, what is left has no long run that stands earlier.
+
+    Returns the number of lines that went.
+    """
+    lines = {i: split_lines(t or "") for i, t in before.items()}
+    order = sorted(before)
+    gone: dict[int, list[bool]] = {}
+    for i in order:
+        # which lines are left: whole lines go, so the rest is a subsequence; equal lines are told apart by runs
+        rest, own = after[i], []
+        for line in lines[i]:
+            stays = rest.startswith(line)
+            own.append(not stays)
+            rest = rest[len(line) :] if stays else rest
+        assert rest == "", i
+        gone[i] = own
+    earlier: dict[tuple, list] = {}
+    for i in order:
+        for k in range(len(lines[i]) - least_lines + 1):
+            earlier.setdefault(tuple(lines[i][k : k + least_lines]), []).append((i, k))
+    for i in order:
+        own, n = lines[i], len(lines[i])
+        k = 0
+        while k < n:
+            if not gone[i][k]:
+                k += 1
+                continue
+            e = k
+            while e < n and gone[i][e]:
+                # each line that went is one of a pair that stands earlier
+                pairs = [own[x : x + least_lines] for x in range(max(k, e - least_lines + 1), e + 1)]
+                assert any(min(earlier.get(tuple(p), [(i, e)])) < (i, x) for p, x in zip(pairs, range(max(k, e - least_lines + 1), e + 1))), (i, e)
+                e += 1
+            assert e - k >= least_lines and len("".join(own[k:e]).split()) >= least_words, (i, k, e)
+            k = e
+        # a run whose pairs all stand first in one earlier place has gone
+        x = 0
+        while x + sure <= n:
+            firsts = [min(earlier[tuple(own[y : y + least_lines])]) for y in range(x, n - least_lines + 1)]
+            m = 0
+            while m < len(firsts) and firsts[m] < (i, x + m) and firsts[m] == (firsts[0][0], firsts[0][1] + m):
+                m += 1
+            run = own[x : x + m + least_lines - 1]
+            if m and len(run) >= sure and len("".join(run).split()) >= least_words:
+                assert all(gone[i][x : x + len(run)]), (i, x, len(run))
+                x += len(run)
+            else:
+                x += 1
+    return sum(sum(g) for g in gone.values())
