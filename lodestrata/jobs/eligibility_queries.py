@@ -42,12 +42,45 @@ def _paths(reason, value):
     return run, f"WITH {FILES} SELECT repo, path, {value[1]} AS reason FROM files WHERE {value[0]}"
 
 
+#: Rule files that lie beside the documents, and a nested repository.
+RULE_FILES = (
+    ("r0", ".gitignore", "# notes\n*.md  \n\nsrc1/\n"),
+    ("r0", ".ignore", "!*.md\n"),
+    ("r1", ".gitignore", "*.txt\r\n\\#kept\n"),
+    ("r1", "src2/.gitignore", "!*.txt"),
+    ("r2", "src3/.gitignore", "doc*.json\n!src3\n"),
+    ("r2", ".gitignore", "**/*.ts\n"),
+    ("r2", "src4/.git/HEAD", "ref"),
+)
+
+
+def corpus(spark, sf_dir):
+    """The documents as files, with rule files among them."""
+    own = spark.createDataFrame(RULE_FILES, "repo string, path string, source string").withColumn("bytes", F.octet_length("source").cast("long"))
+    return files(spark, sf_dir).select("repo", "path", "bytes", "source").unionByName(own)
+
+
+_IGNORED = """(repo = 'r1' AND path LIKE '%.txt' AND path NOT LIKE 'src2/%') OR (repo = 'r2' AND path LIKE '%.ts' AND path NOT LIKE 'src4/%')
+  OR (repo = 'r2' AND path LIKE 'src3/%' AND regexp_matches(path, '/doc[^/]*\\.json$'))"""
+WALK = E.Policy(exclude_types=("audio", "archives"), exclude=("src5/de/", "*.yaml"), protected=("src6",))
+
+
+def _marked(spark, sf_dir, every, mark):
+    """Files' bytes, with a mark after those of every so many documents."""
+    data = F.col("source").cast("binary")
+    return files(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % every == 0, F.concat(data, mark)).otherwise(data))
+
+
 def excluded(spark, sf_dir):
-    return E.excluded_counts(judged(spark, sf_dir))
+    return E.excluded_counts(E.apply_policy(E.with_own_rules(corpus(spark, sf_dir)), WALK))
 
 
-_TOPS = f"""{_JUDGED}, tops AS (SELECT DISTINCT repo, reason, CASE WHEN reason = 'hidden' THEN regexp_extract(path, '^(.*?/)?\\.[^/]*')
-  WHEN reason = 'dependency' THEN regexp_extract(path, '^.*?/(node_modules|build)') ELSE path END AS top FROM judged WHERE reason IS NOT NULL)"""
+_TOPS = f"""{_JUDGED}, tops AS (SELECT DISTINCT repo, x[1] AS reason, x[2] AS top FROM (SELECT repo, CASE
+  WHEN path LIKE 'src6/%' THEN ['protected', 'src6'] WHEN repo = 'r0' AND path LIKE 'src1/%' THEN ['ignored', 'src1'] WHEN path LIKE 'src5/de/%' THEN ['exclude_pattern', 'src5/de']
+  WHEN {_HIDDEN} THEN ['hidden', regexp_extract(path, '^(.*?/)?\\.[^/]*')] WHEN path LIKE '%/credentials.json' OR path LIKE '%.pem' THEN ['sensitive_name', path]
+  WHEN {_DEP} THEN ['dependency', regexp_extract(path, '^.*?/(node_modules|build)')] WHEN {_IGNORED} THEN ['ignored', path] WHEN path LIKE '%.yaml' THEN ['exclude_pattern', path]
+  ELSE [reason, path] END AS x FROM judged) WHERE x[1] IS NOT NULL
+  UNION ALL VALUES ('r0', 'hidden', '.gitignore'), ('r0', 'hidden', '.ignore'), ('r1', 'hidden', '.gitignore'), ('r1', 'hidden', 'src2/.gitignore'), ('r2', 'hidden', 'src3/.gitignore'), ('r2', 'hidden', '.gitignore'), ('r2', 'protected', 'src4/.git'))"""
 _COUNTS = f"WITH {_TOPS} SELECT reason, count(*) AS n FROM tops GROUP BY reason"
 _DIRS = f"WITH {_JUDGED}, dirs AS (SELECT {_TOP} AS dir, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM judged WHERE reason IS NULL GROUP BY 1)"
 RULES = [("r0", ".", ".gitignore", 0, "*.md", False), ("r0", ".", ".gitignore", 1, "src1/", False), ("r0", ".", ".ignore", 0, "*.md", True), ("r1", ".", ".gitignore", 0, "*.txt", False), ("r1", "src2", ".gitignore", 0, "*.txt", True), ("r2", "src3", ".gitignore", 0, "doc*.json", False)]
@@ -59,7 +92,7 @@ def _rules(spark):
 
 
 def f5(spark, sf_dir):
-    return E.reason_ignored(files(spark, sf_dir).select("repo", "path"), _rules(spark)).filter("ignored").select("repo", "path")
+    return E.with_own_rules(corpus(spark, sf_dir)).filter("ignored").select("repo", "path")
 
 
 def f6(spark, sf_dir):
@@ -90,8 +123,7 @@ QUERIES = {
     "f4_with_reason_dependency": _paths(E.reason_dependency, (_DEP, "'dependency'")),
     "f5_with_reason_ignored": (
         f5,
-        f"""WITH {FILES} SELECT repo, path FROM files WHERE (repo = 'r0' AND path LIKE 'src1/%') OR (repo = 'r1' AND path LIKE '%.txt' AND path NOT LIKE 'src2/%')
-        OR (repo = 'r2' AND path LIKE 'src3/%' AND regexp_matches(path, '/doc[^/]*\\.json(/|$)'))""",
+        f"WITH {FILES} SELECT repo, path FROM files WHERE (repo = 'r0' AND path LIKE 'src1/%') OR {_IGNORED}",
     ),
     "f6_scope_rules": (
         f6,
@@ -107,14 +139,17 @@ QUERIES = {
         f"WITH {FILES} SELECT repo, path, CASE WHEN bytes > 20000 THEN 'resource_limit' ELSE 'not_inspected' END AS issue FROM files WHERE bytes > 8000",
     ),
     "f10_with_reason_binary": (
-        lambda s, d: files(s, d).groupBy(E.reason_binary(F.col("source").cast("binary")).alias("reason")).agg(F.count("*").alias("n")),
-        f"WITH {FILES} SELECT CASE WHEN regexp_matches(source, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]') THEN 'binary' END AS reason, count(*) AS n FROM files GROUP BY 1",
+        lambda s, d: _marked(s, d, 11, F.lit(b"\x01")).select("repo", "path", E.reason_binary(F.col("content")).alias("reason")),
+        f"WITH {FILES} SELECT repo, path, CASE WHEN regexp_matches(CASE WHEN doc_id % 11 = 0 THEN source || chr(1) ELSE source END, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]') THEN 'binary' END AS reason FROM files",
     ),
     "f11_with_reason_invalid_utf8": (
-        lambda s, d: files(s, d).groupBy(E.reason_invalid_utf8(F.col("source").cast("binary")).alias("reason")).agg(F.count("*").alias("n")),
-        "SELECT CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM documents",
+        lambda s, d: _marked(s, d, 13, F.lit(b"\xc3")).select("repo", "path", E.reason_invalid_utf8(F.col("content")).alias("reason")),
+        f"WITH {FILES} SELECT repo, path, CASE WHEN doc_id % 13 = 0 THEN 'invalid_utf8' END AS reason FROM files",
+    ),
+    "f12_with_reason_private_key": (
+        lambda s, d: _marked(s, d, 17, F.lit(b"\n-----BEGIN EC PRIVATE KEY-----\n")).select("repo", "path", E.reason_private_key(F.col("content").cast("string")).alias("reason")).filter("reason is not null"),
+        f"WITH {FILES} SELECT repo, path, 'private_key' AS reason FROM files WHERE doc_id % 17 = 0 OR {_KEY}",
     ),
-    "f12_with_reason_private_key": _paths(lambda: E.reason_private_key(F.col("source")), (_KEY, "'private_key'")),
     "f13_with_reason_sensitive_content": _paths(lambda: E.reason_sensitive_content(F.col("source")), (_CONTENT, "'sensitive_content'")),
     "f14_apply_policy": (
         lambda s, d: judged(s, d).groupBy("repo", "reason").agg(F.count("*").alias("n")),

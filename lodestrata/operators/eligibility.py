@@ -6,8 +6,12 @@ Each predicate is a column with its reason or null; the first that fails wins.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,18 +50,23 @@ def _parts() -> Column:
     return F.split("path", "/")
 
 
-def reason_protected(prefixes=()) -> Column:
-    out = F.exists(_parts(), lambda p: p == ".git")
-    for prefix in prefixes:
-        out = out | (F.col("path") == prefix) | F.col("path").startswith(f"{prefix}/")
-    return F.when(out, "protected")
+def _first(named: Callable[[Column], Column]) -> Column:
+    """Number of the first component that ``named`` holds for; null if there is none."""
+    at = F.array_position(F.transform(_parts(), named), True)
+    return F.when(at > 0, at.cast("int"))
 
 
-def reason_hidden(hidden: bool = False) -> Column:
-    return F.when(F.lit(not hidden) & F.exists(_parts(), lambda p: p.startswith(".")), "hidden")
+def protected_at(prefixes=()) -> Column:
+    """Each ``*_at`` is the number of the component, from 1, at which a walk from the root leaves a path out; null if it doesn't."""
+    under = [F.when((F.col("path") == p) | F.col("path").startswith(f"{p}/"), F.lit(p.count("/") + 1)) for p in prefixes]
+    return F.least(_first(lambda p: p == ".git"), *under) if under else _first(lambda p: p == ".git")
 
 
-def reason_sensitive_name(include_sensitive: bool = False) -> Column:
+def hidden_at() -> Column:
+    return _first(lambda p: p.startswith("."))
+
+
+def sensitive_name_at() -> Column:
     def named(part: Column) -> Column:
         own = F.lower(part)
         hit = own.isin(*SENSITIVE_NAMES) | (own == ".env") | own.startswith(".env.")
@@ -65,12 +74,42 @@ def reason_sensitive_name(include_sensitive: bool = False) -> Column:
             hit = hit | own.endswith(suffix)
         return hit
 
-    return F.when(F.lit(not include_sensitive) & F.exists(_parts(), named), "sensitive_name")
+    return _first(named)
+
+
+def dependency_at() -> Column:
+    """Directories only: a file of such a name stays."""
+    at = _first(lambda p: p.isin(*DEPENDENCY_DIRS))
+    return F.when(at < F.size(_parts()), at)
+
+
+def exclude_at(patterns=()) -> Column:
+    if not patterns:
+        return F.lit(None).cast("int")
+    n = F.size(_parts())
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(_parts(), F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")))
+
+    def fits(pattern: str) -> Callable[[Column], Column]:
+        return lambda x: x.rlike("(?i)" + glob_regex(pattern))
+
+    at = [F.array_position(F.transform(steps, fits(p)), True) for p in patterns]
+    return F.least(*[F.when(x > 0, x.cast("int")) for x in at], F.lit(None).cast("int"))
+
+
+def reason_protected(prefixes=()) -> Column:
+    return F.when(protected_at(prefixes).isNotNull(), "protected")
+
+
+def reason_hidden(hidden: bool = False) -> Column:
+    return F.when(F.lit(not hidden) & F.exists(_parts(), lambda p: p.startswith(".")), "hidden")
+
+
+def reason_sensitive_name(include_sensitive: bool = False) -> Column:
+    return F.when(F.lit(not include_sensitive) & sensitive_name_at().isNotNull(), "sensitive_name")
 
 
 def reason_dependency(include_dependencies: bool = False) -> Column:
-    above = F.slice(_parts(), F.lit(1), F.greatest(F.size(_parts()) - 1, F.lit(0)))
-    return F.when(F.lit(not include_dependencies) & F.arrays_overlap(above, F.array(*[F.lit(x) for x in DEPENDENCY_DIRS])), "dependency")
+    return F.when(F.lit(not include_dependencies) & dependency_at().isNotNull(), "dependency")
 
 
 def glob_regex(pattern: str) -> str:
@@ -137,6 +176,35 @@ def opted_out(source: Column, pragma: str, lines: int = 10) -> Column:
     return F.exists(F.slice(F.split(source, "\n"), 1, lines), lambda line: line.contains(pragma))
 
 
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """``(repo, dir, source, ord, regex, negated)``: the rules of the corpus' own ``.gitignore`` and ``.ignore`` files, from ``files(repo, path, source)``.
+
+    A line is a rule unless it is blank or begins with ``#``. ``!`` takes back what rules before it ignored; a backslash before ``#``, ``!`` or a
+    space at the end makes that an ordinary character, other spaces at the end and a carriage return don't count. Null sources have no rules.
+    """
+    own = files.select("repo", dirname(F.col("path")).alias("dir"), basename(F.col("path")).alias("source"), F.col("source").alias("_text")).filter(F.col("source").isin(*IGNORE_FILES))
+    lines = own.select("repo", "dir", "source", F.posexplode(F.split("_text", "\n")).alias("ord", "line"))
+    trimmed = F.regexp_replace(F.regexp_replace("line", r"\r$", ""), r"(?<!\\) +$", "")
+    rules = lines.select("repo", "dir", "source", "ord", trimmed.alias("line")).filter(~F.col("line").rlike(r"^(?:#|!?/*$)"))
+    negated = F.col("line").startswith("!")
+    pattern = F.regexp_replace(F.when(negated, F.substr("line", F.lit(2))).otherwise(F.col("line")), r"\\([#! ])", "$1")
+
+    @F.pandas_udf("string")
+    def regex(patterns: pd.Series) -> pd.Series:
+        return patterns.map(glob_regex)
+
+    return rules.select("repo", "dir", "source", "ord", regex(pattern).alias("regex"), negated.alias("negated"))
+
+
+def nested_repositories(files: DataFrame) -> DataFrame:
+    """``(repo, dir)``: directories that hold a ``.git``, the root left out."""
+    inner = F.regexp_extract("path", r"^(.+?)/\.git(?:/|$)", 1)
+    return files.select("repo", inner.alias("dir")).filter("dir <> ''").distinct()
+
+
 def scope_rules(rules: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Rules with the directory they reach down to: a ``.gitignore`` above a nested repository does not reach into it.
 
@@ -147,44 +215,79 @@ def scope_rules(rules: DataFrame, boundaries: DataFrame) -> DataFrame:
     return rules.join(inner, (F.col("repo") == F.col("_r")) & below, "left").groupBy(*rules.columns).agg(F.collect_set("_d").alias("stops"))
 
 
+_compiled = lru_cache(maxsize=100_000)(lambda regex: re.compile("(?i)" + regex))
+
+
+def first_ignored(path: str, rules: list[dict]) -> int | None:
+    """Number of the first component that is ignored: of the rules of the scopes above it, in order, the last that fits decides."""
+    parts = path.split("/")
+    rules = sorted(rules, key=lambda r: (0 if r["dir"] == "." else len(r["dir"]), r["source"] == ".ignore", r["ord"]))
+    for depth in range(1, len(parts) + 1):
+        own, out = "/".join(parts[:depth]), False
+        for r in rules:
+            if r["dir"] != "." and not own.startswith(r["dir"] + "/"):
+                continue
+            if any(own == d or own.startswith(d + "/") for d in r["stops"]):
+                continue
+            inner = own if r["dir"] == "." else own[len(r["dir"]) + 1 :]
+            if _compiled(r["regex"]).search(inner if depth == len(parts) else inner + "/"):
+                out = not r["negated"]
+        if out:
+            return depth
+    return None
+
+
 def reason_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds ``ignored`` to files by gitignore-like rules with ``stops`` (see :func:`scope_rules`).
+    """Adds ``ignored`` and ``ignored_at`` to files by gitignore-like rules with ``stops`` (see :func:`scope_rules`).
 
     Each component from the top is judged by the last rule that fits among the scopes above it; the first
-    excluded one ends the walk, so that nothing below it comes back. Rules are joined by repository and
-    directory; a path has a row for each of its components and scopes while it is judged.
+    excluded one ends the walk, so that nothing below it comes back. Paths meet the rules by repository and the directories above them, so a
+    path has no more rows than directories with rules; a compiled rule serves all paths of a task.
     """
+    rows = rules.groupBy("repo", "dir").agg(F.collect_list(F.struct("source", "ord", "regex", "negated", "stops")).alias("own"))
     paths = files.select("repo", "path").distinct()
-    parts = F.array_append(ancestors(F.col("path")), F.col("path"))
-    steps = paths.select("repo", "path", F.posexplode(parts).alias("depth", "component"))
-    scopes = steps.select("repo", "path", "depth", "component", F.explode(F.concat(F.array(F.lit(".")), ancestors(F.col("component")))).alias("dir"))
-    inner = F.when(F.col("dir") == ".", F.col("component")).otherwise(F.expr("substring(component, length(dir) + 2)"))
-    stopped = F.exists("stops", lambda d: (F.col("component") == d) | F.col("component").startswith(F.concat(d, F.lit("/"))))
-    subject = F.when(F.col("component") == F.col("path"), inner).otherwise(F.concat(inner, F.lit("/")))
-    hits = scopes.join(rules, ["repo", "dir"]).filter(~stopped)
-    hits = hits.withColumn("_subject", subject).filter(F.expr("rlike(_subject, concat('(?i)', regex))"))
-    order = F.struct(F.length("dir") * F.when(F.col("dir") == ".", 0).otherwise(1), F.when(F.col("source") == ".ignore", 1).otherwise(0), F.col("ord"))
-    last = hits.groupBy("repo", "path", "depth").agg(F.max_by("negated", order).alias("negated"))
-    out = last.groupBy("repo", "path").agg(F.bool_or(~F.col("negated")).alias("ignored"))
-    return files.join(out, ["repo", "path"], "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+    steps = paths.select("repo", "path", F.explode(F.concat(F.array(F.lit(".")), ancestors(F.col("path")))).alias("dir"))
+    met = steps.join(rows, ["repo", "dir"]).groupBy("repo", "path").agg(F.collect_list(F.struct("dir", "own")).alias("scopes"))
+
+    @F.pandas_udf("int")
+    def judged(path: pd.Series, scopes: pd.Series) -> pd.Series:
+        found = [first_ignored(p, [{"dir": x["dir"], **dict(r)} for x in own for r in x["own"]]) for p, own in zip(path, scopes)]
+        return pd.Series(found, dtype="Int32")
+
+    out = met.select("repo", "path", judged("path", "scopes").alias("ignored_at")).filter("ignored_at is not null")
+    return files.join(out, ["repo", "path"], "left").withColumn("ignored", F.col("ignored_at").isNotNull())
+
+
+def with_own_rules(files: DataFrame) -> DataFrame:
+    """Adds ``ignored`` and ``ignored_at`` by the rule files that ``files(repo, path, source)`` hold, within the nested repositories they hold."""
+    return reason_ignored(files, scope_rules(ignore_rules(files), nested_repositories(files)))
 
 
 def apply_policy(files: DataFrame, policy: Policy = Policy(), content: bool = True) -> DataFrame:
-    """Adds ``reason``, null for an eligible file. ``ignored``, if there, is heeded unless the policy lifts it."""
-    chain = [
-        reason_protected(policy.protected),
-        reason_hidden(policy.hidden),
-        reason_sensitive_name(policy.include_sensitive),
-        reason_dependency(policy.include_dependencies),
-    ]
-    if "ignored" in files.columns and not policy.no_ignore:
-        chain.append(F.when(F.col("ignored"), "ignored"))
-    chain += [reason_exclude(policy.exclude), reason_file_type(policy.only, policy.exclude_types)]
+    """Adds ``reason``, null for an eligible file, and ``top``, the path down to the component that was left out.
+
+    A walk from the root leaves out a directory with all below it, so the first component with a reason decides, and
+    of its reasons the first in order; then come the file's own reasons. ``ignored_at``, if there (see :func:`with_own_rules`), is heeded unless the policy lifts it.
+    """
+    walk = [("protected", protected_at(policy.protected))]
+    if not policy.hidden:
+        walk.append(("hidden", hidden_at()))
+    if not policy.include_sensitive:
+        walk.append(("sensitive_name", sensitive_name_at()))
+    if not policy.include_dependencies:
+        walk.append(("dependency", dependency_at()))
+    if "ignored_at" in files.columns and not policy.no_ignore:
+        walk.append(("ignored", F.col("ignored_at")))
+    walk.append(("exclude_pattern", exclude_at(policy.exclude)))
+    steps = [F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(i).alias("i"), F.lit(reason).alias("reason"))) for i, (reason, at) in enumerate(walk)]
+    own = [reason_file_type(policy.only, policy.exclude_types)]
     if "content" in files.columns:
-        chain += [reason_binary(F.col("content")), reason_invalid_utf8(F.col("content"))]
+        own += [reason_binary(F.col("content")), reason_invalid_utf8(F.col("content"))]
     if content:
-        chain += [reason_private_key(F.col("source"), policy.include_sensitive), reason_sensitive_content(F.col("source"), policy.include_sensitive)]
-    return files.withColumn("reason", F.coalesce(*chain))
+        own += [reason_private_key(F.col("source"), policy.include_sensitive), reason_sensitive_content(F.col("source"), policy.include_sensitive)]
+    judged = files.withColumn("_walk", F.least(*steps))
+    reason = F.coalesce(F.col("_walk.reason"), *own)
+    return judged.withColumns({"reason": reason, "top": F.coalesce(F.array_join(F.slice(_parts(), F.lit(1), F.col("_walk.at")), "/"), F.col("path"))}).drop("_walk")
 
 
 def inventory_by_dir(judged: DataFrame) -> DataFrame:
@@ -194,15 +297,8 @@ def inventory_by_dir(judged: DataFrame) -> DataFrame:
 
 
 def excluded_counts(judged: DataFrame) -> DataFrame:
-    """Excluded paths by reason; what lies below an excluded directory counts once, as that directory."""
-    def cut(names) -> Column:  # the path down to the first part that gave the reason
-        return F.array_join(F.slice(_parts(), F.lit(1), names), "/")
-
-    hidden_at = F.expr("array_position(transform(split(path, '/'), p -> startswith(p, '.')), true)")
-    dep = F.array(*[F.lit(x) for x in DEPENDENCY_DIRS])
-    dep_at = F.array_position(F.transform(_parts(), lambda p: F.array_contains(dep, p)), True)
-    top = F.when(F.col("reason") == "hidden", cut(hidden_at.cast("int"))).when(F.col("reason") == "dependency", cut(dep_at.cast("int"))).otherwise(F.col("path"))
-    return judged.filter("reason is not null").select("repo", top.alias("top"), "reason").distinct().groupBy("reason").agg(F.count("*").alias("n"))
+    """Excluded paths by reason; what lies below an excluded directory counts once, as that directory, whatever the reason."""
+    return judged.filter("reason is not null").select("repo", "top", "reason").distinct().groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def ordered_exclusions(excluded: DataFrame) -> DataFrame:
@@ -234,10 +330,15 @@ def extension_histogram(files: DataFrame) -> DataFrame:
 
 
 def bound_entries(entries: DataFrame, max_entries: int = 100_000) -> DataFrame:
-    """The first entries of each repository by path; ``issue`` on all where some were left out."""
-    w = W.partitionBy("repo")
-    ranked = entries.withColumn("_n", F.row_number().over(w.orderBy("path"))).withColumn("_all", F.count("*").over(w))
-    return ranked.filter(F.col("_n") <= max_entries).withColumn("issue", F.when(F.col("_all") > max_entries, "resource_limit")).drop("_n", "_all")
+    """The first entries of each repository by path; ``issue`` on all where some were left out.
+
+    Each task passes on its own first entries only, so a large repository costs ``max_entries`` rows a task.
+    """
+    n = entries.groupBy("repo").agg(F.count("*").alias("_all"))
+    # a limit on the rank alone: tasks keep their first entries before the exchange
+    first = entries.withColumn("_n", F.row_number().over(W.partitionBy("repo").orderBy("path"))).filter(F.col("_n") <= max_entries)
+    joined = first.withColumnRenamed("repo", "_repo").join(n, F.col("_repo").eqNullSafe(F.col("repo"))).drop("_repo")
+    return joined.withColumn("issue", F.when(F.col("_all") > max_entries, "resource_limit")).select(*entries.columns, "issue")
 
 
 def directory_preview(entries: DataFrame, max_items: int = 64, max_bytes: int = 4096) -> DataFrame:
