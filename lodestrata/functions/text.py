@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +18,19 @@ def request_tokens(n_bytes: Column, n_questions: Column) -> Column:
     return F.least(F.lit(65536).cast("long"), (n_bytes + 512 + 32 * n_questions).cast("long"))
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility forms composed; texts that are ASCII stay as they are."""
+
+    @F.pandas_udf("string")
+    def composed(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return composed(text)
+
+
 def identifiers(text: Column) -> Column:
-    """Distinct identifiers in order of appearance. Compatibility forms have to be composed before."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[_\p{L}\p{Nl}][_\p{L}\p{Nl}\p{Nd}\p{Mn}\p{Mc}\p{Pc}]*"), F.lit(0)))
+    """Distinct identifiers of the NFKC form, in order of appearance."""
+    return F.array_distinct(F.regexp_extract_all(nfkc(text), F.lit(r"[_\p{L}\p{Nl}][_\p{L}\p{Nl}\p{Nd}\p{Mn}\p{Mc}\p{Pc}]*"), F.lit(0)))
 
 
 def shannon_entropy(text: Column) -> Column:

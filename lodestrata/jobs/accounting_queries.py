@@ -39,6 +39,29 @@ def _money(df):
     return df.withColumns({c: F.col(c).cast("double") for c, t in df.dtypes if t.startswith("decimal")})
 
 
+def _logs(s, d):
+    """Every event as a request: some started twice, some without an end, a request or a response file, some that failed, broke off or were left early."""
+    e, i = _events(s, d), F.col("event_id")
+    own = e.select(i.alias("request_id"), F.col("user_id").cast("long").alias("sent"), (F.col("value") * 100).cast("long").alias("kept"))
+    again = own.filter("request_id % 29 = 0")
+    ends = own.filter("request_id % 31 > 0").select(
+        "request_id",
+        F.when(F.col("request_id") % 37 == 0, 500).otherwise(200).alias("status"),
+        "sent",
+        F.when(F.col("request_id") % 41 == 0, F.floor(F.col("kept") / 2)).when(F.col("request_id") % 43 == 0, F.col("kept") + 1).otherwise(F.col("kept")).cast("long").alias("response_bytes"),
+        (F.col("request_id") % 47 == 0).alias("incomplete"),
+        F.when(F.col("request_id") % 82 == 0, "BrokenPipeError").when(F.col("request_id") % 53 == 0, "TimeoutError").alias("error"),
+    )
+    requests = own.filter("request_id % 59 > 0").select("request_id", F.col("sent").alias("bytes"))
+    responses = own.filter("request_id % 61 > 0").select("request_id", F.col("kept").alias("bytes"))
+    return own.select("request_id").unionByName(again.select("request_id")), ends.withColumnRenamed("sent", "request_bytes"), requests, responses
+
+
+_LOGS = """e AS (SELECT event_id AS i, CAST(trunc(value * 100) AS BIGINT) AS kept FROM events), reconciled AS (SELECT i AS request_id, CASE WHEN i % 29 = 0 THEN 2 ELSE 1 END AS n_starts, CASE WHEN i % 31 > 0 THEN 1 ELSE 0 END AS n_ends,
+  CASE WHEN i % 59 > 0 THEN 1 ELSE 0 END AS n_requests, CASE WHEN i % 61 > 0 THEN 1 ELSE 0 END AS n_responses,
+  i % 29 > 0 AND i % 31 > 0 AND i % 59 > 0 AND i % 61 > 0 AND i % 37 > 0 AND i % 47 > 0 AND CASE WHEN i % 82 = 0 THEN true WHEN i % 53 = 0 THEN false WHEN i % 41 = 0 THEN kept // 2 = kept ELSE i % 43 > 0 END AS matched FROM e)"""
+
+
 def j16(s, d):
     e = table(s, d, "part")
     now = e.select(F.concat(F.lit("f"), "p_partkey").alias("path"), (F.col("p_size") * 400).cast("long").alias("tokens"))
@@ -53,7 +76,7 @@ def w13(s, d):
 
 
 def w14(s, d):
-    e = _events(s, d).filter("event_type in ('click', 'view')")
+    e = _events(s, d)
     return A.work_clock(e.select("user_id", "event_id", "ts", (F.col("event_type") == "view").alias("retrieval"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("delta")), ["user_id"])
 
 
@@ -63,14 +86,11 @@ def w12(s, d):
 
 
 QUERIES = {
-    "j13_reconcile_log": (
-        lambda s, d: A.reconcile_log(_events(s, d, "click").select(F.col("user_id").alias("request_id")), _events(s, d, "view").filter("user_id % 3 > 0").select(F.col("user_id").alias("request_id"))),
-        """WITH a AS (SELECT user_id AS request_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id AS request_id, count(*) AS m FROM events WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY 1)
-        SELECT request_id, coalesce(n, 0) AS n_starts, coalesce(m, 0) AS n_ends, coalesce(n, 0) = 1 AND coalesce(m, 0) = 1 AS matched FROM a FULL JOIN b USING (request_id)""",
-    ),
+    "j13_reconcile_log": (lambda s, d: A.reconcile_log(*_logs(s, d)), f"WITH {_LOGS} SELECT request_id, n_starts, n_ends, n_requests, n_responses, matched FROM reconciled"),
+    "j13_log_covered": (lambda s, d: A.log_covered(A.reconcile_log(*_logs(s, d))), f"WITH {_LOGS} SELECT count(*) AS ids, bool_and(matched) AS covered FROM reconciled"),
     "u5_id_coverage": (
-        lambda s, d: A.id_coverage(_events(s, d, "click"), _events(s, d, "view").filter("user_id % 3 > 0"), "user_id"),
-        """WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS m FROM events WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY 1), f AS (SELECT * FROM a FULL JOIN b USING (user_id))
+        lambda s, d: A.id_coverage(_events(s, d).filter("event_type <> 'view'"), _events(s, d, "view").filter("user_id % 3 > 0"), "user_id"),
+        """WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1), b AS (SELECT user_id, count(*) AS m FROM events WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY 1), f AS (SELECT * FROM a FULL JOIN b USING (user_id))
         SELECT count(*) FILTER (n IS NOT NULL AND m IS NOT NULL) AS "both", count(*) FILTER (m IS NULL) AS left_only, count(*) FILTER (n IS NULL) AS right_only, bool_and(coalesce(n = 1 AND m = 1, false)) AS covered FROM f""",
     ),
     "j14_compare_to_baseline": (
@@ -97,8 +117,8 @@ QUERIES = {
     ),
     "a12_cohort_summary": (lambda s, d: _money(_summary(s, d)), f"WITH {_SUMMARY} SELECT * REPLACE (total_cost::DOUBLE AS total_cost, known_cost::DOUBLE AS known_cost) FROM summary"),
     "a13_cost_ratios": (
-        lambda s, d: A.cost_ratios(_money(attempts(s, d).filter("cost is not null").groupBy("task").agg(F.count("*").alias("attempts"), F.count_if("resolved").alias("solved"), V.sum_or_unknown(F.col("cost")).alias("total_cost")))).select("task", F.round("per_attempt", 6).alias("per_attempt"), F.round("per_solve", 6).alias("per_solve")),
-        f"WITH {ATTEMPTS}, c AS (SELECT task, count(*) AS n, count(*) FILTER (resolved) AS m, sum(cost)::DOUBLE AS t FROM attempts WHERE cost IS NOT NULL GROUP BY 1) SELECT task, round(t / n, 6) AS per_attempt, round(t / nullif(m, 0), 6) AS per_solve FROM c",
+        lambda s, d: A.cost_ratios(_money(attempts(s, d).groupBy("task").agg(F.count("*").alias("attempts"), F.count_if(F.expr("resolved and attempt % 50 > task")).alias("solved"), V.sum_or_unknown(F.col("cost")).alias("total_cost")))).select("task", F.round("per_attempt", 6).alias("per_attempt"), F.round("per_solve", 6).alias("per_solve")),
+        f"WITH {ATTEMPTS}, c AS (SELECT task, count(*) AS n, count(*) FILTER (resolved AND attempt % 50 > task) AS m, CASE WHEN bool_and(cost IS NOT NULL) THEN sum(cost)::DOUBLE END AS t FROM attempts GROUP BY 1) SELECT task, round(t / n, 6) AS per_attempt, round(t / nullif(m, 0), 6) AS per_solve FROM c",
     ),
     "a14_median_of_medians": (
         lambda s, d: A.median_of_medians(_events(s, d), ["event_type"], "user_id", "value"),
@@ -124,7 +144,7 @@ QUERIES = {
     ),
     "w14_work_clock": (
         w14,
-        """WITH e AS (SELECT user_id, event_id, ts, event_type = 'view' AS r, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM events WHERE event_type IN ('click', 'view')),
+        """WITH e AS (SELECT user_id, event_id, ts, event_type = 'view' AS r, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM events),
         s AS (SELECT user_id, sum(CASE WHEN r THEN d ELSE 0 END) OVER w AS r, sum(CASE WHEN r THEN 0 ELSE d END) OVER w AS o, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS us FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
         SELECT user_id, CAST(coalesce(sum(us) FILTER (r > 0 AND o <= 0), 0) AS BIGINT) AS credited_micros, CAST(coalesce(sum(us) FILTER (NOT (r > 0 AND o <= 0)), 0) AS BIGINT) AS work_micros FROM s GROUP BY 1""",
     ),

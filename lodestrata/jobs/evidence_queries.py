@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as V
 from ..operators import units as U
-from .mapping import FILES, SCORES, SPANS, files, scores, spans, table
+from .mapping import CUTS, FILES, SCORES, SPANS, files, scores, spans, table
 
 _FOUND = f"{SCORES}, found AS (SELECT query_id, path, max(score) AS score, max(CASE WHEN chunk % 3 = 0 THEN score END) AS priority FROM scores GROUP BY ALL)"
 
@@ -26,6 +26,13 @@ def w3(s, d):
     return V.allocate_source(_sized(s, d).select("query_id", F.lit(0).alias("rank"), F.col("ord").alias("excerpt"), "bytes"), 20_000).drop("rank")
 
 
+def _excerpts(s, d):
+    """Events as excerpts of files of their own; users whose number five divides have none."""
+    return table(s, d, "events").filter("user_id % 5 > 0").select(
+        (F.col("user_id") % 97).alias("query_id"), F.concat(F.lit("d"), "event_id").alias("path"), (F.col("user_id") % 3).alias("n_groups"), F.lit(0).alias("start"), F.octet_length("event_type").alias("end"), F.col("event_type").alias("source")
+    )
+
+
 def w4(s, d):
     lines = table(s, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("line_no"), F.col("text").alias("line"))
     return V.truncate_output(lines, 3000).select("query_id", "line_no", "so_far", "truncated")
@@ -92,16 +99,17 @@ QUERIES = {
         AND (repo, regexp_replace(replace(path, doc_id::VARCHAR, ''), '/README$', '')) IN (SELECT (repo, split_part(path, '/', 1) || '/' || split_part(path, '/', 2)) FROM files)""",
     ),
     "j11_attach_evidence": (
-        lambda s, d: V.attach_evidence(found(s, d).select("query_id", "path"), _sized(s, d).select("query_id", F.col("ord").alias("path"), F.lit(0).alias("start"), "bytes"), 64_000),
-        f"""WITH {_FOUND}, {_SIZED}, f AS (SELECT query_id, count(*) AS n_excerpts, CAST(sum(bytes) AS BIGINT) AS evidence_bytes FROM (SELECT *, sum(bytes) OVER (PARTITION BY query_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS t FROM sized) WHERE t <= 64000 GROUP BY 1)
-        SELECT query_id, path, n_excerpts, evidence_bytes FROM found LEFT JOIN f USING (query_id)""",
+        lambda s, d: V.attach_evidence(found(s, d).select("query_id", "path"), _excerpts(s, d), 6000).select("query_id", "path", F.to_json("evidence").alias("evidence")),
+        f"""WITH {_FOUND}, x AS (SELECT user_id % 97 AS query_id, 'd' || event_id AS path, user_id % 3 AS n, event_type AS source FROM events WHERE user_id % 5 > 0),
+        j AS (SELECT query_id, '[' || string_agg('{{"path":"' || path || '","start":0,"end":' || strlen(source) || ',"source":"' || source || '"}}', ',' ORDER BY n, path) || ']' AS evidence FROM x GROUP BY 1)
+        SELECT found.query_id, found.path, CASE WHEN strlen(evidence) <= 6000 THEN evidence END AS evidence FROM found LEFT JOIN j USING (query_id)""",
     ),
     "o9_order_donors": (
         o9,
         f"WITH {SCORES}, g AS (SELECT query_id, path, count(*) AS n FROM scores GROUP BY ALL) SELECT query_id, string_agg(path, ',' ORDER BY n, path) AS donors FROM g GROUP BY query_id",
     ),
     "g1_split_source": (
-        lambda s, d: U.split_source(files(s, d), 3000).groupBy("path").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.min("byte_start").alias("first"), F.max("byte_end").alias("last"), (F.max("byte_end") <= 3000 * F.count("*")).alias("bounded")),
-        f"WITH {FILES} SELECT path, bytes, 0 AS first, bytes AS last, true AS bounded FROM files WHERE bytes > 0",
+        lambda s, d: U.split_source(files(s, d), 3000).select("path", "unit", "byte_start", "byte_end", F.octet_length("text").cast("long").alias("bytes")),
+        f"WITH RECURSIVE {FILES}, own AS (SELECT * FROM files), {CUTS.format(3000)} SELECT path, unit, byte_start, byte_end, byte_end - byte_start AS bytes FROM cuts WHERE unit >= 0",
     ),
 }

@@ -64,3 +64,10 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ATTEMPTS = """attempts AS (SELECT o_orderkey AS attempt, o_custkey % 50 AS task, o_orderstatus = 'F' AS resolved,
   CASE WHEN o_orderkey % 41 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS cost, o_orderdate AS "at", o_orderpriority AS arm FROM orders)"""
+
+
+#: Units of ``own(path, bytes, source)`` of at most so many bytes: to the last line feed that fits, else as many characters as fit. For ``WITH RECURSIVE``.
+CUTS = """chars AS (SELECT path, c, sum(strlen(c)) OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING) AS ends FROM (SELECT path, i, x[i] AS c FROM (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT path, string_split(source, '') AS x FROM own WHERE bytes > 0)))),
+  cuts AS (SELECT path, -1 AS unit, 0 AS byte_start, CAST(0 AS HUGEINT) AS byte_end FROM own WHERE bytes > 0
+  UNION ALL SELECT u.path, u.unit + 1, u.byte_end::INT, CASE WHEN max(o.bytes) <= u.byte_end + {0} THEN max(o.bytes) ELSE coalesce(max(c.ends) FILTER (c.c = chr(10)), max(c.ends)) END
+    FROM cuts u JOIN own o ON o.path = u.path AND o.bytes > u.byte_end JOIN chars c ON c.path = u.path AND c.ends > u.byte_end AND c.ends <= u.byte_end + {0} GROUP BY u.path, u.unit, u.byte_end)"""

@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import preview as V
-from .mapping import FILES, files, table
+from .mapping import CUTS, FILES, files, table
 
 
 def x2(s, d):
     V.register_units(s)
     files(s, d).select("path", "source").createOrReplaceTempView("lodestrata_sources")
-    rows = s.sql("SELECT path, u.* FROM lodestrata_sources, LATERAL source_units(source, 3000) u")
-    return rows.groupBy("path").agg(F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"), (F.max(F.col("byte_end") - F.col("byte_start")) <= 3000).alias("bounded"))
+    return s.sql("SELECT path, u.* FROM lodestrata_sources, LATERAL source_units(source, 3000) u")
+
+
+#: Parts as modules of a class with as many lines as the part's size; the query names the class of size 7.
+_CLASS = F.expr("concat('a\nclass C', p_size, ':\n', repeat('x\n', p_size))")
+_QUERY, _BUDGET = "class C7", 40
 
 
 def x3(s, d):
     V.register_preview(s)
-    table(s, d, "part").select("p_partkey", F.expr("concat('a\nclass C', p_size, ':\n', repeat('x\n', p_size))").alias("source")).createOrReplaceTempView("lodestrata_parts")
-    return s.sql("SELECT p_partkey, p.* FROM lodestrata_parts, LATERAL preview_spans(source, 'class C7', 8) p")
+    table(s, d, "part").select("p_partkey", _CLASS.alias("source")).createOrReplaceTempView("lodestrata_parts")
+    return s.sql(f"SELECT p_partkey, p.* FROM lodestrata_parts, LATERAL preview_spans(source, '{_QUERY}', {_BUDGET}) p")
 
 
 def g7(s, d):
-    """For every file, whether its spans keep to the budget and to the file."""
-    found = V.query_preview(files(s, d), "target first", 2000).groupBy("path").agg(F.sum(F.col("byte_end") - F.col("byte_start")).alias("n"), F.max("byte_end").alias("last"))
-    both = files(s, d).select("path", "bytes").join(found, "path", "left")
-    return both.select("path", (F.coalesce("n", F.lit(0)) <= 2000).alias("bounded"), (F.coalesce("last", F.lit(0)) <= F.col("bytes")).alias("within"))
+    return V.query_preview(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), _CLASS.alias("source")), _QUERY, _BUDGET)
+
 
+#: The opening quarter holds the first line only; then the class's line and as many of its lines as fit 38 bytes, found by the query or as a spread window.
+_SPANS = """p AS (SELECT p_partkey, p_size AS k, 8 + length(p_size::VARCHAR) + 1 AS head FROM part), t AS (SELECT *, k <= 13 AS whole FROM p),
+  spans AS (SELECT p_partkey, 'opening' AS basis, 1 AS start_line, 1 AS end_line, 0 AS byte_start, 2 AS byte_end FROM t
+  UNION ALL SELECT p_partkey, CASE WHEN k = 7 THEN 'query' ELSE 'spread' END, 2, CASE WHEN whole THEN k + 3 ELSE 15 END, 2, 2 + head + CASE WHEN whole THEN 2 * k ELSE 26 END FROM t)"""
 
 QUERIES = {
-    "g7_query_preview": (g7, f"WITH {FILES} SELECT path, true AS bounded, true AS within FROM files"),
-    "x2_units_udtf": (x2, f"WITH {FILES} SELECT path, bytes, true AS bounded FROM files WHERE bytes > 0"),
-    "x3_preview_udtf": (x3, None),
+    "g7_query_preview": (g7, f"WITH {_SPANS} SELECT p_partkey::VARCHAR AS path, basis, start_line, end_line, byte_start, byte_end FROM spans"),
+    "x2_units_udtf": (x2, f"WITH RECURSIVE {FILES}, own AS (SELECT * FROM files), {CUTS.format(3000)} SELECT path, unit, byte_start, byte_end FROM cuts WHERE unit >= 0"),
+    "x3_preview_udtf": (x3, f"WITH {_SPANS} SELECT p_partkey, basis, start_line, end_line FROM spans"),
 }

@@ -12,14 +12,14 @@ from .mapping import FILES, SCORES, files, scores, table
 _NOW = "timestamp '2024-02-02 00:00:00'"
 _IDS = "list_distinct(list_transform(regexp_extract_all(text, '[_\\p{L}\\p{Nl}][_\\p{L}\\p{Nl}\\p{Nd}\\p{Mn}\\p{Mc}\\p{Pc}]*'), lambda x: lower(x)))"
 _TOKENS = f"""i AS (SELECT doc_id AS item_id, unnest({_IDS}) AS t FROM documents), q AS (SELECT item_id AS query_id, unnest({_IDS}) AS t FROM benchmark)"""
-_ANSWERS = f"""questions AS (SELECT event_id, user_id AS digest FROM events WHERE event_id % 7 = 0), answers AS (SELECT user_id AS digest, max(ts) AS created_at FROM events WHERE event_type = 'view' AND user_id % 4 > 0 GROUP BY 1),
+_ANSWERS = f"""questions AS (SELECT event_id, user_id AS digest FROM events), answers AS (SELECT user_id AS digest, max(ts) AS created_at FROM events WHERE event_type = 'view' AND user_id % 4 > 0 GROUP BY 1),
  fresh AS (SELECT * FROM answers WHERE created_at <= {_NOW} AND epoch_us({_NOW}) - epoch_us(created_at) < 604800000000)"""
 
 
 def _answers(s, d):
     e = table(s, d, "events")
     answers = e.filter("event_type = 'view' and user_id % 4 > 0").groupBy(F.col("user_id").alias("digest")).agg(F.max("ts").alias("created_at"))
-    return R.lookup_answers(e.filter("event_id % 7 = 0").select("event_id", F.col("user_id").alias("digest")), answers, F.expr(_NOW))
+    return R.lookup_answers(e.select("event_id", F.col("user_id").alias("digest")), answers, F.expr(_NOW))
 
 
 def _texts(s, d):
@@ -54,6 +54,11 @@ def o8(s, d):
     return R.pick_probe(best, best.filter("score > 0.9").select("query_id", "path"))
 
 
+def _tamed(s, d):
+    """All scores; those of odd queries are none of them strong."""
+    return scores(s, d).withColumn("score", F.when(F.col("query_id") % 2 == 1, F.col("score") * 0.599).otherwise(F.col("score")))
+
+
 _BEST = f"{SCORES}, best AS (SELECT query_id, path, max(score) AS score FROM scores GROUP BY ALL)"
 
 QUERIES = {
@@ -91,9 +96,9 @@ QUERIES = {
         f"WITH {_BEST} SELECT query_id, path, score, min(chunk) AS chunk FROM scores JOIN best USING (query_id, path, score) GROUP BY ALL",
     ),
     "a6_suppress_floods": (
-        lambda s, d: R.suppress_floods(scores(s, d).filter("score < 0.6 or query_id % 2 = 0"), 20),
-        f"""WITH {SCORES}, s AS (SELECT * FROM scores WHERE score < 0.6 OR query_id % 2 = 0), f AS (SELECT query_id, count(*) FILTER (score > 0.5 AND score < 0.6) >= 20 AND NOT bool_or(score >= 0.6) AS flood FROM s GROUP BY 1)
-        SELECT s.* FROM s JOIN f USING (query_id) WHERE score > 0.5 AND (NOT flood OR score >= 0.6)""",
+        lambda s, d: R.suppress_floods(_tamed(s, d), 20).withColumn("score", F.round("score", 9)),
+        f"""WITH {SCORES}, s AS (SELECT query_id, path, chunk, CASE WHEN query_id % 2 = 1 THEN score * 0.599 ELSE score END AS score FROM scores), f AS (SELECT query_id, count(*) FILTER (score > 0.5 AND score < 0.6) >= 20 AND NOT bool_or(score >= 0.6) AS flood FROM s GROUP BY 1)
+        SELECT s.* REPLACE (round(score, 9) AS score) FROM s JOIN f USING (query_id) WHERE score > 0.5 AND (NOT flood OR score >= 0.6)""",
     ),
     "a8_distinct_requests": (
         lambda s, d: R.distinct_requests(table(s, d, "events").select(F.sha2("props", 256).alias("digest"), F.col("props").alias("question"))),
@@ -114,8 +119,8 @@ QUERIES = {
         f"WITH {_BEST}, b AS (SELECT * FROM best WHERE score <= 0.9) SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS n FROM b) WHERE n = 1",
     ),
     "u2_union_waves": (
-        lambda s, d: R.union_waves(*[scores(s, d).filter(f"chunk = {k}").select("query_id", "path") for k in (1, 2, 3)]),
-        f"WITH {SCORES} SELECT DISTINCT query_id, path FROM scores WHERE chunk IN (1, 2, 3)",
+        lambda s, d: R.union_waves(*[scores(s, d).filter(f"chunk {k}").select("query_id", "path") for k in ("= 1", "= 2", "> 2")]),
+        f"WITH {SCORES} SELECT DISTINCT query_id, path FROM scores",
     ),
     "w2_navigation_budget": (
         w2,

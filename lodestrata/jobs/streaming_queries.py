@@ -52,11 +52,13 @@ def t3(s, d):
 
 
 def t5(s, d):
-    return drained(J.stream_dedupe(_events(s, d).withColumn("generation_id", F.col("user_id") % 100), "generation_id", "400 days"), "append").select("generation_id").distinct()
+    """How many events of each id come through; one, if repeats are dropped."""
+    rows = drained(J.stream_dedupe(_events(s, d).withColumn("generation_id", F.col("user_id") % 100), "generation_id", "400 days"), "append")
+    return rows.groupBy("generation_id").agg(F.count("*").alias("n"))
 
 
 def t6(s, d):
-    e = _events(s, d).filter("event_type in ('click', 'view')")
+    e = _events(s, d)
     own = e.select(F.col("user_id").alias("attempt"), "event_id", "ts", (F.col("event_type") == "view").alias("retrieval"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("delta"))
     return _last(drained(J.stream_work_clock(own), "update"), ["attempt"])
 
@@ -64,14 +66,14 @@ def t6(s, d):
 def t7(s, d):
     e = _events(s, d).select((F.col("user_id") % 50).alias("digest"), F.col("value").alias("probability"), F.col("ts").alias("created_at"))
     out = drained(J.stream_answers(e, "7 days", "1 hour"), "complete")
-    return out.groupBy("digest").agg(F.max("created_at").cast("timestamp_ntz").alias("created_at"))
+    return out.select("digest", "probability", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "expires_at")])
 
 
 def t4(s, d):
     e = _events(s, d)
     starts = e.filter("event_type = 'click'").select(F.col("user_id").alias("request_id"), "ts")
     ends = e.filter("event_type = 'view'").select(F.col("user_id").alias("request_id"), "ts")
-    return drained(J.stream_match(starts, ends, "1 hour", "6 hours"), "append").filter("ended is not null").select("request_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))
+    return drained(J.stream_match(starts, ends, "1 hour", "6 hours"), "append").select("request_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))
 
 
 QUERIES = {
@@ -84,14 +86,19 @@ QUERIES = {
     "t3_stream_rate": (t3, "SELECT date_trunc('hour', ts) AS start, count(*) AS requests, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1"),
     "t4_stream_match": (
         t4,
-        "SELECT s.user_id AS request_id, s.ts AS started, e.ts AS ended FROM events s JOIN events e ON s.user_id = e.user_id AND s.event_type = 'click' AND e.event_type = 'view' AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 6 HOUR",
+        # an unfinished start is told once no end in time can come any more
+        """WITH s AS (SELECT user_id, ts FROM events WHERE event_type = 'click'), e AS (SELECT user_id, ts FROM events WHERE event_type = 'view'), j AS (SELECT s.user_id, s.ts, e.ts AS ended FROM s LEFT JOIN e ON s.user_id = e.user_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 6 HOUR)
+        SELECT user_id AS request_id, ts AS started, ended FROM j WHERE ended IS NOT NULL OR ts + INTERVAL 6 HOUR < least((SELECT max(ts) FROM s), (SELECT max(ts) FROM e)) - INTERVAL 1 HOUR""",
     ),
-    "t5_stream_dedupe": (t5, "SELECT DISTINCT user_id % 100 AS generation_id FROM events"),
+    "t5_stream_dedupe": (t5, "SELECT user_id % 100 AS generation_id, 1 AS n FROM events GROUP BY 1"),
     "t6_stream_work_clock": (
         t6,
-        """WITH e AS (SELECT user_id, event_id, ts, event_type = 'view' AS r, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM events WHERE event_type IN ('click', 'view')),
+        """WITH e AS (SELECT user_id, event_id, ts, event_type = 'view' AS r, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM events),
         s AS (SELECT user_id, sum(CASE WHEN r THEN d ELSE 0 END) OVER w AS r, sum(CASE WHEN r THEN 0 ELSE d END) OVER w AS o, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS us FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
         SELECT user_id AS attempt, CAST(coalesce(sum(us) FILTER (r > 0 AND o <= 0), 0) AS BIGINT) AS credited_micros, CAST(coalesce(sum(us) FILTER (NOT (r > 0 AND o <= 0)), 0) AS BIGINT) AS work_micros FROM s GROUP BY 1""",
     ),
-    "t7_stream_answers": (t7, "SELECT user_id % 50 AS digest, max(ts) AS created_at FROM events GROUP BY 1"),
+    "t7_stream_answers": (
+        t7,
+        """SELECT user_id % 50 AS digest, arg_max(value, ts) AS probability, max(ts) AS created_at, max(ts) + INTERVAL 7 DAY AS expires_at FROM events GROUP BY user_id % 50, epoch_us(ts) // 604800000000""",
+    ),
 }

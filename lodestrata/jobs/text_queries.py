@@ -35,8 +35,8 @@ QUERIES = {
         f"WITH {FILES} SELECT path, CAST(floor(bytes / 4 + 0.5) AS BIGINT) AS tokens, CAST(least(65536, bytes + 512 + 160) AS BIGINT) AS request FROM files",
     ),
     "p8_identifiers": (
-        lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(T.identifiers(F.col("text"))).alias("token")),
-        "SELECT item_id, unnest(list_distinct(regexp_extract_all(text, '[_\\p{L}\\p{Nl}][_\\p{L}\\p{Nl}\\p{Nd}\\p{Mn}\\p{Mc}\\p{Pc}]*'))) AS token FROM benchmark",
+        lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(T.identifiers(F.concat("text", F.lit(" \ufb01le \uff26\uff55ll \u2460 x\u00b2 re\u0301u")))).alias("token")),
+        "SELECT item_id, unnest(list_distinct(regexp_extract_all(nfc_normalize(text) || ' file Full 1 x2 r\u00e9u', '[_\\p{L}\\p{Nl}][_\\p{L}\\p{Nl}\\p{Nd}\\p{Mn}\\p{Mc}\\p{Pc}]*'))) AS token FROM benchmark",
     ),
     "p9_shannon_entropy": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.round(T.shannon_entropy(F.col("p_name")), 9).alias("bits")),
@@ -54,7 +54,10 @@ QUERIES = {
         _events(lambda: F.array_join(V.role_labels(F.create_map(F.col("event_type"), F.col("value") / 50, F.lit("owner"), F.col("value") / 25, F.lit("priority"), F.lit(1.0))), ",").alias("roles")),
         "SELECT event_id, coalesce(array_to_string(list_sort(list_filter([CASE WHEN value / 50 > 0.5 THEN event_type END, CASE WHEN value / 25 > 0.5 THEN 'owner' END], lambda x: x IS NOT NULL)), ','), '') AS roles FROM events",
     ),
-    "p13_quote_label": (_events(lambda: T.quote_label(F.col("event_type")).alias("label")), """SELECT event_id, '"' || event_type || '"' AS label FROM events"""),
+    "p13_quote_label": (
+        _events(lambda: T.quote_label(F.concat("event_type", F.lit("\"\\\t\n\u202e\u200f\u0085\x7f\u2028"), F.col("user_id").cast("string"))).alias("label")),
+        r"""SELECT event_id, '"' || event_type || '\"\\\t\n\u202e\u200f\u0085\u007f\u2028' || user_id || '"' AS label FROM events""",
+    ),
     "p14_human_size": (
         lambda s, d: files(s, d).select("path", T.human_size(F.col("bytes")).alias("size")),
         f"WITH {FILES} SELECT path, CASE WHEN bytes < 1024 THEN bytes || ' B' ELSE printf('%.1f KiB', floor(bytes / 1024.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM files",

@@ -13,12 +13,38 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def reconcile_log(starts: DataFrame, ends: DataFrame, key: str = "request_id") -> DataFrame:
-    """Each id with its number of starts and ends, and whether it is matched once."""
-    a = starts.groupBy(key).agg(F.count("*").alias("n_starts"))
-    b = ends.groupBy(key).agg(F.count("*").alias("n_ends"))
-    both = a.join(b, key, "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_starts", "n_ends")})
-    return both.withColumn("matched", (F.col("n_starts") == 1) & (F.col("n_ends") == 1))
+LOGS = ("starts", "ends", "requests", "responses")
+
+
+def reconcile_log(starts: DataFrame, ends: DataFrame, requests: DataFrame, responses: DataFrame, key: str = "request_id") -> DataFrame:
+    """Each id with how often it stands in each of four logs, and ``matched``: once in all of them, and with the sizes and status of an answer that came through.
+
+    ``starts(key)``, ``ends(key, status, request_bytes, response_bytes, incomplete, error)``, ``requests(key, bytes)``, ``responses(key, bytes)``.
+    Sizes sent and received are those of the files kept; an end after the reader has gone (``BrokenPipeError``) may
+    have delivered less. Logs are counted before they meet, so a repeated id costs a row a task. A null id is matched with nothing.
+    """
+    parts = {
+        "starts": starts.groupBy(key).agg(F.count("*").alias("n_starts")),
+        "ends": ends.groupBy(key).agg(F.count("*").alias("n_ends"), *[F.max(c).alias(c) for c in ("status", "request_bytes", "response_bytes", "incomplete", "error")]),
+        "requests": requests.groupBy(key).agg(F.count("*").alias("n_requests"), F.max("bytes").alias("_sent")),
+        "responses": responses.groupBy(key).agg(F.count("*").alias("n_responses"), F.max("bytes").alias("_kept")),
+    }
+    both = parts["starts"]
+    for name in LOGS[1:]:
+        both = both.join(parts[name], key, "full")
+    counts = {f"n_{x}": F.coalesce(f"n_{x}", F.lit(0)) for x in LOGS}
+    once = F.col(key).isNotNull()
+    for x in LOGS:
+        once &= F.col(f"n_{x}") == 1
+    left_early = (F.col("error") == "BrokenPipeError") & F.col("response_bytes").between(0, F.col("_kept"))
+    whole = F.coalesce(left_early, F.lit(False)) | (F.col("error").isNull() & F.coalesce(F.col("response_bytes") == F.col("_kept"), F.lit(False)))
+    good = F.coalesce((F.col("status") == 200) & ~F.coalesce("incomplete", F.lit(False)) & (F.col("request_bytes") == F.col("_sent")), F.lit(False)) & whole
+    return both.withColumns(counts).withColumn("matched", once & good).select(key, *counts, "matched")
+
+
+def log_covered(reconciled: DataFrame) -> DataFrame:
+    """One row: the ids, and whether every one is matched; true for empty logs."""
+    return reconciled.agg(F.count("*").alias("ids"), F.coalesce(F.bool_and("matched"), F.lit(True)).alias("covered"))
 
 
 def id_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -9,41 +9,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT = "name string, start_line int, end_line int, owner string, kind string"
+UNIT = "name string, start_line int, end_line int, owner string, kind string, headers array<struct<start:int,end:int>>"
+DEFINED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
-def declared(source: str) -> list[tuple[str, int, int, str | None, str]]:
-    """Functions and classes by dotted name, decorators included; ``.context`` rows are a class's lines between members.
+def declared(source: str) -> list[tuple]:
+    """``(name, first line, last line, owner, kind, headers)`` of the functions and classes of a module, decorators included.
 
+    A class with members is given as its members and the ``.context`` lines between them; any other class, and a function with all
+    that it defines, is one unit. ``headers`` are the line ranges in which the classes around begin, outermost first.
     Raises ``SyntaxError`` where the source has one.
     """
-    out: list[tuple[str, int, int, str | None, str]] = []
-
-    def first_line(node) -> int:
-        return min([node.lineno, *(d.lineno for d in node.decorator_list)])
-
-    def walk(body: list[ast.stmt], owner: str | None) -> None:
-        for node in body:
-            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                name = f"{owner}.{node.name}" if owner else node.name
-                start, end = first_line(node), node.end_lineno
-                is_class = isinstance(node, ast.ClassDef)
-                out.append((name, start, end, owner, "class" if is_class else "function"))
-                if is_class:
-                    members = [(first_line(n), n.end_lineno) for n in node.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
-                    at = start
-                    for a, b in [*members, (end + 1, end)]:
-                        if at < a:
-                            out.append((f"{name}.context", at, a - 1, name, "context"))
-                        at = b + 1
-                walk(node.body, name)
-
-    walk(ast.parse(source).body, None)
-    return out
+    def lines(node) -> tuple[int, int]:
+        return min([node.lineno, *(d.lineno for d in node.decorator_list)]), node.end_lineno
+
+    out: list[tuple] = []
+    waiting = [(node, None, ()) for node in ast.parse(source).body if isinstance(node, DEFINED)]
+    while waiting:
+        node, owner, headers = waiting.pop()
+        name, (start, end) = f"{owner}.{node.name}" if owner else node.name, lines(node)
+        members = [n for n in node.body if isinstance(n, DEFINED)] if isinstance(node, ast.ClassDef) else []
+        if not members:
+            out.append((name, start, end, owner, "class" if isinstance(node, ast.ClassDef) else "function", headers))
+            continue
+        taken = [lines(n) for n in members]
+        own = (*headers, (start, taken[0][0] - 1)) if taken[0][0] > start else headers
+        waiting += [(n, name, own) for n in members]
+        free = zip([start, *(b + 1 for _, b in taken)], [*(a - 1 for a, _ in taken), end])
+        out += [(f"{name}.context", a, b, name, "context", own) for a, b in free if a <= b]
+    return sorted(out, key=lambda u: (u[1], u[2]))
 
 
 def python_units(files: DataFrame) -> DataFrame:
-    """``(path, name, start_line, end_line, owner, kind)``; a source with a syntax error is one ``text`` unit.
+    """``(path, name, start_line, end_line, owner, kind, headers)`` (see :func:`declared`); a source with a syntax error is one ``text`` unit.
 
     Null and empty sources have none. One file is parsed at a time.
     """
@@ -56,11 +54,11 @@ def python_units(files: DataFrame) -> DataFrame:
                 try:
                     found = declared(source)
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    found = [("", 1, source.count("\n") + 1, None, "text")]
-                rows += [(path, *u) for u in found]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "name", "start_line", "end_line", "owner", "kind"])
+                    found = [("", 1, source.count("\n") + 1, None, "text", ())]
+                rows += [(path, *u, [{"start": a, "end": b} for a, b in headers]) for *u, headers in found]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            columns = list(zip(*rows)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "name", "start_line", "end_line", "owner", "kind", "headers"])
 
     return files.select(F.col("path").cast("string"), F.col("source").cast("string")).mapInArrow(run, f"path string, {UNIT}")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,21 +18,41 @@ def rank_files(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
 
 
+def _walked(rows: DataFrame, keys: list[str], order: list[str], added: str, start: Callable[[], list], step: Callable[[list, int], tuple]) -> DataFrame:
+    """Adds columns ``added`` to ``rows(*keys, *order, bytes)``: groups in order, each row by ``step`` from the state that the rows before left.
+
+    Rows are sorted within partitions and read as they come, so that no group has to fit in memory.
+    """
+    names = [c.split()[0] for c in added.split(", ")]
+    fields = [pa.field(c.split()[0], {"long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]]) for c in added.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start()
+        for batch in batches:
+            own = [batch.column(batch.schema.names.index(c)).to_pylist() for c in keys]
+            made: list[list] = [[] for _ in names]
+            for *key, n in zip(*own, batch.column(batch.schema.names.index("bytes")).to_pylist()):
+                if key != last:
+                    last, state = key, start()
+                for column, x in zip(made, step(state, n)):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(made, fields))], [*batch.schema.names, *names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{kinds}, {added}")
+
+
 def allocate_source(excerpts: DataFrame, max_bytes: int) -> DataFrame:
     """Adds ``kept``: in order of ``rank, excerpt``, each excerpt that fits what is left of its query's bytes; too large ones are passed over.
 
-    A query's group holds ids and sizes only. First fit depends on all decisions before, so a group is walked in a task.
+    First fit depends on all decisions before, so a query's ids and sizes are walked in order.
     """
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "excerpt"], kind="stable")
-        left, kept = max_bytes, []
-        for n in pdf["bytes"]:
-            kept.append(n <= left)
-            left -= n if n <= left else 0
-        return pdf.assign(kept=kept)
+    def step(left: list, n: int) -> tuple:
+        fits = n <= left[0]
+        left[0] -= n if fits else 0
+        return (fits,)
 
-    own = excerpts.select("query_id", "rank", "excerpt", "bytes")
-    return own.groupBy("query_id").applyInPandas(walk, own.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", kept boolean")
+    return _walked(excerpts.select("query_id", "rank", "excerpt", "bytes"), ["query_id"], ["rank", "excerpt"], "kept boolean", lambda: [max_bytes], step)
 
 
 def prefix_within(rows: DataFrame, keys: list[str], order: list[str], size: str, most: int) -> DataFrame:
@@ -56,27 +78,17 @@ def fit_declarations(units: DataFrame, max_bytes: int = 32_000) -> DataFrame:
 def pack_batches(items: DataFrame, keys: list[str], max_items: int = 128, max_bytes: int = 38_000) -> DataFrame:
     """Adds ``batch`` and ``too_large``: items in order ``ord`` fill a batch until one bound would be passed.
 
-    An item larger than the bound is reported and takes no batch. Groups hold ids and sizes only.
+    An item larger than the bound is reported and takes no batch.
     """
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        batch = count = size = 0
-        batches, large = [], []
-        for n in pdf["bytes"]:
-            if n > max_bytes:
-                batches.append(None)
-                large.append(True)
-                continue
-            if count and (count == max_items or size + n > max_bytes):
-                batch, count, size = batch + 1, 0, 0
-            count, size = count + 1, size + n
-            batches.append(batch)
-            large.append(False)
-        return pdf.assign(batch=pd.array(batches, dtype="Int64"), too_large=large)
-
-    own = items.select(*keys, "ord", "bytes")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.groupBy(*keys).applyInPandas(walk, f"{kinds}, batch long, too_large boolean")
+    def step(state: list, n: int) -> tuple:
+        if n > max_bytes:
+            return None, True
+        if state[1] and (state[1] == max_items or state[2] + n > max_bytes):
+            state[:] = state[0] + 1, 0, 0
+        state[1:] = state[1] + 1, state[2] + n
+        return state[0], False
+
+    return _walked(items.select(*keys, "ord", "bytes"), keys, ["ord"], "batch long, too_large boolean", lambda: [0, 0, 0], step)
 
 
 def collect_evidence(excerpts: DataFrame) -> DataFrame:
@@ -99,10 +111,17 @@ def instruction_files(found: DataFrame, inventory: DataFrame, name: str = "AGENT
 
 
 def attach_evidence(targets: DataFrame, excerpts: DataFrame, max_bytes: int = 64_000) -> DataFrame:
-    """Each target of a query with what of the query's excerpts fits, in order of path and start."""
-    fits = prefix_within(excerpts, ["query_id"], ["path", "start"], "bytes", max_bytes)
-    own = fits.groupBy("query_id").agg(F.count("*").alias("n_excerpts"), F.sum("bytes").alias("evidence_bytes"))
-    return targets.join(own, "query_id", "left")
+    """Each target of a query with ``evidence``, all the query's excerpts: those of files with few groups first, then by path and start.
+
+    ``excerpts(query_id, path, n_groups, start, end, source)``; ``evidence`` is an array of ``(path, start, end, source)``. Where it
+    would be longer than ``max_bytes`` as JSON it is null, as where there is none. Too long texts aren't collected.
+    """
+    sizes = excerpts.groupBy("query_id").agg(F.sum(F.octet_length("source")).alias("_n")).filter(F.col("_n") <= max_bytes).select("query_id")
+    entry = F.struct(F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "path", "start", "end", "source")
+    rows = excerpts.join(sizes, "query_id", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    own = rows.select("query_id", F.transform("_all", lambda x: F.struct(x["path"].alias("path"), x["start"].alias("start"), x["end"].alias("end"), x["source"].alias("source"))).alias("evidence"))
+    fits = own.filter(F.octet_length(F.to_json("evidence")) <= max_bytes)
+    return targets.join(fits, "query_id", "left")
 
 
 def order_donors(files: DataFrame) -> DataFrame:

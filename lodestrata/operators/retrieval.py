@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors
 from ..functions.text import identifiers
 from ..functions.values import answer_is_fresh
+from .sized import sized
 
 
 def token_matches(items: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, item_id, matched)``: the distinct lower-case identifiers of a query in each item's text.
 
-    Tokens are joined by equality; an item without one of a query's has no row for it.
+    The queries' tokens are few and go to where the items are (see :func:`sized`), so that items' tokens aren't exchanged and an
+    item's matches are counted in its task; an item without one of a query's tokens has no row for it.
     """
     def tokens(df: DataFrame, key: str) -> DataFrame:
         return df.select(key, F.explode(F.array_distinct(F.transform(identifiers(F.col("text")), F.lower))).alias("token"))
 
-    return tokens(items, "item_id").join(tokens(queries, "query_id"), "token").groupBy("query_id", "item_id").agg(F.count("*").alias("matched"))
+    return tokens(items, "item_id").join(sized(tokens(queries, "query_id")), "token").groupBy("query_id", "item_id").agg(F.count("*").alias("matched"))
 
 
 def lexical_scorer(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -85,14 +87,14 @@ def reachable_files(files: DataFrame, dir_scores: DataFrame, relevant: float = 0
 
     ``files(path)``, ``dir_scores(query_id, dir, score)``. A directory without a score is not admitted.
     """
-    queries = dir_scores.select("query_id").distinct()
+    queries = sized(dir_scores.select("query_id").distinct())
     steps = files.select("path", F.posexplode_outer(ancestors(F.col("path"))).alias("i", "dir"))
     gates = steps.filter("i is null or (i + 1) % 2 = 0").select("path", "dir")
-    free = files.join(gates.select("path"), "path", "left_anti").select("path").crossJoin(F.broadcast(queries))
+    free = files.join(gates.select("path"), "path", "left_anti").select("path").crossJoin(queries)
     need = gates.filter("dir is not null").groupBy("path").agg(F.count("*").alias("need"))
     got = gates.join(dir_scores.filter(F.col("score") > relevant), "dir").groupBy("query_id", "path").agg(F.count("*").alias("got"))
     through = got.join(need, "path").filter("got = need").select("query_id", "path")
-    root = files.filter(~F.col("path").contains("/")).select("path").crossJoin(F.broadcast(queries))
+    root = files.filter(~F.col("path").contains("/")).select("path").crossJoin(queries)
     return through.unionByName(free.select("query_id", "path")).unionByName(root.select("query_id", "path")).distinct()
 
 

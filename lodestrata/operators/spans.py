@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,9 +30,18 @@ def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(other, keys)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that overlap; the right side's columns get the prefix ``r_``."""
-    return _sides(left, right, keys).filter((F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")))
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
+    """Pairs that overlap; the right side's columns get the prefix ``r_``.
+
+    Spans meet in blocks of ``block`` lines, not as all pairs of a key: a span has a row in each block that it
+    touches, and a pair counts in the first block that both touch. Rows with a null key, start or end have no pair.
+    """
+    def blocks(df: DataFrame) -> DataFrame:
+        first, last = F.floor(F.col("start") / block), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / block)
+        return df.withColumn("_first", first).withColumn("_block", F.explode(F.sequence(first, last)))
+
+    both = _sides(blocks(left), blocks(right), [*keys, "_block"]).filter(F.col("_block") == F.greatest("_first", "r__first"))
+    return both.filter((F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))).drop("_block", "_first", "r__first")
 
 
 def intersect_spans(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,10 +92,23 @@ def dedupe_leads(leads: DataFrame, keys: list[str], value: str, order: str) -> D
 
 def line_index(files: DataFrame, key: str = "path") -> DataFrame:
     """``(key, line_no, line, n_bytes, byte_start)`` of every line; only LF ends a line, and a last LF gives an empty line."""
-    lines = files.select(key, F.posexplode(F.split("source", "\n")).alias("i", "line"))
-    size = F.octet_length("line").cast("long")
-    before = F.sum(size + 1).over(W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    return lines.select(key, (F.col("i") + 1).alias("line_no"), "line", size.alias("n_bytes"), F.coalesce(before, F.lit(0)).alias("byte_start"))
+    names = [key, "line_no", "line", "n_bytes", "byte_start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lines = pc.split_pattern(part.column(1), "\n")
+                row, line = pc.list_parent_indices(lines), pc.list_flatten(lines)
+                size = pc.binary_length(line).to_numpy().astype(np.int64)
+                first = np.searchsorted(row.to_numpy(), np.arange(part.num_rows))[row.to_numpy()]
+                start = np.cumsum(size + 1) - (size + 1)
+                number = np.arange(len(size)) - first + 1
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(number.astype(np.int32)), line, pa.array(size), pa.array(start - start[first])], names)
+
+    kind = files.schema[key].dataType.simpleString()
+    # offsets are sums within a row, so nothing is exchanged
+    return files.select(key, F.col("source").cast("string")).mapInArrow(run, f"{key} {kind}, line_no int, line string, n_bytes long, byte_start long")
 
 
 def nonblank_prefix(lines: DataFrame, key: str = "path") -> DataFrame:

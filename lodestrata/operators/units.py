@@ -6,18 +6,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sized import sized
+
 
 def content_samples(files: DataFrame, total_chars: int = 16_000, least: int = 80) -> DataFrame:
-    """Three equidistant samples of each file, in its share of its repository's characters; a short file as a whole."""
+    """Three equidistant samples of each file, in its share of its repository's characters; a short file as a whole, a null source as null."""
     n = F.length("source")
-    share = F.greatest(F.lit(least).cast("long"), F.floor(total_chars / F.count("*").over(W.partitionBy("repo"))))
-    own = files.withColumn("_third", F.floor(share / 3).cast("int")).withColumn("_share", share)
+    # files are counted by repository first; texts stay where they are unless the counts are too many to broadcast
+    counts = files.groupBy("repo").agg(F.count("*").alias("_files"))
+    share = F.greatest(F.lit(least).cast("long"), F.floor(total_chars / F.col("_files")))
+    own = files.join(sized(counts), "repo").withColumn("_third", F.floor(share / 3).cast("int")).withColumn("_share", share)
     parts = [F.lit(1), F.floor((n - F.col("_third")) / 2).cast("int") + 1, n - F.col("_third") + 1]
     cut = F.concat_ws("\n", *[F.substring("source", p, F.col("_third")) for p in parts])
-    return own.select("repo", "path", F.when(n <= F.col("_share"), F.col("source")).otherwise(cut).alias("sample"))
+    return own.select("repo", "path", F.when(n <= F.col("_share"), F.col("source")).when(n > F.col("_share"), cut).alias("sample"))
 
 
 def cut_bytes(data: bytes, max_bytes: int) -> list[tuple[int, int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,9 @@ def scan_files(spark: SparkSession, root: str, repo: str = ".") -> DataFrame:
     """``(repo, path, bytes, content)`` of all files below ``root``; what isn't selected isn't read."""
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + base.replace(".", r"\.") + "/", "")
+    # paths come back with a scheme and as many slashes as the file system likes
+    plain = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
+    inner = F.substr(plain, F.lit(len(re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/", base)) + 2))
     return found.select(F.lit(repo).alias("repo"), inner.alias("path"), F.col("length").alias("bytes"), "content")
 
 
@@ -46,9 +50,9 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(flags, "log").drop("_corrupt")
 
 
-def read_results(spark: SparkSession, path: str, rows: str = "rows") -> DataFrame:
-    """Attempt rows of nested result files."""
-    return spark.read.option("multiLine", True).json(path).select(F.inline(rows))
+def read_results(spark: SparkSession, path: str, rows: str = "rows", lines: bool = False) -> DataFrame:
+    """Attempt rows of nested results: one in a file, or with ``lines`` one in a line, so that large files can be split."""
+    return spark.read.option("multiLine", not lines).json(path).select(F.inline(rows))
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in a local session."""
+    """From ``spark.checkpoint.dir``; a temporary folder only in a local session where that is unset; elsewhere executors wouldn't see it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestrata.scratch", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("lodestrata.scratch", found)
     return found.rstrip("/")
