@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, text_or_empty
+from .common import mix64, stored, table, text_or_empty
 
 Q = 12
 EDIT_SHARE = 0.06
 #: Bytes of benchmark text that are indexed, and broadcast with a task, at a time.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 FILTER_BITS = 22
+#: A q-gram that an item holds more often is counted by a bound, not place by place.
+OFTEN = 16
+#: Places of q-grams that are laid out at a time.
+HITS_AT_ONCE = 1_000_000
 
 
 def normalized(data: bytes) -> bytes:
@@ -54,18 +58,34 @@ class GramIndex:
         self.least = lengths - q + 1 - q * self.edits
         grams = [gram_hashes(t, q) for t in self.texts]
         keys = np.concatenate([*grams, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.keys, self.first = np.unique(keys[order], return_index=True)
-        self.stop = np.append(self.first[1:], len(keys))
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.empty(0, np.int32)])
+        order = np.lexsort((item, keys))
+        keys, item, place = keys[order], item[order], place[order]
+        # places of one q-gram in one item; those of many are its dense places, of which any number may be shared
+        first = np.nonzero(np.append(True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])))[0] if len(keys) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(keys)))
+        dense = np.bincount(item[first], np.where(n > OFTEN, n, 0), len(grams)).astype(np.int64)
+        #: The least number of other q-grams that a match shares; where dense places alone may do, the item is looked for by them.
+        self.rest = self.least - dense
+        self.by_density = self.rest <= 0
+        sparse = np.repeat(n <= OFTEN, n) & ~self.by_density[item]
+        self.keys, self.first, self.stop, self.item, self.place = *_postings(keys[sparse]), item[sparse], place[sparse]
+        one = first[self.by_density[item[first]]]
+        self.dense_keys, self.dense_first, self.dense_stop, self.dense_item = *_postings(keys[one]), item[one]
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.maybe[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def regions(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
         """``(item_id, start, stop, edits)`` of the normalized text: the best place for each item and region within its budget."""
-        return self.near(text) + self.exact(text)
+        h = gram_hashes(text, self.q)
+        at = np.nonzero(self.maybe[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])[0]
+        if not len(at):
+            return self.exact(text)
+        found = self.near(text, at, h[at])
+        for key, e in self.dense(text, at, h[at]).items():
+            found[key] = min(e, found.get(key, e))
+        return [(self.ids[i], a, b, e) for i, a, b, e in _best(found)] + self.exact(text)
 
     def exact(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
         """The places of items shorter than ``q`` bytes, between any bytes that aren't letters, digits or above 127."""
@@ -80,39 +100,92 @@ class GramIndex:
                 at = text.find(item, at + 1)
         return out
 
-    def near(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
-        """The places of items of ``q`` bytes and more."""
-        h = gram_hashes(text, self.q)
-        at = np.nonzero(self.maybe[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])[0]
-        if not len(at) or not len(self.keys):
-            return []
-        k = np.searchsorted(self.keys, h[at])
-        k[k == len(self.keys)] = 0
-        own = self.keys[k] == h[at]
-        at, k = at[own], k[own]
+    def near(self, text: bytes, at: np.ndarray, h: np.ndarray) -> dict[tuple[int, int, int], int]:
+        """``{(item, start, stop): edits}`` by the number of an item's q-grams in a band of diagonals.
+
+        Hits are laid out about ``HITS_AT_ONCE`` at a time, in order of the text, and only counts by item and band are kept. A q-gram at
+        the seam of two such parts may count twice, which lets more bands through to the alignment, never fewer.
+        """
+        at, k = _looked_up(self.keys, at, h)
+        if not len(at):
+            return {}
         m = self.stop[k] - self.first[k]
-        hits = np.repeat(self.first[k] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        item, place = self.item[hits], self.place[hits]
-        if not len(item) or (np.bincount(item, minlength=len(self.least)) < self.least).all():
-            return []
-        diagonal = np.repeat(at, m) - place
-        # bands of 2e + 1 diagonals that overlap by half: each run of e + 1 diagonals lies in one of them
-        width = self.edits[item] + 1
-        low = diagonal // width
-        band = np.concatenate([low, low - 1])
-        item, place = np.tile(item, 2), np.tile(place, 2)
-        rows = np.unique(np.stack([item, band, place], 1), axis=0)  # each q-gram of the item counts once
-        pairs, counts = np.unique(rows[:, :2], axis=0, return_counts=True)
+        parts = np.split(np.arange(len(at)), np.nonzero(np.diff(np.cumsum(m) // HITS_AT_ONCE))[0] + 1)
+
+        def hits(own: np.ndarray) -> np.ndarray:
+            return np.repeat(self.first[k[own]] - (np.cumsum(m[own]) - m[own]), m[own]) + np.arange(m[own].sum())
+
+        total = np.zeros(len(self.texts), np.int64)
+        for own in parts:
+            total += np.bincount(self.item[hits(own)], minlength=len(total))
+        enough = total >= self.rest
+        longest = max(map(len, self.texts))
+        stride, span = len(text) + longest + 3, longest + 1
+        pairs = counts = np.empty(0, np.int64)
+        for own in parts if enough.any() else ():
+            hit, where = hits(own), np.repeat(at[own], m[own])
+            keep = enough[self.item[hit]]
+            item, place, where = self.item[hit[keep]].astype(np.int64), self.place[hit[keep]].astype(np.int64), where[keep]
+            # bands of 2e + 1 diagonals that overlap by half: each run of e + 1 diagonals lies in one of them
+            low = item * stride + (where - place + longest) // (self.edits[item] + 1)
+            once = np.unique(np.concatenate([low, low + 1]) * span + np.tile(place, 2))  # each q-gram of the item counts once
+            new, n = np.unique(once // span, return_counts=True)
+            pairs, back = np.unique(np.concatenate([pairs, new]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
+        found: dict[tuple[int, int, int], int] = {}
+        for pair in pairs[counts >= self.rest[pairs // stride]].tolist():
+            i, band = divmod(pair, stride)
+            width = int(self.edits[i]) + 1
+            first = (band - 1) * width - longest
+            self._aligned(found, i, text, first - width + 1, first + 2 * width + len(self.texts[i]) + width - 1)
+        return found
+
+    def dense(self, text: bytes, at: np.ndarray, h: np.ndarray) -> dict[tuple[int, int, int], int]:
+        """The same for items of few, often repeated q-grams: stretches with as many of those as a match shares are aligned piece by piece."""
         found: dict[tuple[int, int, int], int] = {}
-        for i, b in pairs[counts >= self.least[pairs[:, 0]]].tolist():
-            e, item_text = int(self.edits[i]), self.texts[i]
-            start = max(0, b * (e + 1) - e)
-            window = text[start : (b + 2) * (e + 1) + len(item_text) + e]
-            got = align(item_text, window, e)
-            if got:
-                key = (i, start + got[0], start + got[1])
-                found[key] = min(got[2], found.get(key, e))
-        return [(self.ids[i], a, b, e) for i, a, b, e in _best(found)]
+        at, k = _looked_up(self.dense_keys, at, h)
+        seen = np.unique(k)
+        n = self.dense_stop[seen] - self.dense_first[seen]
+        items = self.dense_item[np.repeat(self.dense_first[seen] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        grams = np.repeat(seen, n)
+        for i in np.unique(items).tolist():
+            places, need = at[np.isin(k, grams[items == i])], int(self.least[i])
+            reach = len(self.texts[i]) + int(self.edits[i])
+            if len(places) < need:
+                continue
+            close = np.nonzero(places[need - 1 :] - places[: len(places) - need + 1] <= reach - self.q)[0]
+            last = 0
+            for j in close.tolist():
+                lo, hi = max(int(places[j]) - reach, last), int(places[j + need - 1]) + self.q + reach
+                # a match is no longer than ``reach``, so it lies in one of the pieces of twice that length
+                while lo < hi and lo < len(text):
+                    self._aligned(found, i, text, lo, lo + 2 * reach)
+                    lo += reach
+                last = max(last, lo)
+        return found
+
+    def _aligned(self, found: dict[tuple[int, int, int], int], i: int, text: bytes, start: int, stop: int) -> None:
+        start = max(0, start)
+        got = align(self.texts[i], text[start : max(stop, 0)], int(self.edits[i]))
+        if got:
+            key = (i, start + got[0], start + got[1])
+            found[key] = min(got[2], found.get(key, got[2]))
+
+
+def _postings(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys, and where each one's run starts and stops."""
+    distinct, first = np.unique(keys, return_index=True)
+    return distinct, first, np.append(first[1:], len(keys)).astype(np.int64) if len(keys) else np.empty(0, np.int64)
+
+
+def _looked_up(keys: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the offsets those whose hash is a key, and its number."""
+    if not len(keys):
+        return at[:0], at[:0]
+    k = np.searchsorted(keys, h)
+    k[k == len(keys)] = 0
+    own = keys[k] == h
+    return at[own], k[own]
 
 
 def _joins(left: bytes, right: bytes) -> bool:
@@ -182,15 +255,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: fl
 
     Offsets are bytes of the text in lower case with white space runs as one space. The budget is
     ``edit_share`` of an item's length. Each block of the benchmark is met with all documents in one
-    pass without a shuffle. Null and empty texts and items give
+    pass without a shuffle; where there are several, each one's places are written before the next is read. Null and empty texts and items give
     no rows, an item with a null id gives rows with a null ``item_id``; an item shorter than ``q`` bytes is
     found where it stands exactly, as whole words; repeated documents and items each give their own. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     schema = "doc_id long, item_id long, start long, stop long, edits int"
     sc = docs.sparkSession.sparkContext
-    out = None
-    for block in benchmark_blocks(benchmark, block_bytes):
+    out, blocks = None, benchmark_blocks(benchmark, block_bytes)
+    block = next(blocks, None)
+    while block is not None:
         shared = sc.broadcast(GramIndex(block, q, edit_share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -205,7 +279,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: fl
                 kinds = [pa.int64()] * 4 + [pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "start", "stop", "edits"])
 
-        part = rows.mapInArrow(run, schema)
+        part, block = rows.mapInArrow(run, schema), next(blocks, None)
+        if out is not None or block is not None:  # of several, one index is there at a time
+            part = stored(part, "leaks")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
