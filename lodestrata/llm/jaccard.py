@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -35,14 +35,12 @@ def bands(num: int, den: int, most: int = 2**33) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def layout(tag: int, num: int, den: int) -> tuple[int, int, np.ndarray, int]:
-    """First-level parts, second-level parts, the subsets to enumerate and the least features of a signature, for a tag's sets.
+    """First-level parts, second-level parts, the subsets to enumerate and the least features of a telling signature, for a tag's sets.
 
     Two linked sets of at most ``hi`` features differ in ``k`` of them at most. With ``n1 * (k2 + 1) > k``
     some first-level part holds ``k2`` differences at most, and so some ``n2 - k2`` of its ``n2`` parts hold none.
     Where that leaves few features to a signature (thresholds below nine tenths), small sets enumerate more
-    subsets. Large ones leave out signatures of fewer than 2 or 3 features, which unrelated texts share: some
-    half of the parts hold one difference at most, so that over the random division of the domain a link is
-    lost with a probability under 1e-7.
+    subsets.
     """
     hi = int(bands(num, den)[tag + 1]) - 1
     k = 2 * hi * (den - num) // (den + num)
@@ -61,8 +59,13 @@ def layout(tag: int, num: int, den: int) -> tuple[int, int, np.ndarray, int]:
     return n1, n2, subsets, least
 
 
-def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of one set, under the tag of its band and that of the next."""
+def signatures(h: np.ndarray, num: int, den: int, complete: bool = True) -> np.ndarray:
+    """The signatures of one set, under the tag of its band and that of the next.
+
+    Sets that link share one for certain. Unless ``complete``, sets of more than some 100 features leave out signatures of fewer than 2 or 3
+    features, which unrelated texts share: some half of the parts hold one difference at most, so that over the random
+    division of the domain a link is lost with a probability under 1e-7.
+    """
     if not len(h):
         return np.empty(0, np.uint64)
     band = int(np.searchsorted(bands(num, den), len(h), side="right")) - 1
@@ -77,7 +80,7 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
         sums = (cells.reshape(n1, 1, n2) * subsets).sum(axis=2, dtype=np.uint64)
         own = np.uint64(tag << 40) + (np.arange(n1, dtype=np.uint64) << np.uint64(12))[:, None] + np.arange(len(subsets), dtype=np.uint64)
         found = mix64(mix64(own) + sums)
-        if least:
+        if least and not complete:
             counts = np.bincount(cell.astype(np.int64), minlength=n1 * n2).astype(np.uint64)
             found = found[(counts.reshape(n1, 1, n2) * subsets).sum(axis=2, dtype=np.uint64) >= least]
         out.append(found.ravel())
@@ -103,7 +106,7 @@ def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
 
 
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, n: int, num: int, den: int, complete: bool = True) -> DataFrame:
     """``(u, v)``: each document with the smallest one that has a signature of its own.
 
     Within a task, signatures of a few megabytes of text are met first: the smallest document
@@ -113,7 +116,7 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def met(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
-        each = [signatures(sets[i], num, den) for i in order]
+        each = [signatures(sets[i], num, den, complete) for i in order]
         own = np.repeat(np.asarray(ids, np.int64)[order], [len(s) for s in each])
         keys = np.concatenate([*each, np.empty(0, np.uint64)])
         key, first, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -148,18 +151,9 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return keyed.select("u", F.coalesce("v", least).alias("v")).filter("u <> v").distinct()
 
 
-def compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, hub: np.ndarray, feats: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join all linked documents of a block, or of two blocks (``side`` 0 and 1), in tree form.
-
-    All that link to the component's hub are joined by it; each other one is met with
-    every document that shares a feature.
-    """
-    n = len(ids)
-    if n < 2:
-        return []
-    if n == 2:
-        both = len(np.intersect1d(feats[0], feats[1], assume_unique=True))
-        return [(int(ids[0]), int(ids[1]))] if den * both >= num * (sizes[0] + sizes[1] - both) else []
+def compare(sizes: np.ndarray, feats: list[np.ndarray], asking: np.ndarray, asked: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links ``(x, y)`` between the documents ``asking`` and those ``asked`` (numbers), as trees: all that a link joins already is left out."""
+    n = len(sizes)
     values = np.concatenate(feats)
     owner = np.repeat(np.arange(n), sizes)
     _, code = np.unique(values, return_inverse=True)
@@ -167,14 +161,8 @@ def compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, hub: np.ndarra
     posted = owner[order]
     begin = np.concatenate([[0], np.cumsum(np.bincount(code))])
     at = np.concatenate([[0], np.cumsum(sizes)])
-
-    def linked_to(x: int) -> np.ndarray:
-        own = code[at[x] : at[x + 1]]
-        a, m = begin[own], begin[own + 1] - begin[own]
-        hits = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        both = np.bincount(posted[hits], minlength=n)
-        return den * both >= num * (sizes[x] + sizes - both)
-
+    may = np.zeros(n, bool)
+    may[asked] = True
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -184,55 +172,39 @@ def compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, hub: np.ndarra
         return x
 
     found: list[tuple[int, int]] = []
-
-    def join(x: int, ys: np.ndarray) -> None:
-        for y in ys.tolist():
+    for x in asking.tolist():
+        own = code[at[x] : at[x + 1]]
+        a, m = begin[own], begin[own + 1] - begin[own]
+        hits = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        both = np.bincount(posted[hits], minlength=n)
+        for y in np.nonzero(may & (den * both >= num * (sizes[x] + sizes - both)))[0].tolist():
             a, b = root(x), root(y)
             if a != b:
                 parent[b] = a
-                found.append((int(ids[x]), int(ids[y])))
-
-    h = int(np.nonzero(hub)[0][0])
-    near = linked_to(h)
-    join(h, np.nonzero(near)[0])
-    apart = len(np.unique(side[~hub])) > 1
-    for x in np.nonzero(~near)[0]:
-        hits = linked_to(x)
-        if apart:
-            hits &= side != side[x]
-        join(x, np.nonzero(hits)[0])
+                found.append((x, y))
     return found
 
 
-def verified_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int, block_features: int = BLOCK_FEATURES) -> DataFrame:
-    """Links between the documents of each candidate component ``groups(doc_id, component, n_shingles)``.
+def _blocks(groups: DataFrame, block_features: int) -> DataFrame:
+    """``(component, doc_id, n_shingles, block, hub)``: components laid out by size and cut into blocks of about ``block_features`` features.
 
-    A component is laid out by size and cut into blocks of bounded features; each pair of blocks
-    whose sizes can link is a task's group of its own, with the component's hub (its largest block's
-    first document) beside it. No pairs of documents are emitted, only trees of links.
+    Features are added up by component and size first; documents of one size are dealt to the blocks of their range by hash. So
+    the sums run over the distinct sizes of a component, whatever the number of its documents.
     """
-    by_size = W.partitionBy("component").orderBy("n_shingles", "doc_id")
-    placed = stored(
-        groups.select(
-            "component",
-            "doc_id",
-            "n_shingles",
-            F.floor((F.sum("n_shingles").over(by_size) - F.col("n_shingles")) / block_features).alias("block"),
-            F.count("*").over(W.partitionBy("component")).alias("members"),
-        ).filter("members > 1"),
-        "blocks",
-    )
-    blocks = placed.groupBy("component", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    hubs = placed.groupBy("component").agg(F.min("doc_id").alias("hub"))
-    left = blocks.select("component", F.col("block").alias("a"), F.col("hi").alias("hi_a"))
-    pairs = left.join(blocks, "component").filter((F.col("a") <= F.col("block")) & (den * F.col("hi_a") >= num * F.col("lo")))
-    pairs = pairs.select("component", "a", F.col("block").alias("b"), F.xxhash64("component", "a", "block").alias("task"))
-    sides = pairs.select("component", F.col("a").alias("block"), "task", F.lit(0).alias("side")).unionByName(
-        pairs.filter("a <> b").select("component", F.col("b").alias("block"), "task", F.lit(1).alias("side"))
-    )
-    members = placed.join(sides, ["component", "block"]).select("task", "doc_id", "side", F.lit(False).alias("extra"))
-    extra = pairs.join(hubs, "component").select("task", F.col("hub").alias("doc_id"), F.lit(0).alias("side"), F.lit(True).alias("extra"))
-    wanted = members.unionByName(extra).groupBy("doc_id").agg(F.collect_set(F.struct("task", "side", "extra")).alias("tasks"))
+    by_size = groups.groupBy("component", "n_shingles").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    own = W.partitionBy("component")
+    before = F.sum(F.col("n") * F.col("n_shingles")).over(own.orderBy("n_shingles")) - F.col("n") * F.col("n_shingles")
+    sizes = by_size.withColumns({"before": before, "members": F.sum("n").over(own), "hub": F.min("least").over(own)}).filter("members > 1")
+    first = F.floor(F.col("before") / block_features)
+    many = F.floor((F.col("before") + F.col("n") * F.col("n_shingles") - 1) / block_features) - first + 1
+    # stored, so that the join with a size that very many documents of a component have can be split
+    ranges = stored(sizes.select("component", "n_shingles", "hub", first.alias("first"), many.alias("many")), "ranges")
+    dealt = groups.select("component", "doc_id", "n_shingles").join(ranges, ["component", "n_shingles"])
+    return dealt.select("component", "doc_id", "n_shingles", "hub", (F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("many"))).alias("block"))
+
+
+def _in_tasks(docs: DataFrame, wanted: DataFrame, n: int, run: Callable[[pa.Table], Iterator[tuple[int, int]]]) -> DataFrame:
+    """``(u, v)`` from each task's group of ``wanted(doc_id, task, role)``, with the documents' sorted features as ``feats``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,38 +214,93 @@ def verified_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: in
             )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs = [], []
+        found: list[tuple[int, int]] = []
         for group in sorted_groups(batches, "task"):
-            # the hub stands in its block too, but once is enough
-            extra_row = group["extra"].to_numpy()
-            ids = group["doc_id"].to_numpy()
-            hub_id = ids[extra_row][0]
-            keep = np.nonzero(~extra_row | ((ids == hub_id) & (np.cumsum(ids == hub_id) == 1) & ~((ids == hub_id) & ~extra_row).any()))[0]
-            feats = group["feats"].combine_chunks()
-            values, offsets = feats.values.to_numpy(), feats.offsets.to_numpy()
-            own = [values[offsets[i] : offsets[i + 1]] for i in keep]
-            sizes = np.array([len(x) for x in own])
-            for u, v in compare(ids[keep], sizes, group["side"].to_numpy()[keep], ids[keep] == hub_id, own, num, den):
-                us.append(u)
-                vs.append(v)
-            if len(us) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-                us, vs = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    texts = _bytes(docs).join(wanted, "doc_id").select("doc_id", "data", "tasks")
-    kind = "array<struct<task:long,side:int,extra:boolean>>"
-    rows = texts.mapInArrow(sets, f"doc_id long, feats array<long>, tasks {kind}").select("doc_id", "feats", F.inline("tasks"))
-    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(each, "u long, v long")
-
-
-def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+            found += run(group)
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
+                found = []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 2, ["u", "v"])
+
+    tasks = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("task", "role")).alias("tasks"))
+    texts = _bytes(docs).join(tasks, "doc_id").select("doc_id", "data", "tasks")
+    rows = texts.mapInArrow(sets, "doc_id long, feats array<long>, tasks array<struct<task:long,role:int>>").select("doc_id", "feats", F.inline("tasks"))
+    return rows.repartition("task").sortWithinPartitions("task", "doc_id", "role").mapInArrow(each, "u long, v long")
+
+
+def _members(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, roles and features of a task's documents, each id once, with its largest role."""
+    ids, role = group["doc_id"].to_numpy(), group["role"].to_numpy()
+    last = np.append(ids[1:] != ids[:-1], True)
+    feats = group["feats"].combine_chunks()
+    values, offsets = feats.values.to_numpy(), feats.offsets.to_numpy()
+    return ids[last], role[last], [values[offsets[i] : offsets[i + 1]] for i in np.nonzero(last)[0]]
+
+
+HUB, ASKED, FAR = 0, 1, 2
+
+
+def verified_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: int, block_features: int = BLOCK_FEATURES) -> DataFrame:
+    """Links between the documents of each candidate component ``groups(doc_id, component, n_shingles)``.
+
+    A component is laid out by size and cut into blocks of bounded features. In each block all documents are met with the component's hub
+    (its first document), and those that don't link to it with all of the block. Where a component has more blocks, the documents that
+    are apart from the hub are then met with the other blocks whose sizes can link. No pairs of documents are emitted, only trees of links.
+    """
+
+    def within(group: pa.Table) -> Iterator[tuple[int, int]]:
+        ids, role, feats = _members(group)
+        if len(ids) < 2:
+            return
+        sizes, h = np.array([len(x) for x in feats]), int(np.nonzero(role == HUB)[0][0]) if (role == HUB).any() else 0
+        near = np.zeros(len(ids), bool)
+        near[h] = True
+        for x, y in compare(sizes, feats, np.array([h]), np.arange(len(ids)), num, den):
+            near[y] = True
+            yield int(ids[x]), int(ids[y])
+        far = np.nonzero(~near)[0]
+        if len(far):
+            for x, y in compare(sizes, feats, far, np.arange(len(ids)), num, den):
+                yield int(ids[x]), int(ids[y])
+            # a link to itself tells that a document is apart from the hub
+            yield from ((int(ids[x]), int(ids[x])) for x in far)
+
+    def across(group: pa.Table) -> Iterator[tuple[int, int]]:
+        ids, role, feats = _members(group)
+        far, asked = np.nonzero(role == FAR)[0], np.nonzero(role == ASKED)[0]
+        if len(far) and len(asked):
+            for x, y in compare(np.array([len(x) for x in feats]), feats, far, asked, num, den):
+                yield int(ids[x]), int(ids[y])
+
+    placed = stored(_blocks(groups, block_features), "blocks")
+    task = F.xxhash64("component", "block").alias("task")
+    # the hub's row in its own block is a member like any other
+    hubs = placed.select("component", "block", F.col("hub").alias("doc_id")).distinct()
+    wanted = placed.filter("doc_id <> hub").select("doc_id", task, F.lit(ASKED).alias("role")).unionByName(hubs.select("doc_id", task, F.lit(HUB).alias("role")))
+    first = stored(_in_tasks(docs, wanted, n, within), "links")
+    links = first.filter("u <> v")
+
+    far = first.filter("u = v").select(F.col("u").alias("doc_id")).distinct().join(placed, "doc_id")
+    others = placed.groupBy("component", F.col("block").alias("other")).agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    fits = (F.col("block") != F.col("other")) & (den * F.col("hi") >= num * F.col("n_shingles")) & (den * F.col("n_shingles") >= num * F.col("lo"))
+    between = F.xxhash64("component", "block", "other").alias("task")
+    asking = far.join(others, "component").filter(fits).select("component", "doc_id", "block", "other", between)
+    asking = stored(asking, "asking")
+    if asking.isEmpty():
+        return links
+    pairs = asking.select("component", "other", "task").distinct()
+    asked = placed.withColumnRenamed("block", "other").join(pairs, ["component", "other"]).select("doc_id", "task", F.lit(ASKED).alias("role"))
+    more = asking.select("doc_id", "task", F.lit(FAR).alias("role")).unionByName(asked)
+    return links.unionByName(_in_tasks(docs, more, n, across))
+
+
+def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN, complete: bool = True) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: the smallest document that links of ``den * |A and B| >= num * |A or B|`` reach.
 
     Sets are of ``n``-word shingles; a text of fewer words is one shingle, and one without
     words (or null) is empty and linked with nothing. Documents with equal sets are one class,
     of which one document is compared. Signatures give candidates and candidate components;
-    within these, each pair of classes that can link is met exactly. A row with a null
+    within these, each pair of classes that can link is met exactly, so all links are found; for ``complete`` see :func:`signatures`. A row with a null
     ``doc_id`` links with nothing and has a null component; repeated rows give equal rows. Columns beside
     ``doc_id`` and ``text`` are ignored.
     """
@@ -283,7 +310,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: i
     # stored, so that the join with a class that very many documents share can be split
     copied = stored(classes.filter("copies > 1").drop("copies"), "classes")
     same = stored(filled.join(copied, ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "same")
-    near = candidate_edges(docs, n, num, den)
+    near = candidate_edges(docs, n, num, den, complete)
     groups = connected_components(near.unionByName(same))
     reps = sizes.join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
     members = groups.withColumnRenamed("node", "doc_id").join(reps, "doc_id").select("doc_id", "component", "n_shingles")

@@ -107,8 +107,9 @@ def _jaccard(rows, n, num, den):
 
 @pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
 def test_jaccard(docs, n, num, den):
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n, num, den).collect()}
-    assert got == _jaccard(TEXT, n, num, den)
+    want = _jaccard(TEXT, n, num, den)
+    for complete in (True, False):
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n, num, den, complete).collect()} == want
 
 
 def test_jaccard_blocks(spark, monkeypatch):
@@ -129,6 +130,23 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {i: got.get(i, i) for i in rows} == want
 
 
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+@pytest.mark.parametrize("size", [320, 700, 2500])
+def test_recall_of_signatures(num, den, size):
+    """Pairs of large sets at the very threshold, which differ in as many features as they may."""
+    rng = np.random.default_rng(size)
+    missed = {True: 0, False: 0}
+    for _ in range(120):
+        both = rng.integers(1, 2**63, size * num // den, dtype=np.uint64)
+        apart = rng.integers(1, 2**63, len(both) * den // num - len(both), dtype=np.uint64)
+        cut = rng.integers(0, len(apart) + 1)
+        a, b = (np.unique(np.concatenate([both, x])) for x in (apart[:cut], apart[cut:]))
+        assert den * len(both) >= num * (len(both) + len(apart))
+        for complete in missed:
+            missed[complete] += not np.intersect1d(jaccard.signatures(a, num, den, complete), jaccard.signatures(b, num, den, complete)).size
+    assert missed == {True: 0, False: 0}
+
+
 def test_jaccard_empty(none):
     assert jaccard.jaccard_components(none).count() == 0
 
