@@ -1,4 +1,9 @@
-"""Removal of byte strings that repeat anywhere in a corpus, by refinement of buckets of sampled suffixes."""
+"""Removal of byte strings that repeat anywhere in a corpus, by bucket-pointer refinement.
+
+A bucket is the set of places where the same bytes stand, and its identifier a 64-bit hash that any task gives alike. Buckets of
+``q`` bytes are refined by the identifier of the bucket that stands ``q`` bytes later, which doubles ``q``; the new identifiers are used for the next
+round (:func:`refined`). Between rounds the places are counted by identifier across the corpus, and those alone in their bucket drop out.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +23,8 @@ from .shingles import STEP
 LENGTH = 400
 GRAM = 64
 BLOCK = 32
+#: Strings of a block that is found more often are counted in parts of about so many.
+HOT = 2_000
 #: A text is worked on in parts of so many bytes, that overlap by a string's length.
 PART_BYTES = 4_000_000
 #: Texts whose equal suffix ranges are met within the task before the shuffle.
@@ -47,10 +54,21 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _words(data: bytes) -> np.ndarray:
-    """A mixed value of the 8 bytes from each offset."""
+    """The identifier of the bucket of the 8 bytes at each offset."""
     return mix64(np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,)))
 
 
+def refined(ids: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Identifiers of the buckets of ``length`` bytes at each offset, from those of ``size`` bytes.
+
+    Each round takes a bucket apart by the identifier of the bucket ``size`` bytes later, and uses the identifiers of the round before at
+    both places. The last round looks as far ahead as ``length`` asks.
+    """
+    while 2 * size <= length:
+        ids, size = _joined(ids[:-size], ids[size:]), 2 * size
+    return ids if size == length else _joined(ids[: len(ids) - (length - size)], ids[length - size :])
+
+
 class Substrings:
     """Hashes of any substrings of a text, from sums of its mixed 8-byte words."""
 
@@ -73,10 +91,7 @@ def suffix_ranges(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[
     if n <= 0:
         return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     words = _words(data)
-    h, size = words, 8
-    while size < gram:
-        h = _joined(h[:-size], h[size:])
-        size *= 2
+    h = refined(words, 8, gram)
     width = length - gram + 1
     keys = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(keys) // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -148,7 +163,7 @@ def sampled_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _block_rows(texts: DataFrame, length: int, block: int) -> DataFrame:
-    """Cuts each suffix's starts into blocks: the hash of the bytes that a block's strings share, and those around."""
+    """Cuts each suffix's starts into blocks: the bucket at the later offset that all of a block's strings reach, and the bytes around."""
     core = length - block + 1
     side = block - 1
 
@@ -164,7 +179,7 @@ def _block_rows(texts: DataFrame, length: int, block: int) -> DataFrame:
                 k = np.repeat(np.arange(len(at)), many)
                 x = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + low[k]
                 start = at[k] - block * x  # of the core
-                shared = mix64(Substrings(_words(data)).hash(start, start + core) + x.astype(np.uint64))
+                shared = mix64(refined(_words(data), 8, core)[start] + x.astype(np.uint64))
                 around = np.frombuffer(b"\0" * side + data + b"\0" * side, np.uint8)
                 left = np.lib.stride_tricks.sliding_window_view(around, side)
                 sides = np.concatenate([left[start], left[start + core + side]], axis=1)
@@ -188,7 +203,7 @@ def _block_rows(texts: DataFrame, length: int, block: int) -> DataFrame:
 
 
 def _string_rows(blocks: DataFrame, block: int) -> DataFrame:
-    """``(string, doc_id, at)`` of each string of a block: the core's hash with those of the bytes left and right of it."""
+    """``(string, doc_id, at, parts)`` of each string of a block, refined by the bucket at its block's later offset, and the bytes left and right of that."""
     side = block - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +211,7 @@ def _string_rows(blocks: DataFrame, block: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             shared, doc_id, start, lo, hi = (batch.column(k).to_numpy() for k in range(5))
+            parts = batch.column(6).to_numpy()
             raw = b"".join(batch.column(5).to_pylist())
             wide = np.frombuffer(raw, np.uint8).reshape(-1, 2 * side)
             words = np.lib.stride_tricks.as_strided(np.ndarray((1,), "<u8", raw), (len(wide), 2 * side - 7), (2 * side, 1))
@@ -207,40 +223,49 @@ def _string_rows(blocks: DataFrame, block: int) -> DataFrame:
             h = mix64(h + mix64(j.astype(np.uint64)) + shared.astype(np.uint64)[:, None])
             row, col = np.nonzero((j >= lo[:, None]) & (j <= hi[:, None]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[row, col].astype(np.int64)), pa.array(doc_id[row]), pa.array((start[row] - col).astype(np.int32))], ["string", "doc_id", "at"]
+                [pa.array(h[row, col].astype(np.int64)), pa.array(doc_id[row]), pa.array((start[row] - col).astype(np.int32)), pa.array(parts[row])], ["string", "doc_id", "at", "parts"]
             )
 
-    return blocks.mapInArrow(run, "string long, doc_id long, at int")
+    return blocks.mapInArrow(run, "string long, doc_id long, at int, parts int")
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """``(doc_id, spans)``: ranges ``(first, last)`` of starts of the strings of ``length`` bytes that start elsewhere too.
 
-    Suffixes are put in buckets by their first gram. Buckets are refined by the identity of all that a suffix's
-    strings cover: what is alike there is repeated as a whole, and one of it goes on for all. What is left is refined by the
-    bytes that blocks of strings share, at offsets before the suffix, and at last by the strings
-    themselves. Buckets with one suffix drop out at each step, so that each step moves less.
+    Sampled suffixes are put in buckets by their first gram. Buckets are refined by the identity of all that a suffix's
+    strings cover: what is alike there is repeated as a whole, and one of it goes on for all. What is left is refined by the buckets at later
+    offsets that blocks of strings share, and at last by the strings themselves. Those alone in a bucket drop out at each step, so that each
+    step moves less. Counts are summed in the tasks first and joined back between stored tables, which can be split at a hot key;
+    strings of hot blocks are counted in parts, and then those alone in their part.
     """
-    rows = sampled_suffixes(docs, length)
-    # rows that are repeated for certain pass under a key of their own
-    keyed = rows.withColumn("bucket", F.when(F.col("at").isNull(), F.xxhash64("doc_id", "first")).otherwise(F.col("bucket"))).withColumn("known", F.col("at").isNull())
-    bucket, alike = W.partitionBy("bucket", "known"), W.partitionBy("bucket", "known", "identity")
-    refined = (
-        keyed.withColumn("in_bucket", F.sum("n").over(bucket))
-        .filter("known or in_bucket > 1")
-        .withColumn("alike", F.sum("n").over(alike))
-        .withColumn("place", F.row_number().over(alike.orderBy("doc_id", "first")))
-        .withColumn("apart", F.col("alike") < F.col("in_bucket"))
-        .select("doc_id", "at", "first", "last", (F.col("known") | (F.col("alike") > 1)).alias("whole"), (~F.col("known") & F.col("apart") & (F.col("place") == 1)).alias("goes_on"))
-    )
-    refined = stored(refined, "suffixes")
-    going = refined.filter("goes_on").groupBy("doc_id").agg(F.collect_list(F.struct("at", "first", "last")).alias("suffixes"))
+    rows = stored(sampled_suffixes(docs, length), "suffixes")
+    # met in the task already: repeated for certain
+    known, open_rows = rows.filter("at is null"), rows.filter("at is not null")
+    common = stored(open_rows.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).filter("in_bucket > 1"), "buckets")
+    met = stored(open_rows.join(common, "bucket").drop("in_bucket"), "bucketed")
+    one = F.min(F.struct("doc_id", "first", "at", "last")).alias("one")
+    alike = stored(met.groupBy("bucket", "identity").agg(F.sum("n").alias("alike"), one), "alike")
+    whole = met.join(alike.filter("alike > 1").select("bucket", "identity"), ["bucket", "identity"], "left_semi")
+    # buckets of one identity are done
+    apart = alike.join(common, "bucket").filter("alike < in_bucket").select("one.*")
+    going = apart.groupBy("doc_id").agg(F.collect_list(F.struct("at", "first", "last")).alias("suffixes"))
     texts = _squeezed(docs).join(going, "doc_id").select("doc_id", "z", "suffixes")
     blocks = stored(_block_rows(texts, length, block), "blocks")
-    shared = stored(blocks.groupBy("shared").count().filter("count > 1").select("shared"), "shared")
-    strings = _string_rows(blocks.join(shared, "shared", "left_semi").select("shared", "doc_id", "start", "lo", "hi", "sides"), block)
-    twice = strings.withColumn("n", F.count("*").over(W.partitionBy("string"))).filter("n > 1")
-    spans = refined.filter("whole").select("doc_id", F.col("first").alias("a"), F.col("last").alias("b")).unionByName(twice.select("doc_id", F.col("at").alias("a"), F.col("at").alias("b")))
+    parts = F.ceil(F.col("n") / hot).cast("int").alias("parts")
+    shared = stored(blocks.groupBy("shared").agg(F.count("*").alias("n")).filter("n > 1").select("shared", parts), "shared")
+    strings = _string_rows(blocks.join(shared, "shared").select("shared", "doc_id", "start", "lo", "hi", "sides", "parts"), block)
+    part = F.pmod(F.xxhash64("doc_id", "at"), F.col("parts"))
+    counted = strings.withColumn("part", part).withColumn("n", F.count("*").over(W.partitionBy("string", "part")))
+    hot_ones = stored(counted.filter("n > 1 or parts > 1").select("string", "doc_id", "at", "parts", "n"), "strings")
+    # at most one for each part
+    alone = hot_ones.filter("n = 1").withColumn("n", F.count("*").over(W.partitionBy("string"))).filter("n > 1")
+    # a string that is alone in its part may stand in others more than once
+    often = hot_ones.filter("n > 1 and parts > 1").select("string").distinct()
+    rest = hot_ones.filter("n = 1").join(often, "string", "left_semi")
+    at = [F.col("at").alias("a"), F.col("at").alias("b")]
+    spans = known.unionByName(whole.select(*known.columns)).select("doc_id", F.col("first").alias("a"), F.col("last").alias("b"))
+    for found in (hot_ones.filter("n > 1"), alone, rest):
+        spans = spans.unionByName(found.select("doc_id", *at))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 

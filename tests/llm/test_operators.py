@@ -47,7 +47,10 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_substrings(docs, none):
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_substrings(docs, none, hot, monkeypatch):
+    own = substrings.repeated_starts
+    monkeypatch.setattr(substrings, "repeated_starts", lambda docs, length: own(docs, length, hot=hot))
     n = collections.Counter()
     data = {i: t.encode() for i, t in TEXT.items()}
     for b in data.values():
@@ -73,6 +76,37 @@ def test_substrings_with_equal_sides(spark):
     assert got == {k: 400 if k in (9, 100) else 0 for k, _ in rows}
 
 
+@pytest.mark.parametrize("length", [8, 9, 15, 16, 31, 64, 100, 369, 400])
+def test_refined_buckets(length):
+    """Equal identifiers, equal bytes."""
+    rng = random.Random(length)
+    data = bytes(rng.choice(b"ab") for _ in range(900)) + b"a" * 500
+    data += data[:700]
+    ids = substrings.refined(substrings._words(data), 8, length)
+    assert len(ids) == len(data) - length + 1
+    by_id, by_bytes = collections.defaultdict(set), collections.defaultdict(set)
+    for k, x in enumerate(ids.tolist()):
+        by_id[x].add(k)
+        by_bytes[data[k : k + length]].add(k)
+    assert sorted(map(sorted, by_id.values())) == sorted(map(sorted, by_bytes.values()))
+
+
+def test_strings_of_many_contexts(spark):
+    """One passage in different places of many documents, which meet in no whole range."""
+    rng = random.Random(21)
+    passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(450))
+    rows = [(k, "".join(rng.choice("qrstuvwxyz ") for _ in range(rng.randrange(1, 300))) + "." + passage + "." + "".join(rng.choice("qrstuvwxyz ") for _ in range(rng.randrange(1, 300)))) for k in range(60)]
+    rows += [(100, passage[:420]), (101, passage[:399])]
+    n = collections.Counter(t[x : x + 400] for _, t in rows for x in range(len(t) - 399))
+    want = {k: own for k, t in rows if (own := {x for x in range(len(t) - 399) if n[t[x : x + 400]] > 1})}
+    assert len(want) == 61
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2000, 7):
+        got = substrings.repeated_starts(df, hot=hot).collect()
+        starts = {r.doc_id: {x for s in r.spans for x in range(s.a, s.b + 1)} for r in got}
+        assert starts == want
+
+
 def test_substring_parts(monkeypatch):
     rng = random.Random(2)
     data = bytes(rng.randrange(97, 101) for _ in range(30_000))
