@@ -62,7 +62,7 @@ def interpreter(first_line: Column) -> Column:
 
 
 def resolve_language(path: Column, source: Column) -> Column:
-    """By extension, else by the shebang of a file without one; null where neither tells."""
+    """By extension, else by the shebang of a file without one; null where neither tells. Programs, extensions and names here and below are fixed values."""
     program = interpreter(F.substring_index(F.coalesce(source, F.lit("")), "\n", 1))
     said = (
         F.when(program.rlike(r"^(python|pypy)(\d+(\.\d+)?)?$"), "python")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence as V
+from ..operators import packets as P
 from ..operators import units as U
 from .mapping import CUTS, FILES, SCORES, SPANS, files, scores, spans, table
 
@@ -43,6 +44,18 @@ def j10(s, d):
     return V.instruction_files(files(s, d), judged.withColumn("reason", F.when(F.col("path").contains("/de/"), "ignored")), "README")
 
 
+def s7(s, d):
+    """Packets of all scored files; an excerpt is what an event tells, for the file of its number."""
+    roles = F.when(F.col("priority") > 0.9, F.array(F.lit("caller"), F.lit("test"))).when(F.col("priority") > 0.5, F.array(F.lit("helper")))
+    e = table(s, d, "events")
+    own = e.select(
+        (F.col("user_id") % 97).alias("query_id"), F.concat(F.lit("p"), F.col("event_id") % 400).alias("path"), F.col("event_id").alias("start_line"), (F.col("event_id") + 1).alias("end_line"),
+        F.concat("event_type", F.lit("\n"), F.when(F.col("event_id") % 3 == 0, F.lit("````")).otherwise(F.lit("x"))).alias("source"),
+    )
+    lines = P.packet_lines(found(s, d).withColumn("roles", roles), own, 10_000_000, 20_000)
+    return P.packet_texts(lines).select("query_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("bytes"))
+
+
 def o9(s, d):
     groups = scores(s, d).groupBy("query_id", "path").agg(F.count("*").alias("n_groups"))
     return V.order_donors(groups).select("query_id", F.array_join("donors", ",").alias("donors"))
@@ -104,6 +117,22 @@ QUERIES = {
         j AS (SELECT query_id, '[' || string_agg('{{"path":"' || path || '","start":0,"end":' || strlen(source) || ',"source":"' || source || '"}}', ',' ORDER BY n, path) || ']' AS evidence FROM x GROUP BY 1)
         SELECT found.query_id, found.path, CASE WHEN strlen(evidence) <= 6000 THEN evidence END AS evidence FROM found LEFT JOIN j USING (query_id)""",
     ),
+    "s7_packets": (
+        s7,
+        f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(priority, score) DESC, score DESC, path) AS rank FROM found),
+        x AS (SELECT user_id % 97 AS query_id, 'p' || (event_id % 400) AS path, event_id, event_type || chr(10) || CASE WHEN event_id % 3 = 0 THEN '````' ELSE 'x' END AS source, CASE WHEN event_id % 3 = 0 THEN '`````' ELSE '```' END AS fence FROM events),
+        t AS (SELECT x.*, rank FROM x JOIN r USING (query_id, path)),
+        l AS (SELECT query_id, 0 AS section, 0 AS rank, 0 AS event_id, [count(*) || ' relevant files.'] AS lines FROM found GROUP BY 1
+          UNION ALL SELECT query_id, 1, rank, 0, ['- "' || path || '" — ' || CASE WHEN priority > 0.9 THEN 'caller, test' WHEN priority > 0.5 THEN 'helper' ELSE 'relevant; role uncertain' END || '; ' ||
+            CASE WHEN (query_id, path) IN (SELECT (query_id, path) FROM t) THEN 'source below' ELSE 'locations only' END] FROM r
+          UNION ALL SELECT DISTINCT query_id, 2, 0, 0, ['End file list.'] FROM found
+          UNION ALL SELECT query_id, 3, rank, event_id, ['', 'Source block "' || path || '" lines ' || event_id || '-' || (event_id + 1) || ':', fence] || string_split(source, chr(10)) || [fence] FROM t
+          UNION ALL SELECT DISTINCT query_id, 4, 0, 0, ['', 'End context.'] FROM found),
+        n AS (SELECT query_id, section, rank, event_id, i, line, sum(strlen(line) + 1) OVER (PARTITION BY query_id) AS total, sum(strlen(line) + 1) OVER (PARTITION BY query_id ORDER BY section, rank, event_id, i ROWS UNBOUNDED PRECEDING) AS so_far
+          FROM (SELECT query_id, section, rank, event_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM l)),
+        p AS (SELECT query_id, string_agg(line, chr(10) ORDER BY section, rank, event_id, i) AS text FROM n WHERE total <= 20000 OR so_far <= 19936 GROUP BY 1)
+        SELECT query_id, sha256(text) AS hash, strlen(text) AS bytes FROM p""",
+    ),
     "o9_order_donors": (
         o9,
         f"WITH {SCORES}, g AS (SELECT query_id, path, count(*) AS n FROM scores GROUP BY ALL) SELECT query_id, string_agg(path, ',' ORDER BY n, path) AS donors FROM g GROUP BY query_id",
