@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     small star each smaller neighbour; in turn they shrink every component to a
     star. Minima are combined before the shuffle, so that a hub costs one row for
     each task; the join back is a plain shuffled join, which adaptive execution
-    splits where a hub is hot. Edges are written after each round. Loops, null
+    splits where a hub is hot. Edges are written after each round, and those of the round before deleted. Loops, null
     ends and repeated edges are allowed and change nothing; an empty table gives
     an empty result.
     """
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
-        edges = stored(_small_star(_large_star(edges)).distinct(), "edges")
+        last, edges = edges, stored(_small_star(_large_star(edges)).distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, table, text_or_empty
+from .common import discard, mix64, stored, table, text_or_empty
 from .components import connected_components
 from .shingles import set_digest, shingle_sets, sorted_groups
 
@@ -316,6 +316,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: i
     members = groups.withColumnRenamed("node", "doc_id").join(reps, "doc_id").select("doc_id", "component", "n_shingles")
     links = verified_edges(docs, members, n, num, den)
     final = connected_components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
+    discard(copied, same)
     return sizes.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, table
+from .common import discard, mix64, stored, table
 from .line_dedup import _squeezed
 from .shingles import STEP
 
@@ -107,15 +107,15 @@ def suffix_ranges(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[
     return mix64(h[at]), mix64(whole * STEP + ((at - first) << 20 | (last - first)).astype(np.uint64)), at, first, last
 
 
-def _parts(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    yield 0, data[:PART_BYTES]
-    at = PART_BYTES - length + 1
+def _parts(data: bytes, length: int, part_bytes: int = PART_BYTES) -> Iterator[tuple[int, bytes]]:
+    yield 0, data[:part_bytes]
+    at = part_bytes - length + 1
     while at + length <= len(data):
-        yield at, data[at : at + PART_BYTES]
-        at += PART_BYTES - length + 1
+        yield at, data[at : at + part_bytes]
+        at += part_bytes - length + 1
 
 
-def sampled_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def sampled_suffixes(docs: DataFrame, length: int = LENGTH, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(bucket, identity, doc_id, at, first, last, n)`` for the suffixes sampled from all texts.
 
     Equal ranges of a few megabytes of text meet in the task: one stands for all, ``n`` of them;
@@ -147,7 +147,7 @@ def sampled_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ids, found, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = text.as_py()
-                for offset, part in _parts(data, length):
+                for offset, part in _parts(data, length, part_bytes):
                     bucket, identity, *places = suffix_ranges(part, length)
                     ids.append(doc_id)
                     found.append((bucket, identity, *(x + offset for x in places)))
@@ -229,7 +229,7 @@ def _string_rows(blocks: DataFrame, block: int) -> DataFrame:
     return blocks.mapInArrow(run, "string long, doc_id long, at int, parts int")
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(doc_id, spans)``: ranges ``(first, last)`` of starts of the strings of ``length`` bytes that start elsewhere too.
 
     Sampled suffixes are put in buckets by their first gram. Buckets are refined by the identity of all that a suffix's
@@ -238,7 +238,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, h
     step moves less. Counts are summed in the tasks first and joined back between stored tables, which can be split at a hot key;
     strings of hot blocks are counted in parts, and then those alone in their part.
     """
-    rows = stored(sampled_suffixes(docs, length), "suffixes")
+    rows = stored(sampled_suffixes(docs, length, part_bytes), "suffixes")
     # met in the task already: repeated for certain
     known, open_rows = rows.filter("at is null"), rows.filter("at is not null")
     common = stored(open_rows.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).filter("in_bucket > 1"), "buckets")
@@ -257,6 +257,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, h
     part = F.pmod(F.xxhash64("doc_id", "at"), F.col("parts"))
     counted = strings.withColumn("part", part).withColumn("n", F.count("*").over(W.partitionBy("string", "part")))
     hot_ones = stored(counted.filter("n > 1 or parts > 1").select("string", "doc_id", "at", "parts", "n"), "strings")
+    discard(blocks, shared, common)
     # at most one for each part
     alone = hot_ones.filter("n = 1").withColumn("n", F.count("*").over(W.partitionBy("string"))).filter("n > 1")
     # a string that is alone in its part may stand in others more than once

@@ -47,10 +47,10 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 2])
-def test_substrings(docs, none, hot, monkeypatch):
+@pytest.mark.parametrize("hot,part_bytes", [(substrings.HOT, substrings.PART_BYTES), (2, 1500)])
+def test_substrings(docs, none, hot, part_bytes, monkeypatch):
     own = substrings.repeated_starts
-    monkeypatch.setattr(substrings, "repeated_starts", lambda docs, length: own(docs, length, hot=hot))
+    monkeypatch.setattr(substrings, "repeated_starts", lambda docs, length: own(docs, length, hot=hot, part_bytes=part_bytes))
     n = collections.Counter()
     data = {i: t.encode() for i, t in TEXT.items()}
     for b in data.values():
@@ -107,12 +107,11 @@ def test_strings_of_many_contexts(spark):
         assert starts == want
 
 
-def test_substring_parts(monkeypatch):
+def test_substring_parts():
     rng = random.Random(2)
     data = bytes(rng.randrange(97, 101) for _ in range(30_000))
-    monkeypatch.setattr(substrings, "PART_BYTES", 5000)
     seen = set()
-    for offset, part in substrings._parts(data, 400):
+    for offset, part in substrings._parts(data, 400, 5000):
         *_, first, last = substrings.suffix_ranges(part)
         seen.update(x + offset for a, b in zip(first, last) for x in range(a, b + 1))
     assert seen == set(range(len(data) - 399))
@@ -334,6 +333,13 @@ def test_urls(spark):
     assert got[11][2:] == (None, "allow", "alias")
     assert got[12] == ("a.example.net", "", None, "allow", "default")
     assert url_filter.propagate(df.limit(0), url_filter.declared_edges(df.limit(0).selectExpr("*", "url as html"))).count() == 0
+    # repeated rows and null ids are judged alike; declared links join their pages
+    html = '<link rel="canonical" href="https://x.example.com/de/1"><meta http-equiv=refresh content="0; url=https://other.org/en/2">'
+    rows = [(None, "https://plain.org/en/1", html), (None, "https://plain.org/en/1", html), (20, "https://other.org/en/2", None), (21, "https://third.org/en/3", ""), (21, "https://third.org/en/3", ""), (None, None, html)]
+    own = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((str(r.page_id), str(r.url), r.verdict, r.via) for r in url_filter.propagate(own, url_filter.declared_edges(own)).collect())
+    want = [(None, "https://plain.org/en/1", "block", "alias")] * 2 + [(20, "https://other.org/en/2", "block", "alias")] + [(21, "https://third.org/en/3", "allow", "default")] * 2 + [(None, None, "allow", "default")]
+    assert got == sorted((str(a), str(b), *rest) for a, b, *rest in want)
 
 
 @pytest.mark.parametrize("k", [1, 7, 40, 99, 100, 500])
