@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import eligibility as E
+from ..sources import files as R
 from .mapping import FILES, files
 
 _BASE = "regexp_extract(path, '[^/]*$')"
@@ -197,7 +198,8 @@ QUERIES = {
         f"WITH {FILES}, p AS (SELECT path, string_split(path, '/') AS x FROM files) SELECT path, array_to_string(x[1:i], '/') AS dir FROM (SELECT path, x, unnest(range(1, len(x))) AS i FROM p)",
     ),
     "s2_snapshot": (
-        lambda s, d: files(s, d).select("repo", "path", F.is_valid_utf8("source").alias("valid"), F.sha2(F.col("source").cast("binary"), 256).alias("content_hash")),
-        f"WITH {FILES} SELECT repo, path, true AS valid, sha256(source) AS content_hash FROM files",
+        lambda s, d: R.snapshot(_marked(s, d, 13, F.lit(b"\xc3"))).select("repo", "path", F.length("source").alias("chars"), "content_hash"),
+        f"""WITH {FILES} SELECT repo, path, CASE WHEN doc_id % 13 > 0 THEN length(source) END AS chars,
+        CASE WHEN doc_id % 13 = 0 THEN sha256(encode(source) || '\\xC3'::BLOB) ELSE sha256(source) END AS content_hash FROM files""",
     ),
 }
