@@ -46,6 +46,13 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path_of(url), r"(?:\.html?|/)$", ""))
 
 
+def url_id(url: Column) -> Column:
+    """A number of 124 bits from two hashes, so that no two of very many urls share one; null for a null url."""
+    high, low = F.shiftright(F.xxhash64(url), 4), F.xxhash64(F.lit("low"), url)
+    wide = high.cast("decimal(20,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + low.cast("decimal(20,0)")
+    return F.when(url.isNotNull(), wide.cast("decimal(38,0)"))
+
+
 def declared_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)``: canonical links and refresh redirects that pages declare, and the redirect to the canonical form.
 
@@ -81,13 +88,13 @@ def propagate(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", rule.alias("rule"), verdict.alias("own"))
-    # 64-bit ids of urls: the components move those, not the strings
-    links = edges.filter("src is not null and dst is not null").select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v"))
+    # the components move numbers, not the strings
+    links = edges.filter("src is not null and dst is not null").select(url_id(F.col("src")).alias("u"), url_id(F.col("dst")).alias("v"))
     groups = stored(connected_components(links), "aliases")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("url")).filter("url is not null").distinct()
     _, said = matched_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
     decisions = stored(
-        ends.select(F.xxhash64("url").alias("node"), said.alias("said"))
+        ends.select(url_id(F.col("url")).alias("node"), said.alias("said"))
         .filter("said is not null")
         .join(groups, "node")
         .groupBy("component")
@@ -96,7 +103,7 @@ def propagate(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
     )
     # one verdict for each url before the pages join, so that a hot component is spread over its urls
     alias = groups.join(decisions, "component").select("node", F.when(F.col("allowed"), "allow").otherwise("block").alias("spread"))
-    out = judged.withColumn("node", F.xxhash64("url")).join(alias, "node", "left")
+    out = judged.withColumn("node", url_id(F.col("url"))).join(alias, "node", "left")
     return out.select(
         "page_id",
         "url",
