@@ -180,15 +180,18 @@ def fit(sample: DataFrame, recall: float = RECALL, seed: int = SEED) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fold, good, noise = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            fold, good, noise, ids = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
             for rows, texts in _chunks(list(range(batch.num_rows)), batch.column(0).to_pylist()):
                 owner, bucket = feature_buckets(texts)
                 own = fold[np.asarray(rows)]
                 keys = [np.bincount(owner, ratios[own[owner], bucket], len(rows)) + noise[rows] for ratios in apart.value]
-                yield pa.RecordBatch.from_arrays([pa.array(good[rows]), *map(pa.array, keys)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(good[rows]), *map(pa.array, keys)], ["doc_id", *names])
 
     names = ["good", *(f"k{k}" for k in range(len(SHRINKAGES)))]
-    scored = sample.select("data", F.col("fold").cast("int").alias("fold"), "good", gumbel(seed).alias("noise")).mapInArrow(run, "good long" + "".join(f", {c} double" for c in names[1:])).toArrow()
+    data = sample.select("data", F.col("fold").cast("int").alias("fold"), "good", gumbel(seed).alias("noise"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = data.mapInArrow(run, "doc_id long, good long" + "".join(f", {c} double" for c in names[1:]))
+    # one row for each labelled id, however often its document is repeated
+    scored = rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names]).toArrow()
     good = scored.column("good").to_numpy() > 0
     shares = []
     for c in names[1:]:
