@@ -223,7 +223,8 @@ def _in_tasks(docs: DataFrame, wanted: DataFrame, n: int, run: Callable[[pa.Tabl
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 2, ["u", "v"])
 
     tasks = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("task", "role")).alias("tasks"))
-    texts = _bytes(docs).join(tasks, "doc_id").select("doc_id", "data", "tasks")
+    # merged at every size: few tasks would be broadcast, many would not
+    texts = _bytes(docs).join(tasks.hint("merge"), "doc_id").select("doc_id", "data", "tasks")
     rows = texts.mapInArrow(sets, "doc_id long, feats array<long>, tasks array<struct<task:long,role:int>>").select("doc_id", "feats", F.inline("tasks"))
     return rows.repartition("task").sortWithinPartitions("task", "doc_id", "role").mapInArrow(each, "u long, v long")
 
