@@ -15,18 +15,18 @@ def x2(s, d):
 
 
 #: Parts as modules of a class with as many lines as the part's size; the query names the class of size 7.
-_CLASS = F.expr("concat('a\nclass C', p_size, ':\n', repeat('x\n', p_size))")
+_CLASS = "concat('a\nclass C', p_size, ':\n', repeat('x\n', p_size))"
 _QUERY, _BUDGET = "class C7", 40
 
 
 def x3(s, d):
     V.register_preview(s)
-    table(s, d, "part").select("p_partkey", _CLASS.alias("source")).createOrReplaceTempView("lodestrata_parts")
+    table(s, d, "part").select("p_partkey", F.expr(_CLASS).alias("source")).createOrReplaceTempView("lodestrata_parts")
     return s.sql(f"SELECT p_partkey, p.* FROM lodestrata_parts, LATERAL preview_spans(source, '{_QUERY}', {_BUDGET}) p")
 
 
 def g7(s, d):
-    return V.query_preview(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), _CLASS.alias("source")), _QUERY, _BUDGET)
+    return V.query_preview(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr(_CLASS).alias("source")), _QUERY, _BUDGET)
 
 
 #: The opening quarter holds the first line only; then the class's line and as many of its lines as fit 38 bytes, found by the query or as a spread window.

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +211,16 @@ def test_registry():
     assert len(queries) > 100 and set(sql) <= set(queries)
 
 
+def test_registry_needs_no_session():
+    """Listing the queries builds no column, so it works before a session is there."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 def test_sources(spark, tmp_path):
     from lodestrata.sources import files as R
 
