@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import random
-
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
