@@ -133,7 +133,11 @@ def count_features(sample: DataFrame, folds: int = FOLDS) -> tuple[np.ndarray, n
     # at most a row for each bucket
     sums = data.mapInArrow(run, "f int" + "".join(f", {c} int" for c in names[1:])).groupBy("f").agg(*[F.sum(c).cast("int").alias(c) for c in names[1:]]).toArrow()
     counts = np.zeros((2 * folds, 1 << BITS), np.int32)
-    counts[:, sums.column("f").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in names[1:]])
+    held = sums.column("f").to_numpy()
+    for own, c in zip(counts, names[1:]):
+        own[held] = sums.column(c).to_numpy()
+    del sums, held
+    pa.default_memory_pool().release_unused()
     return docs.reshape(folds, 2), counts.reshape(folds, 2, -1)
 
 
@@ -145,7 +149,7 @@ def log_ratios(docs: np.ndarray, counts: np.ndarray, shrinkage: tuple[int, float
     deciding. Ratios are smoothed and shrink towards 0 as the sample supports them less, so that
     many weak ones add up where they agree, and rare words of clean documents weigh next to nothing.
     """
-    n, t = counts.sum(axis=0).astype(float), counts[1].astype(float)
+    n, t = counts.sum(axis=0).astype(np.float32), counts[1].astype(np.float32)
     if not docs.all():
         return np.zeros(len(n), np.float32)
     share = docs[1] / docs.sum()
@@ -175,8 +179,13 @@ def fit(sample: DataFrame, recall: float = RECALL, seed: int = SEED) -> Model:
     docs, counts = count_features(sample)
     if not docs.sum(axis=0).all():
         return Model(np.zeros(counts.shape[2], np.float32), 1.0)
-    rest = [(docs.sum(axis=0) - docs[k], counts.sum(axis=0) - counts[k]) for k in range(len(docs))]
-    apart = sample.sparkSession.sparkContext.broadcast(np.array([[log_ratios(*own, s) for own in rest] for s in SHRINKAGES]))
+    ratios = np.empty((len(SHRINKAGES), len(docs), counts.shape[2]), np.float32)
+    for k in range(len(docs)):  # one part at a time: the driver holds few arrays of all buckets
+        rest = counts.sum(axis=0) - counts[k]
+        for own, s in zip(ratios[:, k], SHRINKAGES):
+            own[:] = log_ratios(docs.sum(axis=0) - docs[k], rest, s)
+    apart = sample.sparkSession.sparkContext.broadcast(ratios)
+    del ratios, rest, own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,6 +201,7 @@ def fit(sample: DataFrame, recall: float = RECALL, seed: int = SEED) -> Model:
     rows = data.mapInArrow(run, "doc_id long, good long" + "".join(f", {c} double" for c in names[1:]))
     # one row for each labelled id, however often its document is repeated
     scored = rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names]).toArrow()
+    apart.destroy()
     good = scored.column("good").to_numpy() > 0
     shares = []
     for c in names[1:]:
