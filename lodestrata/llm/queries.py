@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, jaccard, line_dedup, media, packing, quality, rollups, substrings, url_filter
+from . import decontaminate, extract, filter_audit, jaccard, line_dedup, media, packing, quality, rollups, sentence_pieces, substrings, url_filter
 
-MODULES = (substrings, quality, line_dedup, rollups, url_filter, decontaminate, jaccard, packing, media, extract)
+MODULES = (substrings, quality, line_dedup, rollups, url_filter, decontaminate, jaccard, packing, media, extract, filter_audit, sentence_pieces)
 
 
 def queries() -> dict:
