@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, filter_audit, jaccard, line_dedup, media, packing, quality, rollups, sentence_pieces, substrings, url_filter
+from . import conversation_trie, decontaminate, extract, filter_audit, jaccard, line_dedup, media, packing, quality, rollups, sentence_pieces, substrings, url_filter
 
-MODULES = (substrings, quality, line_dedup, rollups, url_filter, decontaminate, jaccard, packing, media, extract, filter_audit, sentence_pieces)
+MODULES = (substrings, quality, line_dedup, rollups, url_filter, decontaminate, jaccard, packing, media, extract, filter_audit, conversation_trie, sentence_pieces)
 
 
 def queries() -> dict:
