@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from math import isqrt
@@ -25,6 +26,9 @@ FITS = 3
 #: The added token of the ``tokenizers`` file.
 SPECIAL = {"<|endoftext|>": 50256}
 
+#: Runs of the pattern's white space (Unicode's) that are cut off where the pattern can't be matched.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
 _encoders: dict = {}
 
 
@@ -34,15 +38,46 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str):
-    """The byte-level BPE of a ranks file, kept for each worker process. Special strings are tokens of their own where the caller allows them."""
-    if path not in _encoders:
+class Encoder:
+    r"""Ids of the byte-level BPE of a ranks file. The end token's string is a token of its own, as in the vocabulary's file for ``tokenizers``.
+
+    The pattern's ``\s+(?!\S)`` can't be matched over very long white space. Such a run is cut off by the pattern's own
+    rule: all of it at the end of a text, else all but its last character, which goes with what follows.
+    """
+
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+    def encode_to_numpy(self, text: str, allowed_special: str = "all") -> np.ndarray:
+        try:
+            return self.bpe.encode_to_numpy(text, allowed_special=allowed_special)
+        except ValueError:
+            return np.concatenate(list(self._in_parts(text)))
+
+    def _in_parts(self, text: str) -> Iterator[np.ndarray]:
+        (special, end_id), *_ = SPECIAL.items()
+        ordinary = lambda x: self.bpe.encode_to_numpy(x, disallowed_special=())
+        for k, part in enumerate(text.split(special)):
+            if k:
+                yield np.array([end_id], np.uint32)
+            start = 0
+            for run in LONG_SPACE.finditer(part):
+                end = run.end() - (run.end() < len(part))
+                yield ordinary(part[start : run.start()])
+                yield np.array(self.bpe._encode_single_piece(part[run.start() : end].encode()), np.uint32)
+                start = end
+            yield ordinary(part[start:])
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a ranks file, kept for each worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -61,7 +96,7 @@ def tokenize(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID
             for at in range(0, batch.num_rows, 1024):
                 rows: list[list] = [[] for _ in names]
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
-                    ids = np.append(encode(text, allowed_special="all").astype("<u4"), np.array([end_id], "<u4"))
+                    ids = np.append(encode(text).astype("<u4"), np.array([end_id], "<u4"))
                     n = -(-len(ids) // max_tokens)
                     start, stop = 0, len(ids) - (n - 1) * max_tokens
                     for piece in range(n):

@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame, versions: Sequence[str] = ("words-1", BPE), ke
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encode = encoder(path).encode_to_numpy
             for batch in batches:
-                n = np.fromiter((len(encode(x.as_py(), allowed_special="all")) for x in batch.column(batch.num_columns - 1)), np.int64, batch.num_rows)
+                n = np.fromiter((len(encode(x.as_py())) for x in batch.column(batch.num_columns - 1)), np.int64, batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names)
 
         rows = rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `n {BPE}` long")
