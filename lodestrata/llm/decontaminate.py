@@ -18,6 +18,11 @@ BLOCK_BYTES = 4_000_000
 FILTER_BITS = 22
 #: A q-gram that an item holds more often is counted by a bound, not place by place.
 OFTEN = 16
+#: A q-gram that more items hold is counted by a bound as well; shorter ones are shared by chance, so their limits are higher.
+COMMON = 8
+LEVELS = {8: 32, 6: 128, 5: 256, 4: 512}
+#: Part of the least number of shared q-grams (or of an item's length) that has to be among the counted ones.
+SHARE = 0.125
 #: Places of q-grams that are laid out at a time.
 HITS_AT_ONCE = 1_000_000
 
@@ -28,20 +33,61 @@ def normalized(data: bytes) -> bytes:
 
 
 def gram_hashes(data: bytes, q: int = Q) -> np.ndarray:
-    """A hash of each window of ``q`` bytes, 8 to 16."""
+    """A hash of each window of ``q`` bytes, 4 to 16."""
     n = len(data) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    if q < 8:
+        return mix64(np.ndarray((n,), "<u4", data, 0, (1,)).astype(np.uint64) << np.uint64(32) | np.ndarray((n,), "<u4", data, q - 4, (1,)))
     low = np.ndarray((n,), "<u8", data, 0, (1,))
     high = np.ndarray((n,), "<u8", data, q - 8, (1,))
     return mix64(low * np.uint64(0x9E3779B97F4A7C15) ^ high)
 
 
+class Postings:
+    """Places ``(item, place)`` of the q-grams of some items, with the least number of counted q-grams that a match shares.
+
+    An item of ``m`` bytes with ``e`` edits shares ``m - q + 1 - q * e`` of its q-grams at least. Not counted are those
+    that it holds more than ``OFTEN`` times, or that stand in more than ``common`` items (a frame that many items share);
+    any number of them may be shared, so the bound is lower by as many.
+    """
+
+    def __init__(self, texts: dict[int, bytes], edits: np.ndarray, q: int, common: int):
+        self.q = q
+        numbers = np.array(list(texts), np.int64)
+        grams = [gram_hashes(t, q) for t in texts.values()]
+        keys = np.concatenate([*grams, np.empty(0, np.uint64)])
+        item = np.repeat(numbers, [len(g) for g in grams])
+        place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.empty(0, np.int32)])
+        order = np.lexsort((item, keys))
+        keys, item, place = keys[order], item[order], place[order]
+        # places of one q-gram in one item
+        first = np.nonzero(np.append(True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])))[0] if len(keys) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(keys)))
+        _, which, items = np.unique(keys[first], return_inverse=True, return_counts=True)
+        counted = (n <= OFTEN) & (items[which] <= common)
+        left_out = np.bincount(item[first], np.where(counted, 0, n), len(edits)).astype(np.int64)
+        self.rest = np.zeros(len(edits), np.int64)
+        lengths = np.fromiter(map(len, texts.values()), np.int64, len(texts))
+        self.rest[numbers] = lengths - q + 1 - q * edits[numbers] - left_out[numbers]
+        self.all = keys, item, place, np.repeat(counted, n), first
+
+    def keep(self, mine: np.ndarray) -> Postings:
+        """Only the counted q-grams of the items that ``mine`` marks."""
+        keys, item, place, counted, _ = self.all
+        own = counted & mine[item]
+        self.keys, self.first, self.stop, self.item, self.place = *_postings(keys[own]), item[own].astype(np.int32), place[own]
+        del self.all
+        return self
+
+
 class GramIndex:
-    """The q-grams of benchmark items, with the budget of edits and the least number of shared q-grams of each.
+    """The q-grams of benchmark items, with the budget of edits of each.
 
-    An item of ``m`` bytes with ``e`` edits shares ``m - q + 1 - q * e`` of its q-grams at least; where that isn't
-    positive, the budget is lowered until it is. Items of fewer than ``q`` bytes are searched for exactly, as whole words.
+    Where the budget leaves no q-gram to be shared, it is lowered until it does. An item is looked for by the longest
+    q-grams of ``LEVELS`` of which a match shares a ``SHARE`` of its length at least, those left out that many items hold:
+    items that share a frame are told apart by shorter q-grams of the rest. Where no length will do, any place with
+    enough of the longest ones is aligned. Items of fewer than ``q`` bytes are searched for exactly, as whole words.
     """
 
     def __init__(self, items: list[tuple[int | None, bytes]], q: int = Q, edit_share: float = EDIT_SHARE):
@@ -56,35 +102,43 @@ class GramIndex:
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((lengths * edit_share).astype(np.int64), (lengths - q) // q)
         self.least = lengths - q + 1 - q * self.edits
-        grams = [gram_hashes(t, q) for t in self.texts]
-        keys = np.concatenate([*grams, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
-        place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.empty(0, np.int32)])
-        order = np.lexsort((item, keys))
-        keys, item, place = keys[order], item[order], place[order]
-        # places of one q-gram in one item; those of many are its dense places, of which any number may be shared
-        first = np.nonzero(np.append(True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])))[0] if len(keys) else np.empty(0, np.int64)
-        n = np.diff(np.append(first, len(keys)))
-        dense = np.bincount(item[first], np.where(n > OFTEN, n, 0), len(grams)).astype(np.int64)
-        #: The least number of other q-grams that a match shares; where dense places alone may do, the item is looked for by them.
-        self.rest = self.least - dense
-        self.by_density = self.rest <= 0
-        sparse = np.repeat(n <= OFTEN, n) & ~self.by_density[item]
-        self.keys, self.first, self.stop, self.item, self.place = *_postings(keys[sparse]), item[sparse], place[sparse]
-        one = first[self.by_density[item[first]]]
-        self.dense_keys, self.dense_first, self.dense_stop, self.dense_item = *_postings(keys[one]), item[one]
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.levels: list[Postings] = []
+        left = np.ones(len(self.texts), bool)
+        for size, common in {q: COMMON, **{k: n for k, n in LEVELS.items() if k < q}}.items():
+            if left.any():
+                level = Postings({i: self.texts[i] for i in np.nonzero(left)[0].tolist()}, self.edits, size, common)
+                mine = left & (level.rest > np.minimum(self.least, lengths) * SHARE)
+                if size == q:
+                    whole = level.all
+                if mine.any():
+                    self.levels.append(level.keep(mine))
+                left &= ~mine
+        self.by_density = left
+        if len(self.texts):
+            keys, item, _, _, first = whole
+            one = first[self.by_density[item[first]]]
+            self.dense_keys, self.dense_first, self.dense_stop, self.dense_item = *_postings(keys[one]), item[one]
+        else:
+            self.dense_keys = np.empty(0, np.uint64)
+        self.maybe = {}
+        for size, keys in [*((level.q, level.keys) for level in self.levels), (q, self.dense_keys)]:
+            bits = self.maybe.setdefault(size, np.zeros(1 << FILTER_BITS, bool))
+            bits[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def regions(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
         """``(item_id, start, stop, edits)`` of the normalized text: the best place for each item and region within its budget."""
-        h = gram_hashes(text, self.q)
-        at = np.nonzero(self.maybe[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])[0]
-        if not len(at):
-            return self.exact(text)
-        found = self.near(text, at, h[at])
-        for key, e in self.dense(text, at, h[at]).items():
-            found[key] = min(e, found.get(key, e))
+        found: dict[tuple[int, int, int], int] = {}
+        for size, bits in self.maybe.items():
+            h = gram_hashes(text, size)
+            at = np.nonzero(bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])[0]
+            if not len(at):
+                continue
+            more = [self.near(level, text, at, h[at]) for level in self.levels if level.q == size]
+            if size == self.q:
+                more.append(self.dense(text, at, h[at]))
+            for part in more:
+                for key, e in part.items():
+                    found[key] = min(e, found.get(key, e))
         return [(self.ids[i], a, b, e) for i, a, b, e in _best(found)] + self.exact(text)
 
     def exact(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
@@ -100,32 +154,32 @@ class GramIndex:
                 at = text.find(item, at + 1)
         return out
 
-    def near(self, text: bytes, at: np.ndarray, h: np.ndarray) -> dict[tuple[int, int, int], int]:
+    def near(self, level: Postings, text: bytes, at: np.ndarray, h: np.ndarray) -> dict[tuple[int, int, int], int]:
         """``{(item, start, stop): edits}`` by the number of an item's q-grams in a band of diagonals.
 
         Hits are laid out about ``HITS_AT_ONCE`` at a time, in order of the text, and only counts by item and band are kept. A q-gram at
         the seam of two such parts may count twice, which lets more bands through to the alignment, never fewer.
         """
-        at, k = _looked_up(self.keys, at, h)
+        at, k = _looked_up(level.keys, at, h)
         if not len(at):
             return {}
-        m = self.stop[k] - self.first[k]
+        m = level.stop[k] - level.first[k]
         parts = np.split(np.arange(len(at)), np.nonzero(np.diff(np.cumsum(m) // HITS_AT_ONCE))[0] + 1)
 
         def hits(own: np.ndarray) -> np.ndarray:
-            return np.repeat(self.first[k[own]] - (np.cumsum(m[own]) - m[own]), m[own]) + np.arange(m[own].sum())
+            return np.repeat(level.first[k[own]] - (np.cumsum(m[own]) - m[own]), m[own]) + np.arange(m[own].sum())
 
         total = np.zeros(len(self.texts), np.int64)
         for own in parts:
-            total += np.bincount(self.item[hits(own)], minlength=len(total))
-        enough = total >= self.rest
+            total += np.bincount(level.item[hits(own)], minlength=len(total))
+        enough = total >= level.rest
         longest = max(map(len, self.texts))
         stride, span = len(text) + longest + 3, longest + 1
         pairs = counts = np.empty(0, np.int64)
         for own in parts if enough.any() else ():
             hit, where = hits(own), np.repeat(at[own], m[own])
-            keep = enough[self.item[hit]]
-            item, place, where = self.item[hit[keep]].astype(np.int64), self.place[hit[keep]].astype(np.int64), where[keep]
+            keep = enough[level.item[hit]]
+            item, place, where = level.item[hit[keep]].astype(np.int64), level.place[hit[keep]].astype(np.int64), where[keep]
             # bands of 2e + 1 diagonals that overlap by half: each run of e + 1 diagonals lies in one of them
             low = item * stride + (where - place + longest) // (self.edits[item] + 1)
             once = np.unique(np.concatenate([low, low + 1]) * span + np.tile(place, 2))  # each q-gram of the item counts once
@@ -133,7 +187,7 @@ class GramIndex:
             pairs, back = np.unique(np.concatenate([pairs, new]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
         found: dict[tuple[int, int, int], int] = {}
-        for pair in pairs[counts >= self.rest[pairs // stride]].tolist():
+        for pair in pairs[counts >= level.rest[pairs // stride]].tolist():
             i, band = divmod(pair, stride)
             width = int(self.edits[i]) + 1
             first = (band - 1) * width - longest
@@ -205,14 +259,37 @@ def _best(found: dict[tuple[int, int, int], int]) -> list[tuple[int, int, int, i
     return out
 
 
+def fewest_edits(item: bytes, window: bytes) -> int:
+    """The fewest edits between ``item`` and any part of ``window``: a column of the alignment at a time, as bits of one number."""
+    m = len(item)
+    where: dict[int, int] = {}
+    for i, byte in enumerate(item):
+        where[byte] = where.get(byte, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, now = full, 0, m  # where cells are one more, one less than those above; the last cell
+    fewest = m
+    for byte in window:
+        same = where.get(byte, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        now += ((right & top) > 0) - ((left & top) > 0)
+        if now < fewest:
+            fewest = now
+        right, left = right << 1 & full, left << 1 & full
+        up, down = left | (full & ~(diagonal | right)), right & diagonal
+    return fewest
+
+
 def align(item: bytes, window: bytes, budget: int) -> tuple[int, int, int] | None:
     """The place in ``window`` with the fewest edits from ``item``, if within the budget: start, stop, edits.
 
-    The ends of the window are free. Diagonals beyond the window's slack can't hold a match and aren't met.
+    The ends of the window are free. Whether any place fits is settled by :func:`fewest_edits`. Diagonals beyond the window's slack can't hold a match and aren't met.
     """
     at = window.find(item)
     if at >= 0:
         return at, at + len(item), 0
+    if budget and fewest_edits(item, window) > budget:
+        return None
     m, w = len(item), np.frombuffer(window, np.uint8)
     slack = len(window) - m + budget  # diagonals -budget .. slack
     if slack < 0 or not budget:
