@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import stored, table
 from .components import connected_components
@@ -53,25 +57,44 @@ def url_id(url: Column) -> Column:
     return F.when(url.isNotNull(), wide.cast("decimal(38,0)"))
 
 
+#: Tags that declare where a page belongs; what stands in comments and scripts isn't one. Each character is met once.
+TAGS = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)|\z)|(<(?:link|meta|base)\b[^<>]*+>)"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, null if the tag doesn't have it."""
+    value = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", 1)
+    return F.when(value != "", F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def resolved(page, base, target):
+    """A declared target as a full url: references decoded, relative ones resolved against the page's base. Null if it's no url."""
+    try:
+        page = urljoin(page, html.unescape(base)) if base else page
+        return urljoin(page, html.unescape(target).strip())
+    except ValueError:
+        return None
+
+
 def declared_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)``: canonical links and refresh redirects that pages declare, and the redirect to the canonical form.
+    """``(src, dst)``: a page's first canonical link and first refresh redirect, and the redirect to its canonical form.
 
-    Rows with a null url have none.
+    Declared targets are decoded and resolved against the page's url, or its ``base``. Tags within comments and scripts
+    don't count; time is linear in the page. Rows with a null url have no edges; null pages declare nothing.
     """
-    link = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-    refresh = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-    href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-    target = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
-    told = F.array(
-        F.regexp_extract(F.regexp_extract("html", link, 0), href, 1),
-        F.regexp_extract(F.regexp_extract("html", refresh, 0), target, 1),
-        canonical_url(F.col("url")),
-    )
-    return (
-        pages.filter(F.col("url").isNotNull())
-        .select(F.col("url").alias("src"), F.explode(told).alias("dst"))
-        .filter((F.col("dst") != "") & (F.col("src") != F.col("dst")))
+    rows = pages.filter(F.col("url").isNotNull()).select("url", F.regexp_extract_all("html", F.lit(TAGS), F.lit(1)).alias("tags"))
+    is_a = lambda tag, name: tag.rlike(rf"(?i)^<{name}\b")
+    first = lambda found: F.get(found, F.lit(0))
+    links = F.filter("tags", lambda t: is_a(t, "link") & F.coalesce(_attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"), F.lit(False)))
+    turns = F.filter("tags", lambda t: is_a(t, "meta") & F.coalesce(_attribute(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$"), F.lit(False)))
+    bases = F.filter("tags", lambda t: is_a(t, "base"))
+    content = _attribute(first(turns), "content")
+    told = rows.filter(F.size("tags") > 0).select(
+        "url", _attribute(first(bases), "href").alias("base"), F.explode(F.array(_attribute(first(links), "href"), F.regexp_extract(content, r"""(?i)url\s*+=\s*+["']?([^"']++)""", 1))).alias("target")
     )
+    told = told.filter(F.col("target") != "").select(F.col("url").alias("src"), F.udf(resolved, StringType())("url", "base", "target").alias("dst"))
+    edges = told.unionByName(rows.select(F.col("url").alias("src"), canonical_url(F.col("url")).alias("dst")))
+    return edges.filter((F.col("dst") != "") & (F.col("src") != F.col("dst")))
 
 
 def propagate(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
