@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Lines whose lengths are summed, and the least peak of a region as a share of the page's largest sum.
+#: Lines whose lengths are summed, and the least peak of a region without a sentence as a share of the page's largest sum.
 WINDOW = 3
 SURGE_SHARE = 0.2
 LINK_SHARE = 0.5
@@ -34,32 +34,46 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that mark what stands beside the article.
+#: Words in a class, id or role that mark what stands beside the article, and those of readers' comments.
 NOISE = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|header|masthead|footer|sidebar|side|aside|widget|ads?|adverts?|advertisement|advertising|adsense|adbox|sponsor|sponsored|promo|promoted|promotion"
     r"|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|share|sharing|social|breadcrumbs?|pagination|pager|related|recommended"
-    r"|comments?|disqus|replies|reply|respond|complementary|contentinfo|toolbar|skip|legal|copyright)(?:$|[^a-z])"
+    r"|complementary|contentinfo|toolbar|skip|legal|copyright)(?:$|[^a-z])"
 )
+COMMENTS = re.compile(r"(?<!no-)(?<!has-)(?<![a-z])(?:comments?|disqus|replies|reply|respond)(?![a-z]|[-_]?(?:open|closed|off|on|count|link|status)(?![a-z]))")
+#: A sentence: some words and what ends one.
+SENTENCE = re.compile(r"(?:\S+\s+){5}.*[.!?…。！？](?:[\"'”’»)\]]|\s|$)", re.DOTALL)
 #: Blocks that end an open paragraph; of the second kind, one also ends an open one of its own name.
 ENDS_PARAGRAPH = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 div ul ol article section footer header nav aside table form main blockquote pre".split())
 ENDS_ITSELF = frozenset("li dt dd tr td th option".split())
 
 
+class Kind(NamedTuple):
+    #: Beside the article, whatever it holds.
+    aside: bool
+    #: Beside it by its words (2: those of comments), unless it holds the article or most of the text.
+    marked: int
+    #: ``article`` or ``main``.
+    article: bool
+
+
 @lru_cache(maxsize=4096)
-def _kind(name: str, attrs: str) -> int:
-    """-1: beside the article, 1: holds it, 0: neither. An attribute given twice counts as first given."""
-    if name in ASIDE:
-        return -1
+def _kind(name: str, attrs: str) -> Kind:
+    """What an element is by its name and attributes. An attribute given twice counts as first given."""
+    if name in ASIDE and name != "form":
+        return Kind(True, 0, False)
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attrs):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(found.get("style", "")):
-        return -1
+        return Kind(True, 0, False)
     marks = " ".join(found[k] for k in ("class", "id", "role", "aria-label") if k in found)
     marks = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", marks).lower()
-    if name not in ("html", "body") and marks and NOISE.search(marks):
-        return -1
-    return 1 if name in ("article", "main") else 0
+    article = name in ("article", "main")
+    if name in ("html", "body"):
+        return Kind(False, 0, False)
+    # an article isn't judged by words like "legal-notice"; one of a reader's comments is
+    return Kind(False, 2 if COMMENTS.search(marks) else 1 if not article and (name == "form" or NOISE.search(marks)) else 0, article)
 
 
 class Line(NamedTuple):
@@ -72,6 +86,42 @@ class Line(NamedTuple):
     inside: bool
 
 
+class _Tree:
+    """Elements that are marked by their words, or articles, with their text; each knows the one around it."""
+
+    def __init__(self) -> None:
+        self.above: list[int] = []
+        self.size: list[int] = []
+        self.kind: list[Kind] = []
+
+    def add(self, above: int, kind: Kind) -> int:
+        self.above.append(above)
+        self.size.append(0)
+        self.kind.append(kind)
+        return len(self.above) - 1
+
+    def beside(self, whole: int) -> list[bool]:
+        """For each element whether it, or one around it, stands beside the article.
+
+        A marked element that holds over half of the page's text doesn't; nor does one around the largest article, unless
+        it is marked as comments.
+        """
+        for i in range(len(self.above) - 1, -1, -1):
+            if self.above[i] >= 0:
+                self.size[self.above[i]] += self.size[i]
+        articles = [i for i, k in enumerate(self.kind) if k.article and not k.marked]
+        holds = set()
+        at = max(articles, key=lambda i: (self.size[i], -i), default=-1)
+        while at >= 0:
+            holds.add(at)
+            at = self.above[at]
+        out: list[bool] = []
+        for i, kind in enumerate(self.kind):
+            spared = 2 * self.size[i] > whole or (kind.marked == 1 and i in holds)
+            out.append((kind.marked > 0 and not spared) or (self.above[i] >= 0 and out[self.above[i]]))
+        return out
+
+
 @lru_cache(maxsize=64)
 def _end_of(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE)
@@ -83,21 +133,26 @@ def line_blocks(page: str) -> list[Line]:
     A quoted attribute value that is never closed is no quote: its tag ends at the next ``>``. A comment or a
     script that is never closed goes on to the end.
     """
-    lines: list[Line] = []
+    lines: list[tuple[str, int, bool, bool, int]] = []  # the last is the innermost element of the tree
+    tree, within = _Tree(), -1
     parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, int]] = []
+    linked = whole = 0
+    stack: list[tuple[str, Kind, int]] = []
     blocks: list[int] = []  # places in the stack of what isn't inline
     opened: Counter[str] = Counter()
     noise = inside = 0
     last_quote = {q: page.rfind(q) for q in "\"'"}
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, whole
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
             if text:
-                lines.append(Line(text, linked, noise > 0, inside > 0))
+                lines.append((text, linked, noise > 0, inside > 0, within))
+                if not noise:
+                    whole += len(text)
+                    if within >= 0:
+                        tree.size[within] += len(text)
             parts.clear()
         linked = 0
 
@@ -109,12 +164,12 @@ def line_blocks(page: str) -> list[Line]:
                 linked += end - start
 
     def close(down_to: int) -> None:
-        nonlocal noise, inside
+        nonlocal noise, inside, within
         while len(stack) > down_to:
-            n, kind = stack.pop()
+            n, kind, within = stack.pop()
             opened[n] -= 1
-            noise -= kind < 0
-            inside -= kind > 0
+            noise -= kind.aside
+            inside -= kind.article
         while blocks and blocks[-1] >= down_to:
             blocks.pop()
 
@@ -172,23 +227,27 @@ def line_blocks(page: str) -> list[Line]:
             kind = _kind(name, attrs)
             if name not in INLINE:
                 blocks.append(len(stack))
-            stack.append((name, kind))
+            stack.append((name, kind, within))
+            if kind.marked or kind.article:
+                within = tree.add(within, kind)
             opened[name] += 1
-            noise += kind < 0
-            inside += kind > 0
+            noise += kind.aside
+            inside += kind.article
             continue
         take(text_from, at)
         text_from = at = end
     take(text_from, len(page))
     flush()
-    return lines
+    beside = tree.beside(whole)
+    return [Line(text, n, aside or (at >= 0 and beside[at]), own) for text, n, aside, own, at in lines]
 
 
 def line_weights(lines: list[Line], link_share: float = LINK_SHARE) -> list[int | None]:
     """What each line adds to a sum: its length; None for a line within the article that takes no room there.
 
-    The elements around a line weigh it, they don't choose it: a line beside the article weighs nothing, as does one
-    that mostly is links, and as do lines outside of ``article`` and ``main`` on a page that has text in such.
+    The elements around a line weigh it, they don't choose it: a line beside the article weighs nothing, as do lines
+    outside of ``article`` and ``main`` on a page that has text in such. Elsewhere a line that mostly is links weighs
+    nothing, unless it holds a sentence.
     """
     some = any(x.inside and not x.aside for x in lines)
     out: list[int | None] = []
@@ -198,21 +257,20 @@ def line_weights(lines: list[Line], link_share: float = LINK_SHARE) -> list[int
         elif some:
             out.append(len(x.text) if x.inside else 0)
         else:
-            out.append(0 if x.linked > link_share * len(x.text) else len(x.text))
+            out.append(0 if x.linked > link_share * len(x.text) and not SENTENCE.match(x.text) else len(x.text))
     return out
 
 
-def regions(weights: list[int], window: int = WINDOW, share: float = SURGE_SHARE) -> list[tuple[int, int]]:
-    """``(start, stop)`` of the stretches of lines from a surge to the next dive.
+def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """``(start, stop, peak)`` of the stretches of lines from a surge to the next dive.
 
-    The sum at a line is that of its weight and those of the ``window - 1`` lines after it. A surge is a rise from nothing that
-    reaches ``share`` of the largest sum before it falls to nothing again, which is the dive.
+    The sum at a line is that of its weight and those of the ``window - 1`` lines after it. A surge is a rise from nothing,
+    a dive a fall to nothing; the peak is the largest sum between.
     """
     total = [0, *accumulate(weights)]
     n = len(weights)
     sums = [total[min(n, i + window)] - total[i] for i in range(n)]
-    least = share * max(sums, default=0)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     start, peak = None, 0
     for i, x in enumerate([*sums, 0]):
         if x and start is None:
@@ -220,20 +278,29 @@ def regions(weights: list[int], window: int = WINDOW, share: float = SURGE_SHARE
         elif x:
             peak = max(peak, x)
         elif start is not None:
-            if peak >= least:
-                out.append((start, i))
+            out.append((start, i, peak))
             start = None
     return out
 
 
 def main_text(page: str, window: int = WINDOW, share: float = SURGE_SHARE, link_share: float = LINK_SHARE) -> str:
-    """The lines with weight between the surges and dives of the sums over ``window`` lines, joined by line feeds.
+    """The text between surges and dives of the sums over ``window`` lines, joined by line feeds.
 
-    One rule for every page, however long and however marked. Null-like pages (empty, or with no text of weight) give an empty string.
+    On a page with an ``article`` or ``main`` every surge there counts, however low. On others a surge counts that reaches
+    ``share`` of the page's largest sum or holds a sentence, and all lines from the first such surge to the last dive are
+    the article's, lines of links included, but for those beside it by their elements. A ``br`` ends a line, as a block does.
+    Null-like pages (empty, or with no text of weight) give an empty string.
     """
     lines = line_blocks(page)
-    own = [(x.text, w) for x, w in zip(lines, line_weights(lines, link_share), strict=True) if w is not None]
-    return "\n".join(text for a, b in regions([w for _, w in own], window, share) for text, w in own[a:b] if w)
+    marked = any(x.inside and not x.aside for x in lines)
+    own = [(x, w) for x, w in zip(lines, line_weights(lines, link_share), strict=True) if w is not None]
+    found = regions([w for _, w in own], window)
+    if not marked:
+        least = share * max((peak for *_, peak in found), default=0)
+        found = [(a, b, peak) for a, b, peak in found if peak >= least or any(w and SENTENCE.match(x.text) for x, w in own[a:b])]
+        heavy = [i for a, b, _ in found for i in range(a, b) if own[i][1]]
+        return "\n".join(x.text for x, _ in own[heavy[0] : heavy[-1] + 1] if not x.aside) if heavy else ""
+    return "\n".join(x.text for a, b, _ in found for x, w in own[a:b] if w)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
