@@ -141,7 +141,8 @@ def propagate(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict."""
     pages = table(spark, sf_dir, "pages")
-    return propagate(pages, declared_edges(pages)).drop("url")
+    # pages are parsed once
+    return propagate(pages, stored(declared_edges(pages), "declared")).drop("url")
 
 
 _HOST = "translate(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
