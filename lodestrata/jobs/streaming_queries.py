@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
 from ..streaming import jobs as J
+from ..streaming.stateful import use_state_store
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drained(df: DataFrame, mode: str) -> DataFrame:
     """What the stream gives until its source is read to the end, written as Parquet; in update mode each key's last row counts."""
     spark = df.sparkSession
+    use_state_store(spark)
     out = f"{scratch_path(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, epoch: int) -> None:
@@ -43,8 +45,8 @@ def t1(s, d):
 
 
 def t2(s, d):
-    rows = _stream(s, d, "events").select(F.col("event_type").alias("repo"), F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("version"), (F.col("value") > 10).cast("string").alias("content_hash"))
-    return drained(J.stream_changes(rows), "append").drop("_epoch")
+    rows = _events(s, d).select(F.col("event_type").alias("repo"), F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("version"), "ts", (F.col("value") > 10).cast("string").alias("content_hash"))
+    return _last(drained(J.stream_changes(rows), "update"), ["repo", "path", "version"])
 
 
 def t3(s, d):
@@ -64,9 +66,12 @@ def t6(s, d):
 
 
 def t7(s, d):
-    e = _events(s, d).select((F.col("user_id") % 50).alias("digest"), F.col("value").alias("probability"), F.col("ts").alias("created_at"))
-    out = drained(J.stream_answers(e, "7 days", "1 hour"), "complete")
-    return out.select("digest", "probability", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "expires_at")])
+    """Answers in force at the last event's time; some were made days before they arrived, some have a time to come."""
+    e = _events(s, d)
+    made = F.expr("ts + CASE WHEN event_id % 7 = 0 THEN interval 9 days WHEN event_id % 5 = 0 THEN interval -5 days ELSE interval 0 days END")
+    out = _last(drained(J.stream_answers(e.select(F.col("user_id").alias("digest"), F.col("value").alias("probability"), made.alias("created_at"), F.col("ts").alias("arrived_at"))), "update"), ["digest"])
+    now = s.read.parquet(f"{d}/events.parquet").agg(F.max("ts").cast("timestamp")).first()[0]
+    return J.answers_in_force(out, F.lit(now)).select("digest", "probability", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "expires_at")])
 
 
 def t4(s, d):
@@ -80,7 +85,7 @@ QUERIES = {
     "t1_stream_progress": (t1, "SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents"),
     "t2_stream_changes": (
         t2,
-        """WITH e AS (SELECT event_type AS repo, CAST(user_id AS VARCHAR) AS path, event_id AS version, value > 10 AS h FROM events), w AS (SELECT *, lag(h) OVER (PARTITION BY repo, path ORDER BY version) AS b FROM e)
+        """WITH e AS (SELECT event_type AS repo, CAST(user_id AS VARCHAR) AS path, event_id AS version, ts, value > 10 AS h FROM events), w AS (SELECT *, lag(h) OVER (PARTITION BY repo, path ORDER BY ts, version) AS b FROM e)
         SELECT repo, path, version, CASE WHEN b IS NULL THEN 'new' WHEN b = h THEN 'same' ELSE 'changed' END AS state FROM w""",
     ),
     "t3_stream_rate": (t3, "SELECT date_trunc('hour', ts) AS start, count(*) AS requests, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1"),
@@ -99,6 +104,8 @@ QUERIES = {
     ),
     "t7_stream_answers": (
         t7,
-        """SELECT user_id % 50 AS digest, arg_max(value, ts) AS probability, max(ts) AS created_at, max(ts) + INTERVAL 7 DAY AS expires_at FROM events GROUP BY user_id % 50, epoch_us(ts) // 604800000000""",
+        """WITH a AS (SELECT user_id AS digest, value AS probability, ts, ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 9 DAY WHEN event_id % 5 = 0 THEN INTERVAL '-5' DAY ELSE INTERVAL 0 DAY END AS created_at FROM events),
+        r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY ts DESC, created_at DESC, probability DESC) AS n FROM a), now AS (SELECT max(ts) AS t FROM events)
+        SELECT digest, probability, created_at, created_at + INTERVAL 7 DAY AS expires_at FROM r, now WHERE n = 1 AND created_at <= t AND t < created_at + INTERVAL 7 DAY""",
     ),
 }

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .stateful import Expiring, InOrder
 
 
 def stream_progress(files: DataFrame) -> DataFrame:
@@ -37,53 +36,66 @@ def stream_match(starts: DataFrame, ends: DataFrame, watermark: str = "10 minute
     return s.join(e, near, "left_outer").drop("_id")
 
 
-def stream_changes(snapshots: DataFrame) -> DataFrame:
-    """``(repo, path, version, state)``: ``new``, ``changed`` or ``same`` by the hash last seen; versions come in order."""
+def stream_changes(snapshots: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """``(repo, path, version, state)``: ``new``, ``changed`` or ``same`` by the hash of the version before.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("version")
-        out = []
-        for version, digest in zip(rows["version"], rows["content_hash"]):
-            out.append("new" if last is None else "same" if digest == last else "changed")
-            last = digest
-        state.update((last,))
-        yield pd.DataFrame({"repo": key[0], "path": key[1], "version": rows["version"].to_numpy(), "state": out})
+    ``snapshots(repo, path, version, ts, content_hash)``, in any order within the watermark of ``ts``; versions are in order
+    of time, then of their number. Update mode: of a version told again the last row counts.
+    """
 
-    return snapshots.groupBy("repo", "path").applyInPandasWithState(
-        step, "repo string, path string, version long, state string", "last string", "append", GroupStateTimeout.NoTimeout
-    )
+    def fold(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        _, version, digest = row
+        return (True, digest), (version, "new" if not state[0] else "same" if digest == state[1] else "changed")
 
+    def tell(key: tuple, results: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in results], columns=["repo", "path", "version", "state"], dtype=object)
 
-def stream_work_clock(events: DataFrame) -> DataFrame:
-    """``(attempt, credited_micros, work_micros)`` so far; each batch's events of an attempt follow those before.
+    rows = snapshots.select("repo", "path", F.col("version").cast("long").alias("version"), "content_hash", "ts", F.unix_micros("ts").alias("at_us")).withWatermark("ts", watermark)
+    processor = InOrder(["at_us", "version", "content_hash"], "us long, version long, digest string", "known boolean, digest string", (False, None), fold, tell)
+    return rows.groupBy("repo", "path").transformWithStateInPandas(processor, "repo string, path string, version long, state string", "update", "eventTime")
 
-    ``events(attempt, event_id, ts, retrieval, delta)``; the state is two numbers of active commands, the last time and two sums.
+
+def stream_work_clock(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """``(attempt, credited_micros, work_micros)`` so far, by events in order of time, in whatever order they come within the watermark.
+
+    ``events(attempt, event_id, ts, retrieval, delta)``; the state is two numbers of active commands, the last time and two
+    sums, and the events that are later than the watermark. Update mode: of an attempt's rows the last counts.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        r, o, last, credited, work = state.get if state.exists else (0, 0, -1, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for at, retrieval, delta in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["retrieval"], rows["delta"]):
-            if last >= 0:
-                if r > 0 and o <= 0:
-                    credited += at - last
-                else:
-                    work += at - last
-            r, o, last = (r + delta, o, at) if retrieval else (r, o + delta, at)
-        state.update((int(r), int(o), int(last), int(credited), int(work)))
-        yield pd.DataFrame({"attempt": [key[0]], "credited_micros": [int(credited)], "work_micros": [int(work)]})
-
-    return events.groupBy("attempt").applyInPandasWithState(
-        step, "attempt long, credited_micros long, work_micros long", "r long, o long, last long, credited long, work long", "update", GroupStateTimeout.NoTimeout
-    )
+    def fold(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        r, o, last, credited, work = state
+        at, _, retrieval, delta = row
+        if last is not None:
+            if r > 0 and o <= 0:
+                credited += at - last
+            else:
+                work += at - last
+        state = (r + delta, o, at, credited, work) if retrieval else (r, o + delta, at, credited, work)
+        return state, (credited, work)
 
+    def tell(key: tuple, results: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in results[-1:]], columns=["attempt", "credited_micros", "work_micros"], dtype=object)
 
-def stream_answers(answers: DataFrame, ttl: str = "7 days", watermark: str = "1 hour") -> DataFrame:
-    """The latest answer of each digest with its end; an answer that is over by the watermark leaves the state."""
-    return (
-        answers.withWatermark("created_at", watermark)
-        .groupBy("digest", F.window("created_at", ttl).alias("w"))
-        .agg(F.max_by("probability", "created_at").alias("probability"), F.max("created_at").alias("created_at"))
-        .select("digest", "probability", "created_at", (F.col("created_at") + F.expr(f"interval {ttl}")).alias("expires_at"))
-    )
+    rows = events.select("attempt", F.col("event_id").cast("long").alias("event_id"), "ts", "retrieval", F.col("delta").cast("long").alias("delta"), F.unix_micros("ts").alias("at_us")).withWatermark("ts", watermark)
+    processor = InOrder(["at_us", "event_id", "retrieval", "delta"], "us long, event_id long, retrieval boolean, delta long", "r long, o long, last long, credited long, work long", (0, 0, None, 0, 0), fold, tell)
+    return rows.groupBy("attempt").transformWithStateInPandas(processor, "attempt long, credited_micros long, work_micros long", "update", "eventTime")
+
+
+def stream_answers(answers: DataFrame, ttl_days: float = 7, watermark: str = "7 days") -> DataFrame:
+    """``(digest, probability, created_at, expires_at)``: the newest answer of each digest, and a row without one once it is over.
+
+    ``answers(digest, probability, created_at, arrived_at)``. The answer that arrives last counts; it ends ``ttl_days`` after
+    its own creation, whenever that was. Arrivals later than the watermark are dropped, by default those whose answer was
+    over anyway. Update mode: of a digest's rows the last counts; read them with :func:`answers_in_force`.
+    """
+    ttl_us = int(ttl_days * 86_400_000_000)
+    rows = answers.select("digest", "probability", "arrived_at", F.unix_micros("arrived_at").alias("arrived_us"), F.unix_micros("created_at").alias("created_us")).withWatermark("arrived_at", watermark)
+    kind = answers.schema["digest"].dataType.simpleString()
+    processor = Expiring(["arrived_us", "created_us", "probability"], "double", ttl_us)
+    out = rows.groupBy("digest").transformWithStateInPandas(processor, f"key {kind}, arrived long, created long, value double, ends long", "update", "eventTime")
+    return out.select(F.col("key").alias("digest"), F.col("value").alias("probability"), F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("ends").alias("expires_at"))
+
+
+def answers_in_force(told: DataFrame, now: Column) -> DataFrame:
+    """The answers that a reader at ``now`` may use: not over, and not from the future; others miss."""
+    return told.filter(F.col("probability").isNotNull() & (F.col("created_at") <= now) & (now < F.col("expires_at")))
