@@ -6,10 +6,8 @@ Each predicate is a column with its reason or null; the first that fails wins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +16,7 @@ from pyspark.sql import Window as W
 
 from ..functions.paths import ancestors, basename, classify_file, dirname, top_dir
 from ..functions.text import shannon_entropy
+from .ignore_walk import walked
 
 # Directories of dependencies, and names that hold credentials.
 DEPENDENCY_DIRS = "node_modules vendor venv .venv .tox __pycache__ dist build coverage target .next .nuxt .turbo".split()
@@ -210,52 +209,21 @@ def scope_rules(rules: DataFrame, boundaries: DataFrame) -> DataFrame:
 
     ``rules(repo, dir, source, ord, regex, negated)``, ``boundaries(repo, dir)``; adds ``stops``, the nested repositories.
     """
-    inner = boundaries.select(F.col("repo").alias("_r"), F.col("dir").alias("_d"))
-    below = (F.col("source") == ".gitignore") & (F.col("_d") != F.col("dir")) & ((F.col("dir") == ".") | F.col("_d").startswith(F.concat("dir", F.lit("/"))))
-    return rules.join(inner, (F.col("repo") == F.col("_r")) & below, "left").groupBy(*rules.columns).agg(F.collect_set("_d").alias("stops"))
-
-
-_compiled = lru_cache(maxsize=100_000)(lambda regex: re.compile("(?i)" + regex))
-
-
-def first_ignored(path: str, rules: list[dict]) -> int | None:
-    """Number of the first component that is ignored: of the rules of the scopes above it, in order, the last that fits decides."""
-    parts = path.split("/")
-    rules = sorted(rules, key=lambda r: (0 if r["dir"] == "." else len(r["dir"]), r["source"] == ".ignore", r["ord"]))
-    for depth in range(1, len(parts) + 1):
-        own, out = "/".join(parts[:depth]), False
-        for r in rules:
-            if r["dir"] != "." and not own.startswith(r["dir"] + "/"):
-                continue
-            if any(own == d or own.startswith(d + "/") for d in r["stops"]):
-                continue
-            inner = own if r["dir"] == "." else own[len(r["dir"]) + 1 :]
-            if _compiled(r["regex"]).search(inner if depth == len(parts) else inner + "/"):
-                out = not r["negated"]
-        if out:
-            return depth
-    return None
+    # a boundary meets the rules of the directories above it by name
+    above = F.concat(F.array(F.lit(".")), ancestors(F.col("dir")))
+    inner = boundaries.select("repo", F.col("dir").alias("_d"), F.explode(above).alias("dir"))
+    stops = inner.join(rules.filter("source = '.gitignore'").select("repo", "dir").distinct(), ["repo", "dir"]).groupBy("repo", "dir").agg(F.collect_set("_d").alias("stops"))
+    joined = rules.join(stops.withColumn("source", F.lit(".gitignore")), ["repo", "dir", "source"], "left")
+    return joined.select(*rules.columns, F.coalesce("stops", F.array().cast("array<string>")).alias("stops"))
 
 
 def reason_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``ignored`` and ``ignored_at`` to files by gitignore-like rules with ``stops`` (see :func:`scope_rules`).
 
     Each component from the top is judged by the last rule that fits among the scopes above it; the first
-    excluded one ends the walk, so that nothing below it comes back. Paths meet the rules by repository and the directories above them, so a
-    path has no more rows than directories with rules; a compiled rule serves all paths of a task.
+    excluded one ends the walk, so that nothing below it comes back (see :func:`ignore_walk.walked`).
     """
-    rows = rules.groupBy("repo", "dir").agg(F.collect_list(F.struct("source", "ord", "regex", "negated", "stops")).alias("own"))
-    paths = files.select("repo", "path").distinct()
-    steps = paths.select("repo", "path", F.explode(F.concat(F.array(F.lit(".")), ancestors(F.col("path")))).alias("dir"))
-    met = steps.join(rows, ["repo", "dir"]).groupBy("repo", "path").agg(F.collect_list(F.struct("dir", "own")).alias("scopes"))
-
-    @F.pandas_udf("int")
-    def judged(path: pd.Series, scopes: pd.Series) -> pd.Series:
-        found = [first_ignored(p, [{"dir": x["dir"], **dict(r)} for x in own for r in x["own"]]) for p, own in zip(path, scopes)]
-        return pd.Series(found, dtype="Int32")
-
-    out = met.select("repo", "path", judged("path", "scopes").alias("ignored_at")).filter("ignored_at is not null")
-    return files.join(out, ["repo", "path"], "left").withColumn("ignored", F.col("ignored_at").isNotNull())
+    return walked(files, rules).withColumn("ignored", F.col("ignored_at").isNotNull())
 
 
 def with_own_rules(files: DataFrame) -> DataFrame:

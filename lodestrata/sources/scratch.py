@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def scratch_path(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("lodestrata.scratch", found)
     return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what comes after reads files, which survive a lost executor."""
+    path = f"{scratch_path(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
