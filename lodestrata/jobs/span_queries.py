@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import spans as S
-from .mapping import SPANS, spans
+from .mapping import SPANS, spans, table
 
 _KEYS = ["k"]
 
@@ -37,7 +37,8 @@ _POINTS = """pa AS (SELECT DISTINCT k, unnest(range(start, "end")) AS x FROM a),
 
 def w8(s, d):
     units = spans(s, d).groupBy("k", F.col("start").alias("start_line")).agg(F.max("end").alias("end_line"), F.min("n").cast("string").alias("name"), F.bool_or(F.col("l_returnflag") == "R").alias("selected"))
-    return S.neighbor_members(units, ["k"], 15)
+    owners = spans(s, d).groupBy("k").agg((F.min("start") - F.col("k") % 25 + 3).alias("owner_start")).filter("k % 7 > 0")
+    return S.neighbor_members(units, ["k"], 15, owners)
 
 
 def w9(s, d):
@@ -45,6 +46,18 @@ def w9(s, d):
     return S.context_windows(_a(s, d), _r(s, d), totals, ["k"])
 
 
+def w9_blank(s, d):
+    """Sentences of whole documents as lines: by their length some are blank, some comments, and a few are chosen."""
+    sentence = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. "))
+    size = F.length("line")
+    kind = F.when(size % 3 == 0, "").when(size % 5 == 1, "# comment").when(size % 31 == 7, "chosen").otherwise("code")
+    lines = table(s, d, "documents").select("doc_id", sentence.alias("line_no", "line")).select("doc_id", (F.col("line_no") + 1).alias("line_no"), kind.alias("line"))
+    comments = S.comment_ranges(lines, key="doc_id")
+    chosen = lines.filter("line = 'chosen'").select("doc_id", F.col("line_no").alias("start"), F.col("line_no").alias("end"))
+    totals = lines.groupBy("doc_id").agg(F.max("line_no").alias("n_lines"))
+    return S.context_windows(chosen, comments, totals, ["doc_id"], pad=1, nonblank=S.nonblank_prefix(lines, "doc_id"))
+
+
 def u6(s, d):
     base = spans(s, d).groupBy("k", "start").agg(F.max("end").alias("v"))
     return S.merge_decisions(base.filter("v % 2 = 0"), base.filter("v % 3 = 0").withColumn("v", -F.col("v")), ["k", "start"], "v")
@@ -94,8 +107,29 @@ QUERIES = {
     "w8_neighbor_members": (
         w8,
         f"""WITH {SPANS}, u AS (SELECT k, start AS s, max("end") AS e, CAST(min(n) AS VARCHAR) AS name, bool_or(l_returnflag = 'R') AS sel FROM spans GROUP BY k, start),
-        w AS (SELECT *, lag(name) OVER o AS b, lag(e - s + 1) OVER o AS bn, lead(name) OVER o AS f, lead(e - s + 1) OVER o AS fn FROM u WINDOW o AS (PARTITION BY k ORDER BY s, name))
-        SELECT k, name, CASE WHEN bn <= 15 THEN b END AS before, CASE WHEN fn <= 15 THEN f END AS after FROM w WHERE sel""",
+        w AS (SELECT *, lag(name) OVER o AS b, lag(e - s + 1) OVER o AS bn, lead(name) OVER o AS f, lead(e - s + 1) OVER o AS fn FROM u WINDOW o AS (PARTITION BY k ORDER BY s, name)),
+        o AS (SELECT k, min(start) AS f, min(start) - k % 25 + 3 AS o FROM spans WHERE k % 7 > 0 GROUP BY k)
+        SELECT k, name, CASE WHEN bn <= 15 THEN b END AS before, CASE WHEN fn <= 15 THEN w.f END AS after,
+          CASE WHEN o.o <= least(o.f - 1, o.o + 14) THEN o.o END AS header_start, CASE WHEN o.o <= least(o.f - 1, o.o + 14) THEN least(o.f - 1, o.o + 14) END AS header_end
+        FROM w LEFT JOIN o USING (k) WHERE sel""",
+    ),
+    "w9_context_closure": (
+        w9_blank,
+        # each window takes in one comment after the other, until none is left to take
+        """WITH RECURSIVE x AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '. ')) AS line, generate_subscripts(string_split(coalesce(text, ''), '. '), 1) AS n FROM documents),
+        l AS (SELECT doc_id, n, CASE WHEN length(line) % 3 = 0 THEN 'blank' WHEN length(line) % 5 = 1 THEN 'comment' WHEN length(line) % 31 = 7 THEN 'chosen' ELSE 'code' END AS kind FROM x),
+        b AS (SELECT doc_id, n, sum(CASE WHEN kind = 'blank' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS nb, max(n) OVER (PARTITION BY doc_id) AS total FROM l),
+        c AS (SELECT doc_id, min(n) AS s, max(n) AS e FROM (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS g FROM l WHERE kind = 'comment') GROUP BY doc_id, g),
+        cb AS (SELECT c.*, coalesce(p.nb, 0) AS before, q.nb AS upto FROM c LEFT JOIN b p ON p.doc_id = c.doc_id AND p.n = c.s - 1 JOIN b q ON q.doc_id = c.doc_id AND q.n = c.e),
+        w AS (SELECT l.doc_id, l.n AS id, greatest(l.n - 1, 1) AS s, least(l.n + 1, b.total) AS e FROM l JOIN b USING (doc_id, n) WHERE kind = 'chosen'),
+        r AS (SELECT 0 AS step, doc_id, id, s, e FROM w
+          UNION ALL SELECT any_value(r.step) + 1, r.doc_id, r.id, least(any_value(r.s), min(cb.s)), greatest(any_value(r.e), max(cb.e)) FROM r LEFT JOIN b p ON p.doc_id = r.doc_id AND p.n = r.s - 1 JOIN b q ON q.doc_id = r.doc_id AND q.n = r.e
+            JOIN cb ON cb.doc_id = r.doc_id AND ((cb.s <= r.e AND cb.e >= r.s) OR (cb.e < r.s AND cb.upto = coalesce(p.nb, 0)) OR (cb.s > r.e AND cb.before = q.nb))
+            GROUP BY r.doc_id, r.id HAVING min(cb.s) < any_value(r.s) OR max(cb.e) > any_value(r.e)),
+        f AS (SELECT doc_id, id, min(s) AS s, max(e) AS e FROM r GROUP BY doc_id, id),
+        i AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM f),
+        j AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM i)
+        SELECT doc_id, min(s) AS start, max(e) AS "end" FROM j GROUP BY doc_id, island""",
     ),
     "w9_context_windows": (
         w9,

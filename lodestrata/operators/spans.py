@@ -51,23 +51,40 @@ def intersect_spans(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 def contained_in(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
-    """The inner spans that lie within an outer one."""
-    o = outer.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_s"), F.col("end").alias("_e"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return inner.join(o, [*same, F.col("_s") <= F.col("start"), F.col("_e") >= F.col("end")], "left_semi")
+    """The inner spans that lie within an outer one.
+
+    A sweep by start over both sides: an inner span is contained if the largest end of the outer ones that began by then
+    reaches its own. No pairs are made; a key's spans are sorted once. Null keys, starts and ends are in nothing.
+    """
+    known = F.col("start").isNotNull() & F.col("end").isNotNull()
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    row = F.struct(*[F.col(c) for c in inner.columns])
+    sides = inner.filter(known).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_s"), F.lit(1).alias("_own"), F.lit(None).cast("long").alias("_e"), row.alias("_row")).unionByName(
+        outer.filter(known).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_s"), F.lit(0).alias("_own"), F.col("end").cast("long").alias("_e")), allowMissingColumns=True
+    )
+    w = W.partitionBy(*[f"_{k}" for k in keys]).orderBy("_s", "_own").rowsBetween(W.unboundedPreceding, 0)
+    swept = sides.withColumn("_reach", F.max("_e").over(w))
+    return swept.filter((F.col("_own") == 1) & (F.col("_reach") >= F.col("_row")["end"])).select("_row.*")
 
 
 def subtract_spans(selected: DataFrame, rejected: DataFrame, keys: list[str]) -> DataFrame:
-    """What is left of merged ``selected`` outside ``rejected``: the gaps between rejected parts."""
-    base = merge_spans(selected.select(*keys, "start", "end"), keys)
-    cut = merge_spans(rejected.select(*keys, "start", "end"), keys)
-    c = cut.select(*keys, F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    hit = base.join(c, keys, "left").withColumn("hits", (F.col("c_start") < F.col("end")) & (F.col("c_end") > F.col("start")))
-    cuts = hit.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(F.when(F.col("hits"), F.struct("c_start", "c_end")))).alias("cuts"))
-    starts = F.concat(F.array("start"), F.transform("cuts", lambda x: x["c_end"]))
-    ends = F.concat(F.transform("cuts", lambda x: x["c_start"]), F.array("end"))
-    parts = cuts.select(*keys, F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("p"))
-    return parts.select(*keys, F.col("p.a").alias("start"), F.col("p.b").alias("end")).filter(F.col("start") < F.col("end"))
+    """What is left of merged ``selected`` outside ``rejected``: the gaps between rejected parts.
+
+    A sweep over ends: each start adds one to its side's cover, each end takes one away; what is left is where ``selected``
+    covers and ``rejected`` doesn't. Ends at one place are summed first; no pairs are made. Empty spans and null ends cover nothing.
+    """
+    def ends(df: DataFrame, side: str, other: str) -> DataFrame:
+        steps = F.explode(F.array(F.struct(F.col("start").alias("x"), F.lit(1).alias("n")), F.struct(F.col("end").alias("x"), F.lit(-1).alias("n"))))
+        return df.filter("start < end").select(*keys, steps.alias("p")).select(*keys, F.col("p.x").alias("x"), F.col("p.n").alias(side), F.lit(0).alias(other))
+
+    both = ends(selected, "own", "cut").unionByName(ends(rejected, "cut", "own"))
+    places = both.groupBy(*keys, "x").agg(F.sum("own").alias("own"), F.sum("cut").alias("cut"))
+    w = W.partitionBy(*keys).orderBy("x")
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    shown = places.select(*keys, "x", ((F.sum("own").over(up_to) > 0) & (F.sum("cut").over(up_to) == 0)).alias("on"))
+    turns = shown.withColumn("was", F.lag("on", 1, False).over(w)).filter("on <> was")
+    return turns.withColumn("end", F.lead("x").over(w)).filter("on").select(*keys, F.col("x").alias("start"), "end")
 
 
 def subtract_lines(ranges: DataFrame, removed: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,8 +156,12 @@ def longest_comment_run(lines: DataFrame, marker: str = r"^\s*#", key: str = "pa
     return per.groupBy(key).agg(F.max("n").alias("longest"))
 
 
-def neighbor_members(units: DataFrame, keys: list[str], max_lines: int = 40) -> DataFrame:
-    """For each selected member, its siblings before and after by start line, if they are short enough."""
+def neighbor_members(units: DataFrame, keys: list[str], max_lines: int = 40, owners: DataFrame | None = None) -> DataFrame:
+    """For each selected member, its siblings before and after by start line, if they are short enough.
+
+    With ``owners(*keys, owner_start)`` also ``header_start`` and ``header_end``: the lines of the class from its start to
+    before its first member, ``max_lines`` at most; null where there are none.
+    """
     w = W.partitionBy(*keys).orderBy("start_line", "name")
 
     def near(f):
@@ -148,16 +169,43 @@ def neighbor_members(units: DataFrame, keys: list[str], max_lines: int = 40) ->
         return F.when(n <= max_lines, f("name").over(w))
 
     out = units.withColumn("before", near(F.lag)).withColumn("after", near(F.lead))
-    return out.filter("selected").select(*keys, "name", "before", "after")
+    if owners is None:
+        return out.filter("selected").select(*keys, "name", "before", "after")
+    out = out.withColumn("_first", F.min("start_line").over(W.partitionBy(*keys))).filter("selected").join(owners, keys, "left")
+    end = F.least(F.col("_first") - 1, F.col("owner_start") + max_lines - 1)
+    there = F.col("owner_start") <= end
+    return out.select(*keys, "name", "before", "after", F.when(there, F.col("owner_start")).alias("header_start"), F.when(there, end).alias("header_end"))
+
 
+def context_windows(ranges: DataFrame, comments: DataFrame, totals: DataFrame, keys: list[str], pad: int = 3, nonblank: DataFrame | None = None) -> DataFrame:
+    """Ranges widened by ``pad`` lines within the file, each with the comments that overlap or border it, until none does.
 
-def context_windows(ranges: DataFrame, comments: DataFrame, totals: DataFrame, keys: list[str], pad: int = 3) -> DataFrame:
-    """Ranges widened by ``pad`` lines within the file and merged with the comment blocks that border or overlap them."""
+    A comment also borders what only blank lines part it from, if ``nonblank(*keys, line_no, nonblank)`` (see
+    :func:`nonblank_prefix`) tells which are; without it no line is blank. Windows that overlap or touch are one; blank lines
+    alone don't join two windows. Comments begin and end on lines that aren't blank.
+
+    In numbers of lines that aren't blank, bordering across blank lines is plain adjacency, so that one pass over the spans
+    of a key in order gives the closure: a span goes on with those before it if it overlaps or touches them, or is next to
+    their end and it, or what reaches that end, is a comment.
+    """
     wide = ranges.join(totals, keys).select(
-        *keys, F.greatest(F.col("start") - pad, F.lit(1)).alias("start"), F.least(F.col("end") + pad, F.col("n_lines")).alias("end"), F.lit(1).alias("own")
+        *keys, F.greatest(F.col("start") - pad, F.lit(1)).cast("long").alias("start"), F.least(F.col("end") + pad, F.col("n_lines")).cast("long").alias("end"), F.lit(1).alias("own")
     )
-    both = wide.unionByName(comments.select(*keys, "start", "end", F.lit(0).alias("own")))
-    merged = span_islands(both, keys, gap=1).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("own").alias("own"))
+    both = wide.unionByName(comments.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(0).alias("own")))
+    if nonblank is None:
+        both = both.withColumns({"_from": F.col("start"), "_to": F.col("end")})
+    else:
+        n = nonblank.select(*keys, F.col("line_no").cast("long").alias("_line"), F.col("nonblank").alias("_n"))
+        both = both.withColumn("_line", F.col("start") - 1).join(n, [*keys, "_line"], "left").withColumn("_from", F.coalesce("_n", F.lit(0)) + 1).drop("_n", "_line")
+        both = both.withColumn("_line", F.col("end")).join(n, [*keys, "_line"], "left").withColumn("_to", F.coalesce("_n", F.col("_from") - 1)).drop("_n", "_line")
+    w = W.partitionBy(*keys).orderBy("start", "end", "own")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    reach = {"_line_end": F.max("end"), "_end": F.max("_to"), "_comment_end": F.max(F.when(F.col("own") == 0, F.col("_to")))}
+    spans = both.select("*", *[f.over(before).alias(c) for c, f in reach.items()])
+    beside = F.when(F.col("own") == 0, F.col("_end")).otherwise(F.coalesce(F.col("_comment_end"), F.lit(-1)))
+    joins = (F.col("start") <= F.col("_line_end") + 1) | (F.col("_from") <= beside + 1)
+    islands = spans.withColumn("island", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    merged = islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("own").alias("own"))
     return merged.filter("own = 1").drop("island", "own")
 
 
