@@ -201,8 +201,11 @@ def context_windows(ranges: DataFrame, comments: DataFrame, totals: DataFrame, k
     w = W.partitionBy(*keys).orderBy("start", "end", "own")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     reach = {"_line_end": F.max("end"), "_end": F.max("_to"), "_comment_end": F.max(F.when(F.col("own") == 0, F.col("_to")))}
-    spans = both.select("*", *[f.over(before).alias(c) for c, f in reach.items()])
-    beside = F.when(F.col("own") == 0, F.col("_end")).otherwise(F.coalesce(F.col("_comment_end"), F.lit(-1)))
+    next_comment = F.min(F.when(F.col("own") == 0, F.col("_from"))).over(w.rowsBetween(1, W.unboundedFollowing))
+    spans = both.select("*", *[f.over(before).alias(c) for c, f in reach.items()], next_comment.alias("_next"))
+    # a window whose first line that isn't blank begins a comment lies within what that comment joins
+    led = F.coalesce(F.col("_next") == F.col("_from"), F.lit(False))
+    beside = F.when((F.col("own") == 0) | led, F.col("_end")).otherwise(F.coalesce(F.col("_comment_end"), F.lit(-1)))
     joins = (F.col("start") <= F.col("_line_end") + 1) | (F.col("_from") <= beside + 1)
     islands = spans.withColumn("island", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     merged = islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("own").alias("own"))
