@@ -116,7 +116,7 @@ def boundary_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def earlier_chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, chunks)``: for each document the chunks ``(at, piece)`` of earlier text that may stand in it from ``at`` on.
+    """``(doc_id, at, piece)``: chunks of earlier text that may stand in a document from ``at`` on.
 
     The first of equal boundaries is that in the smallest document, then at the smallest offset. Later ones at the same
     distance from the same first text are one chunk, of ``CHUNK_SPAN`` bytes at most and the lines around. Hashes are counted
@@ -161,7 +161,7 @@ def earlier_chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     texts = _squeezed(docs).join(wanted, "doc_id").select("doc_id", "z", "spans")
     pieces = stored(texts.mapInArrow(cut, "first_doc long, lo int, hi int, start int, piece binary"), "pieces")
-    return chunks.join(pieces, ["first_doc", "lo", "hi"]).groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("away")).alias("at"), "piece")).alias("chunks"))
+    return chunks.join(pieces, ["first_doc", "lo", "hi"]).select("doc_id", (F.col("start") + F.col("away")).cast("long").alias("at"), "piece")
 
 
 def repeated_lines(data: bytes, chunks: list[tuple[int, bytes]], lines: int = MIN_LINES) -> tuple[np.ndarray, np.ndarray]:
@@ -206,32 +206,48 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINE
     of each row's own ``carried`` columns, so that nothing has to be joined back by id; others are ignored.
     """
 
+    names = ["doc_id", "kept", "n_lines_removed", "n_bytes_removed", "n_regions", "own"][: 5 + bool(carried)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor()
+        now, chunks = None, []  # the document whose chunks have come
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows: list[list] = [[], [], [], []]
-                for z, chunks in zip(batch.column(1).slice(at, 256), batch.column(2).slice(at, 256), strict=True):
-                    data = grow.decompress(z.as_py())
-                    gone = []
-                    if chunks.is_valid:
-                        own = chunks.values
-                        pairs = list(zip(own.field("at").to_pylist(), own.field("piece").to_pylist(), strict=True))
-                        gone = regions(data, pairs, min_lines, min_words)
-                    parts, last = [], 0
-                    for a, b, _ in gone:
-                        parts.append(data[last:a])
-                        last = b
-                    for column, x in zip(rows, (b"".join([*parts, data[last:]]).decode(), sum(n for *_, n in gone), sum(b - a for a, b, _ in gone), len(gone))):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array(rows[0], pa.string()), *(pa.array(c, pa.int64()) for c in rows[1:]), *(c.slice(at, 256) for c in batch.columns[3:])],
-                    ["doc_id", "kept", "n_lines_removed", "n_bytes_removed", "n_regions", "own"][: 5 + bool(carried)],
-                )
-
-    chunks = earlier_chunks(docs, window)
+            ids, ats = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            rows: list[tuple] = []
+            size = 0
+
+            def made() -> pa.RecordBatch:
+                at, *columns = zip(*rows)
+                kinds = [pa.string(), *[pa.int64()] * 3]
+                taken = [c.take(pa.array(at)) for c in (batch.column(0), *batch.columns[5:])]
+                return pa.RecordBatch.from_arrays([taken[0], *map(pa.array, map(list, columns), kinds), *taken[1:]], names)
+
+            for i, (doc_id, at) in enumerate(zip(ids, ats, strict=True)):
+                if at is not None:
+                    if doc_id != now:
+                        now, chunks = doc_id, []
+                    chunks.append((at, batch.column(4)[i].as_py()))
+                    continue
+                data = grow.decompress(batch.column(2)[i].as_py())
+                gone = regions(data, chunks, min_lines, min_words) if doc_id == now and doc_id is not None else []
+                parts, last = [], 0
+                for a, b, _ in gone:
+                    parts.append(data[last:a])
+                    last = b
+                rows.append((i, b"".join([*parts, data[last:]]).decode(), sum(n for *_, n in gone), sum(b - a for a, b, _ in gone), len(gone)))
+                size += len(data)
+                if size > CHUNK_BYTES:
+                    yield made()
+                    rows, size = [], 0
+            if rows:
+                yield made()
+
     whole = _squeezed(docs, carried)
-    rows = whole.join(chunks, "doc_id", "left").select("doc_id", "z", "chunks", *whole.columns[2:])
+    rest = whole.columns[2:]
+    # a document's chunks come before its texts and stream by, so that no list of them is gathered for the join
+    texts = whole.select("doc_id", F.lit(1).alias("kind"), "z", F.lit(None).cast("long").alias("at"), F.lit(None).cast("binary").alias("piece"), *rest)
+    pieces = earlier_chunks(docs, window).select("doc_id", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("z"), "at", "piece", *[F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in rest])
+    rows = texts.unionByName(pieces).repartition(F.coalesce("doc_id", F.xxhash64("z"))).sortWithinPartitions("doc_id", "kind")
     own = f", own {whole.schema['own'].dataType.simpleString()}" if carried else ""
     return rows.mapInArrow(run, "doc_id long, kept string, n_lines_removed long, n_bytes_removed long, n_regions long" + own)
 
