@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import retrieval as R
+from ..operators import waves as T
 from ..operators.accounting import issue_counts
 from .mapping import FILES, SCORES, files, scores, table
 
@@ -44,6 +45,20 @@ def j5(s, d):
     return R.reachable_files(files(s, d).select("path"), scored)
 
 
+def waves(s, d):
+    """Documents as files some levels deep, for six questions; scores come from hashes, those of odd questions are none of them strong."""
+    i = F.col("doc_id")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("m"), i % 11), F.concat(F.lit("n"), i % 3), F.concat(F.lit("doc"), i))
+    own = table(s, d, "documents").select(path.alias("path"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    tree = T.tree_of(own.filter("path is not null").groupBy("path").agg(F.max("bytes").alias("bytes")).withColumn("cost", F.least(F.col("bytes"), F.lit(2000)) + 40))
+    asked = tree.select("path", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("query_id"))
+    drawn = F.conv(F.left(F.md5(F.concat_ws("/", "query_id", "path")), F.lit(6)), 16, 10).cast("long") % 1000 / 1000
+    scored = asked.select("query_id", "path", F.when(F.col("query_id") % 2 == 1, 0.45 + drawn * 0.149).otherwise(drawn).alias("score"))
+    seeds = s.range(6).select(F.col("id").cast("int").alias("query_id"), F.lit(".").alias("path"))
+    found = T.traverse(tree, scored, asked.filter(F.crc32(F.concat_ws("/", "path", "query_id").cast("binary")) % 400 == 0), seeds, T.Limits(budget_bytes=150_000))
+    return found.items.withColumn("score", F.round("score", 6))
+
+
 def w2(s, d):
     batches = table(s, d, "events").select((F.col("user_id") % 40).alias("query_id"), F.col("event_id").alias("batch"), (F.col("value") * 100).cast("long").alias("bytes"))
     return R.navigation_budget(batches, 100_000)
@@ -122,6 +137,8 @@ QUERIES = {
         lambda s, d: R.union_waves(*[scores(s, d).filter(f"chunk {k}").select("query_id", "path") for k in ("= 1", "= 2", "> 2")]),
         f"WITH {SCORES} SELECT DISTINCT query_id, path FROM scores",
     ),
+    # a state of budgets, probes and floods that the next wave depends on: held against a plain walk in the tests
+    "w2_traverse_waves": (waves, None),
     "w2_navigation_budget": (
         w2,
         """SELECT query_id, batch, bytes, so_far, so_far <= 100000 AS within FROM (SELECT user_id % 40 AS query_id, event_id AS batch, CAST(trunc(value * 100) AS BIGINT) AS bytes,
