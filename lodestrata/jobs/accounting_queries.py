@@ -22,13 +22,17 @@ def _baselines(s, d):
     return A.latest_attempt(rows, ["task"], "o").drop("o")
 
 
+_STATUS = "CASE WHEN arm = '1-URGENT' AND attempt % 37 = 0 THEN 'not-started' WHEN attempt % 3 = 0 THEN 'failed' ELSE 'completed' END"
+_GRADED = "NOT (arm = '2-HIGH' AND attempt % 41 = 0)"
+
+
 def _compared(s, d):
-    return A.compare_to_baseline(attempts(s, d), _baselines(s, d))
+    return A.compare_to_baseline(attempts(s, d), _baselines(s, d)).withColumns({"status": F.expr(_STATUS), "graded": F.expr(_GRADED)})
 
 
-_COMPARED = f"{_LATEST}, compared AS (SELECT a.*, b.resolved AS br, b.cost AS bc FROM attempts a LEFT JOIN latest b ON a.task = b.task)"
+_COMPARED = f"{_LATEST}, compared AS (SELECT a.*, {_STATUS.replace('arm', 'a.arm').replace('attempt ', 'a.attempt ')} AS status, {_GRADED.replace('arm', 'a.arm').replace('attempt ', 'a.attempt ')} AS graded, b.resolved AS br, b.cost AS bc FROM attempts a LEFT JOIN latest b ON a.task = b.task)"
 _SUMMARY = f"""{_COMPARED}, summary AS (SELECT arm, count(*) AS attempts, count(*) FILTER (resolved) AS solved, count(*) FILTER (resolved AND br) AS preserved, count(*) FILTER (resolved AND cost < bc) AS cost_wins,
-  bool_and(cost IS NOT NULL) AS all_known, CASE WHEN bool_and(cost IS NOT NULL) THEN sum(cost) END AS total_cost, coalesce(sum(cost), 0) AS known_cost FROM compared GROUP BY arm)"""
+  bool_and(status IN ('completed', 'failed', 'interrupted')) AS all_terminal, bool_and(status IN ('completed', 'failed', 'interrupted') AND graded) AS all_graded, bool_and(cost IS NOT NULL) AS all_known, CASE WHEN bool_and(cost IS NOT NULL) THEN sum(cost) END AS total_cost, coalesce(sum(cost), 0) AS known_cost FROM compared GROUP BY arm)"""
 
 
 def _summary(s, d):
@@ -98,8 +102,8 @@ QUERIES = {
         f"WITH {_COMPARED} SELECT attempt, task, cost::DOUBLE AS cost, bc::DOUBLE AS baseline_cost, (bc - cost)::DOUBLE AS saved, br AS baseline_resolved FROM compared",
     ),
     "j15_compare_arms": (
-        lambda s, d: A.compare_arms(_events(s, d).select((F.col("user_id") % 20).alias("g"), "event_type", "value"), ["g"], "event_type", "value", "click", "view").withColumn("change", F.round("change", 6)),
-        "WITH m AS (SELECT user_id % 20 AS g, median(value) FILTER (event_type = 'click') AS before, median(value) FILTER (event_type = 'view') AS after FROM events GROUP BY 1) SELECT g, before, after, round((after - before) / before, 6) AS change FROM m",
+        lambda s, d: A.compare_arms(_events(s, d).select((F.col("user_id") % 20).alias("g"), "event_type", "value", F.expr("CASE WHEN user_id % 20 < 8 THEN 'same' WHEN user_id % 20 < 14 THEN event_type END").alias("output")), ["g"], "event_type", "value", "click", "view", "output").withColumn("change", F.round("change", 6)),
+        "WITH m AS (SELECT user_id % 20 AS g, median(value) FILTER (event_type = 'click') AS before, median(value) FILTER (event_type = 'view') AS after FROM events GROUP BY 1) SELECT g, before, after, round((after - before) / before, 6) AS change, before IS NOT NULL AND after IS NOT NULL AND g < 8 AS same_output FROM m",
     ),
     "j16_size_ratchet": (
         j16,

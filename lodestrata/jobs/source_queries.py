@@ -65,12 +65,25 @@ def s4(s, d):
     return R.read_results(s, path, lines=True).select("attempt", F.col("result.resolved").alias("resolved"), F.col("result.arm").alias("arm"))
 
 
-def s5(s, d):
+def _store(s, d):
     path = f"{scratch_path(s)}/answers-{uuid.uuid4().hex}"
-    e = table(s, d, "events").select(F.sha2(F.col("props"), 256).alias("digest"), F.col("event_id").alias("question_id"), F.col("value").alias("probability"), F.col("ts").alias("created_at"))
+    e = table(s, d, "events").select(F.sha2(F.col("props"), 256).alias("digest"), F.col("event_id").alias("question_id"), F.col("value").alias("probability"), F.col("ts").cast("timestamp").alias("created_at"))
     R.append_answers(e.filter("question_id % 2 = 0"), path)
     R.append_answers(e.filter("question_id % 2 = 1"), path)
-    return R.read_answers(s, path).select("digest", "question_id", "probability")
+    return path
+
+
+def s5(s, d):
+    return R.read_answers(s, _store(s, d)).select("digest", "question_id", "probability")
+
+
+def s5_keyed(s, d):
+    """Answers to the digests that begin with certain characters, after some were revised and the appends compacted."""
+    path = _store(s, d)
+    R.compact_answers(s, path)
+    R.append_answers(R.read_answers(s, path).filter("question_id % 3 = 0").withColumns({"probability": F.col("probability") / 2, "created_at": F.col("created_at") + F.expr("interval 1 day")}), path)
+    asked = table(s, d, "events").select(F.sha2(F.col("props"), 256).alias("digest")).filter("digest < '08'")
+    return R.read_answers(s, path, asked).select("digest", "question_id", "probability")
 
 
 def s6(s, d):
@@ -112,8 +125,9 @@ QUERIES = {
         UNION ALL SELECT path, false, 0, sha256('') FROM files WHERE bytes = 0""",
     ),
     "g9_build_questions": (
-        lambda s, d: D.build_questions(table(s, d, "benchmark").select(F.lit(1).alias("query_id"), "item_id")),
-        "SELECT 1 AS query_id, item_id, kind, kind || ':' || item_id AS question_id FROM benchmark, (VALUES ('q'), ('scope'), ('ref')) AS k(kind)",
+        lambda s, d: D.build_questions(table(s, d, "benchmark").select(F.lit(1).alias("query_id"), "item_id")).unionByName(D.file_questions(table(s, d, "documents").select(F.lit(2).alias("query_id"), F.col("doc_id").alias("item_id")))),
+        """SELECT 1 AS query_id, item_id, kind, kind || ':' || item_id AS question_id FROM benchmark, (VALUES ('q'), ('scope'), ('ref')) AS k(kind)
+        UNION ALL SELECT 2, doc_id, kind, kind || ':' || doc_id FROM documents, (VALUES ('implementation'), ('caller'), ('test'), ('fixture'), ('helper'), ('priority')) AS k(kind)""",
     ),
     "j6_anchor_matches": (
         j6,
@@ -132,5 +146,6 @@ QUERIES = {
     ),
     "s4_read_results": (s4, "SELECT o_orderkey AS attempt, o_orderstatus = 'F' AS resolved, o_orderpriority AS arm FROM orders"),
     "s5_answers_store": (s5, "SELECT sha256(props) AS digest, event_id AS question_id, value AS probability FROM events"),
+    "s5_keyed_answers": (s5_keyed, "SELECT sha256(props) AS digest, event_id AS question_id, CASE WHEN event_id % 3 = 0 THEN value / 2 ELSE value END AS probability FROM events WHERE sha256(props) < '08'"),
     "s6_write_context": (s6, "SELECT user_id % 7 AS query_id, max(props) AS text FROM events GROUP BY 1"),
 }

@@ -58,6 +58,16 @@ def w9_blank(s, d):
     return S.context_windows(chosen, comments, totals, ["doc_id"], pad=1, nonblank=S.nonblank_prefix(lines, "doc_id"))
 
 
+def f16_spans(s, d):
+    """Thirty characters of each document, placed by characters: where others than ASCII stand before or in them, their bytes are elsewhere."""
+    at, text = F.col("doc_id") % 40, F.coalesce("text", F.lit(""))
+    line = lambda n: F.regexp_count(F.substring(text, F.lit(1), n), F.lit("\n")) + 1
+    own = table(s, d, "documents").withColumn("n", at.cast("int"))
+    taken = F.substring(text, F.col("n") + 1, F.lit(30))
+    rows = own.select("doc_id", line(F.col("n")).alias("start_line"), line(F.col("n") + F.length(taken)).alias("end_line"), at.alias("byte_start"), (at + F.length(taken)).alias("byte_end"), taken.alias("text"), (F.col("doc_id") % 5 > 0).alias("partial"))
+    return S.valid_spans(rows, own.select("doc_id", F.col("text").alias("source")), "doc_id").select("doc_id", "start_line", "end_line", "valid")
+
+
 def u6(s, d):
     base = spans(s, d).groupBy("k", "start").agg(F.max("end").alias("v"))
     return S.merge_decisions(base.filter("v % 2 = 0"), base.filter("v % 3 = 0").withColumn("v", -F.col("v")), ["k", "start"], "v")
@@ -104,6 +114,14 @@ QUERIES = {
         lambda s, d: S.valid_ranges(_a(s, d), spans(s, d).filter("k % 3 > 0").groupBy("k").agg(F.min("end").alias("n_lines")), _KEYS),
         f"""WITH {_AR}, t AS (SELECT k, min("end") AS n FROM spans WHERE k % 3 > 0 GROUP BY k) SELECT a.*, coalesce(a.start >= 1 AND a.start <= a."end" AND a."end" <= t.n, false) AS valid FROM a LEFT JOIN t ON a.k = t.k""",
     ),
+    "f16_valid_spans": (
+        f16_spans,
+        """WITH d AS (SELECT doc_id, text AS source, coalesce(text, '') AS t, doc_id % 40 AS n FROM documents), s AS (SELECT *, substr(t, n + 1, 30) AS x FROM d),
+        p AS (SELECT *, len(substr(t, 1, n)) - len(replace(substr(t, 1, n), chr(10), '')) + 1 AS a, len(substr(t, 1, n + len(x))) - len(replace(substr(t, 1, n + len(x)), chr(10), '')) + 1 AS b FROM s),
+        q AS (SELECT *, list_aggregate(string_split(t, chr(10))[a:b], 'string_agg', chr(10)) AS own FROM p)
+        SELECT doc_id, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, source IS NOT NULL AND n + len(x) <= strlen(t) AND substr(hex(encode(t)), 2 * n + 1, 2 * len(x)) = hex(encode(x))
+          AND CASE WHEN doc_id % 5 > 0 THEN contains(own, x) ELSE own = x END AS valid FROM q""",
+    ),
     "w8_neighbor_members": (
         w8,
         f"""WITH {SPANS}, u AS (SELECT k, start AS s, max("end") AS e, CAST(min(n) AS VARCHAR) AS name, bool_or(l_returnflag = 'R') AS sel FROM spans GROUP BY k, start),

@@ -67,14 +67,24 @@ def compare_to_baseline(attempts: DataFrame, baselines: DataFrame) -> DataFrame:
     return attempts.join(b, "task", "left").withColumn("saved", F.col("baseline_cost") - F.col("cost"))
 
 
+# States in which an attempt is over.
+TERMINAL = ("completed", "failed", "interrupted")
+
+
 def cohort_summary(compared: DataFrame, keys: list[str]) -> DataFrame:
-    """Solves, preserved solves, wins by cost and totals that are null unless all parts are known."""
+    """Solves, preserved solves, wins by cost and totals that are null unless all parts are known.
+
+    ``all_terminal``: every attempt's ``status`` is one of ``TERMINAL``; ``all_graded``: and each was ``graded``. A null is neither.
+    """
+    terminal = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
     won = F.col("resolved") & (F.col("cost") < F.col("baseline_cost"))
     return compared.groupBy(*keys).agg(
         F.count("*").alias("attempts"),
         F.count_if("resolved").alias("solved"),
         F.count_if(F.col("resolved") & F.col("baseline_resolved")).alias("preserved"),
         F.count_if(won).alias("cost_wins"),
+        F.bool_and(terminal).alias("all_terminal"),
+        F.bool_and(terminal & F.coalesce("graded", F.lit(False))).alias("all_graded"),
         F.bool_and(F.col("cost").isNotNull()).alias("all_known"),
         sum_or_unknown(F.col("cost")).alias("total_cost"),
         known_sum(F.col("cost")).alias("known_cost"),
@@ -92,10 +102,23 @@ def median_of_medians(runs: DataFrame, keys: list[str], sample: str, value: str)
     return inner.groupBy(*keys).agg(F.median("m").alias("median"), F.count("*").alias("samples"))
 
 
-def compare_arms(bench: DataFrame, keys: list[str], arm: str, value: str, before: str, after: str) -> DataFrame:
-    """Both arms of each key side by side, with the relative change."""
+def compare_arms(bench: DataFrame, keys: list[str], arm: str, value: str, before: str, after: str, output: str | None = None) -> DataFrame:
+    """Both arms of each key side by side, with the relative change.
+
+    With ``output``, a column of output hashes, also ``same_output``: all rows of both arms have one and the same; false
+    where one is unknown or an arm has no rows.
+    """
     wide = bench.groupBy(*keys).pivot(arm, [before, after]).agg(F.median(value))
-    return wide.select(*keys, F.col(before).alias("before"), F.col(after).alias("after"), F.try_divide(F.col(after) - F.col(before), F.col(before)).alias("change"))
+    change = F.try_divide(F.col(after) - F.col(before), F.col(before)).alias("change")
+    wide = wide.select(*keys, F.col(before).alias("before"), F.col(after).alias("after"), change)
+    if output is None:
+        return wide
+    own = bench.filter(F.col(arm).isin(before, after))
+    same = (F.min(output) == F.max(output)) & (F.count(output) == F.count("*")) & (F.min(arm) != F.max(arm))
+    hashes = own.groupBy(*keys).agg(F.coalesce(same, F.lit(False)).alias("same_output"))
+    matched = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    renamed = hashes.select(*[F.col(k).alias(f"_{k}") for k in keys], "same_output")
+    return wide.join(renamed, matched, "left").select(*wide.columns, F.coalesce("same_output", F.lit(False)).alias("same_output"))
 
 
 def latency_percentiles(log: DataFrame, keys: list[str], value: str, ps=(0.5, 0.95), exact: bool = True) -> DataFrame:

@@ -105,6 +105,15 @@ def build_questions(items: DataFrame, kinds=("q", "scope", "ref")) -> DataFrame:
     return items.select("query_id", "item_id", rows).withColumn("question_id", F.concat_ws(":", "kind", F.col("item_id").cast("string")))
 
 
+# The roles that are asked of a file.
+ROLES = ("implementation", "caller", "test", "fixture", "helper")
+
+
+def file_questions(files: DataFrame) -> DataFrame:
+    """The questions about a file for a query, ``files(query_id, item_id)``: whether it has each of the ``ROLES``, and its priority."""
+    return build_questions(files, (*ROLES, "priority"))
+
+
 def anchor_matches(pruned: DataFrame, anchors: DataFrame) -> DataFrame:
     """Pruned directories whose name holds a class name of the query's anchor, in lower case: ``(query_id, dir, name)``."""
     parts = pruned.select("query_id", "dir", F.explode(F.split(F.lower("dir"), r"[^\p{L}\p{Nd}_]+")).alias("token"))

@@ -58,7 +58,10 @@ def best_chunk_score(scored: DataFrame) -> DataFrame:
 
 
 def suppress_floods(scored: DataFrame, min_weak: int = 32, relevant: float = 0.5, strong: float = 0.6) -> DataFrame:
-    """Admitted items; where a query has many weak ones and no strong one, none of the weak."""
+    """Admitted items of one wave; where a query has many weak ones and no strong one, none of the weak.
+
+    :func:`waves.traverse` tests each wave, with the strong scores of those before in mind.
+    """
     s = F.col("score")
     flood = scored.groupBy("query_id").agg(((F.count_if((s > relevant) & (s < strong)) >= min_weak) & ~F.bool_or(s >= strong)).alias("flood"))
     return scored.join(flood, "query_id").filter((s > relevant) & (~F.col("flood") | (s >= strong))).drop("flood")
@@ -110,13 +113,16 @@ def check_freshness(candidates: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def navigation_budget(batches: DataFrame, max_bytes: int = 8_000_000) -> DataFrame:
-    """Adds the bytes so far of each query and whether a batch is within the budget."""
+    """Adds the bytes so far of each query and whether a batch is within the budget, from the first byte on.
+
+    :func:`waves.traverse` heeds the budget only once there are many positive scores and no confident source.
+    """
     w = W.partitionBy("query_id").orderBy("batch").rowsBetween(W.unboundedPreceding, 0)
     return batches.withColumn("so_far", F.sum("bytes").over(w)).withColumn("within", F.col("so_far") <= max_bytes)
 
 
 def pick_probe(scored: DataFrame, probed: DataFrame) -> DataFrame:
-    """The best file of each query that was not probed yet; the first path among equals."""
+    """The last probe: the best file of each query that was not probed yet; the first path among equals. Those before it are made by :func:`waves.traverse`."""
     rest = skip_seen(scored, probed, ["query_id", "path"])
     return rest.groupBy("query_id").agg(F.min_by("path", F.struct(-F.col("score"), F.col("path"))).alias("path"), F.max("score").alias("score"))
 

@@ -216,3 +216,19 @@ def valid_ranges(spans: DataFrame, totals: DataFrame, keys: list[str]) -> DataFr
     """Adds ``valid``: 1 <= start <= end <= lines, false for an unknown file."""
     ok = (F.col("start") >= 1) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("n_lines"))
     return spans.join(totals, keys, "left").withColumn("valid", F.coalesce(ok, F.lit(False))).drop("n_lines")
+
+
+def valid_spans(spans: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """Adds ``valid`` to spans ``(key, start_line, end_line, byte_start, byte_end, text, partial)`` of ``files(key, source)``.
+
+    1 <= start <= end <= lines, 0 <= byte start <= byte end <= bytes, the source's bytes between are the text's, and the text
+    is the lines' own, or lies within them if ``partial``. False for an unknown file and for nulls.
+    """
+    raw, lines = F.col("_source").cast("binary"), F.split("_source", "\n")
+    first, last, start, end = (F.col(c) for c in ("start_line", "end_line", "byte_start", "byte_end"))
+    placed = (first >= 1) & (first <= last) & (last <= F.size(lines)) & (start >= 0) & (start <= end) & (end <= F.length(raw))
+    own = F.array_join(F.slice(lines, F.when(placed, first).otherwise(1), F.when(placed, last - first + 1).otherwise(0)), "\n")
+    told = F.when(F.col("partial"), F.contains(own, F.col("text"))).otherwise(own == F.col("text"))
+    sliced = raw.substr((start + 1).cast("int"), (end - start).cast("int")) == F.col("text").cast("binary")
+    joined = spans.join(files.select(key, F.col("source").alias("_source")), key, "left")
+    return joined.withColumn("valid", F.coalesce(placed & sliced & told, F.lit(False))).drop("_source")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +56,42 @@ def read_results(spark: SparkSession, path: str, rows: str = "rows", lines: bool
     return spark.read.option("multiLine", not lines).json(path).select(F.inline(rows))
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("prefix")
-
-
-def append_answers(answers: DataFrame, path: str) -> None:
-    """``answers(digest, question_id, probability, created_at)``, in folders by the digest's first two characters."""
-    answers.withColumn("prefix", F.left("digest", F.lit(2))).write.mode("append").partitionBy("prefix").parquet(path)
+def read_answers(spark: SparkSession, path: str, questions: DataFrame | None = None) -> DataFrame:
+    """The newest answer of each digest and question of a store; with ``questions(digest)`` of these digests alone.
+
+    A digest's first two characters name its folder. The questions' distinct ones, some hundreds at most, are a filter on
+    folders, so that files of other folders are not opened. Of equal times the larger probability counts.
+    """
+    stored = spark.read.schema("digest string, question_id long, probability double, created_at timestamp, batch string, prefix string").option("basePath", path).parquet(path)
+    if questions is not None:
+        own = questions.select("digest").filter("digest is not null").distinct()
+        prefixes = [r[0] for r in own.select(F.left("digest", F.lit(2))).distinct().collect()]
+        stored = stored.filter(F.col("prefix").isin(prefixes)).join(own, "digest", "left_semi")
+    newest = F.max(F.struct("created_at", "probability")).alias("a")
+    return stored.groupBy("digest", "question_id").agg(newest).select("digest", "question_id", "a.probability", "a.created_at")
+
+
+def append_answers(answers: DataFrame, path: str, kind: str = "a") -> None:
+    """``answers(digest, question_id, probability, created_at)``, in a folder of its own for each append, in folders by the digest's first two characters."""
+    own = answers.select("digest", F.col("question_id").cast("long").alias("question_id"), F.col("probability").cast("double").alias("probability"), F.col("created_at").cast("timestamp").alias("created_at"))
+    prefix = F.left("digest", F.lit(2))
+    own.withColumn("prefix", prefix).repartition("prefix").write.partitionBy("prefix").parquet(f"{path}/batch={kind}-{uuid.uuid4().hex}")
+
+
+def compact_answers(spark: SparkSession, path: str) -> int:
+    """Puts all appended batches of a store into one, a file for each folder; how many there were.
+
+    The new batch is there before the old ones go. A reader takes the newest answer of each question, so that one who
+    comes between, or a job that dies between, changes nothing.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith("batch=a-")]
+    if old:
+        append_answers(read_answers(spark, path), path, "c")
+        for folder in old:
+            files.delete(folder, True)
+    return len(old)
 
 
 def write_context(packets: DataFrame, path: str) -> None:
