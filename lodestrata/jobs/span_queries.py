@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bodies as B
 from ..operators import spans as S
 from .mapping import SPANS, spans, table
 
@@ -68,6 +69,17 @@ def f16_spans(s, d):
     return S.valid_spans(rows, own.select("doc_id", F.col("text").alias("source")), "doc_id").select("doc_id", "start_line", "end_line", "valid")
 
 
+def bodies(s, d):
+    """Line items as units, selections and excerpts of a test file for each order; fifty questions, some of them with no body kept."""
+    own = spans(s, d).withColumnsRenamed({"k": "path"}).withColumn("query_id", F.col("path") % 50)
+    ranges = lambda rows: S.merge_spans(rows.select("query_id", "path", "start", "end"), B.KEYS, gap=1)
+    units = own.filter("n > 2").select("query_id", "path", F.col("n").cast("string").alias("name"), "start", F.expr("start + (end - start) div 3").alias("end"), F.lit(900).cast("long").alias("bytes"))
+    answers = units.select("query_id", "path", "start", "end", F.expr("CASE WHEN query_id % 5 = 0 THEN 0.3 WHEN query_id % 7 = 1 AND path % 99 = 0 THEN 1.5 ELSE (start * 7 + end * 3 + path) % 10 / 10 END").cast("double").alias("score"))
+    found = B.select_bodies(units, ranges(own.filter("n <> 3")), ranges(own), answers)
+    both = found.shown.withColumn("kind", F.lit("shown")).unionByName(found.selected.withColumn("kind", F.lit("selected")))
+    return both.select("query_id", "path", "kind", "start", "end")
+
+
 def u6(s, d):
     base = spans(s, d).groupBy("k", "start").agg(F.max("end").alias("v"))
     return S.merge_decisions(base.filter("v % 2 = 0"), base.filter("v % 3 = 0").withColumn("v", -F.col("v")), ["k", "start"], "v")
@@ -98,6 +110,17 @@ QUERIES = {
         xk AS (SELECT DISTINCT k, unnest(range(start, "end" + 1)) AS x FROM r WHERE start % 2 = 0), gone AS (SELECT * FROM xr EXCEPT SELECT * FROM xk), rest AS (SELECT * FROM xa EXCEPT SELECT * FROM gone)
         SELECT k, start, "end" - 1 AS "end" FROM ({_runs('rest')})""",
     ),
+    "u3_test_bodies": (
+        bodies,
+        f"""WITH {SPANS}, o AS (SELECT k % 50 AS q, k, n, start, "end" FROM spans), one AS (SELECT k, start, "end" FROM o WHERE n <> 3), alls AS (SELECT k, start, "end" FROM o), {_merged('sel', 'one', 1)}, {_merged('sho', 'alls', 1)},
+        u AS (SELECT DISTINCT q, k, start, start + ("end" - start) // 3 AS e FROM o WHERE n > 2), c AS (SELECT * FROM u WHERE EXISTS (SELECT 1 FROM sel WHERE sel.k = u.k AND sel.start <= u.start AND sel."end" >= u.e) AND EXISTS (SELECT 1 FROM sho WHERE sho.k = u.k AND sho.start <= u.start AND sho."end" >= u.e)),
+        a AS (SELECT *, CASE WHEN q % 5 = 0 THEN 0.3 WHEN q % 7 = 1 AND k % 99 = 0 THEN 1.5 ELSE (start * 7 + e * 3 + k) % 10 / 10 END AS score FROM c), g AS (SELECT q FROM a GROUP BY q HAVING bool_and(score BETWEEN 0 AND 1) AND bool_or(score > 0.5)),
+        v AS (SELECT a.* FROM a JOIN g USING (q)), gone AS (SELECT DISTINCT k, unnest(range(start, e + 1)) AS x FROM v WHERE score <= 0.5 EXCEPT SELECT DISTINCT k, unnest(range(start, e + 1)) FROM v WHERE score > 0.5), changed AS (SELECT DISTINCT k FROM v WHERE score <= 0.5),
+        r AS (SELECT 'shown' AS kind, * FROM sho UNION ALL SELECT 'selected', * FROM sel), x AS (SELECT DISTINCT kind, k, unnest(range(start, "end" + 1)) AS x FROM r WHERE k IN (SELECT k FROM changed)),
+        rest AS (SELECT kind, k, x, x - row_number() OVER (PARTITION BY kind, k ORDER BY x) AS g FROM x WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.k = x.k AND gone.x = x.x))
+        SELECT k % 50 AS query_id, k AS path, kind, min(x) AS start, max(x) AS "end" FROM rest GROUP BY kind, k, g
+        UNION ALL SELECT k % 50, k, kind, start, "end" FROM r WHERE k NOT IN (SELECT k FROM changed)""",
+    ),
     "u4_subtract_spans": (
         lambda s, d: S.subtract_spans(_a(s, d), _r(s, d), _KEYS),
         f"WITH {_AR}, {_POINTS}, rest AS (SELECT * FROM pa EXCEPT SELECT * FROM pr) {_runs('rest')}",
