@@ -89,6 +89,17 @@ def w12(s, d):
     return A.in_cooldown(log, ["user_id"], "ts", "end").select("event_id", F.col("until").cast("timestamp_ntz").alias("until"), "cooling")
 
 
+def sketches(s, d):
+    """Merged sketches of days beside all events: whether percentiles are near by rank, and distinct users by number."""
+    e = _events(s, d)
+    daily = A.sketch(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value", "user_id")
+    told = A.read_sketches(A.merge_sketches(daily, ["event_type"]))
+    exact = e.join(told.select("event_type", "p50", "p95"), "event_type").groupBy("event_type").agg(
+        *[(F.abs(F.avg((F.col("value") <= F.col(c)).cast("double")) - q) < 0.02).alias(f"{c}_near") for c, q in (("p50", 0.5), ("p95", 0.95))], F.count_distinct("user_id").alias("users")
+    )
+    return told.join(exact, "event_type").select("event_type", "n", "p50_near", "p95_near", (F.abs(F.col("distinct") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("distinct_near"))
+
+
 QUERIES = {
     "j13_reconcile_log": (lambda s, d: A.reconcile_log(*_logs(s, d)), f"WITH {_LOGS} SELECT request_id, n_starts, n_ends, n_requests, n_responses, matched FROM reconciled"),
     "j13_log_covered": (lambda s, d: A.log_covered(A.reconcile_log(*_logs(s, d))), f"WITH {_LOGS} SELECT count(*) AS ids, bool_and(matched) AS covered FROM reconciled"),
@@ -128,6 +139,7 @@ QUERIES = {
         lambda s, d: A.median_of_medians(_events(s, d), ["event_type"], "user_id", "value"),
         "WITH m AS (SELECT event_type, user_id, median(value) AS m FROM events GROUP BY ALL) SELECT event_type, median(m) AS median, count(*) AS samples FROM m GROUP BY 1",
     ),
+    "a15_sketch_rollup": (sketches, "SELECT event_type, count(*) AS n, true AS p50_near, true AS p95_near, true AS distinct_near FROM events GROUP BY 1"),
     "a15_latency_percentiles": (
         lambda s, d: A.latency_percentiles(_events(s, d), ["event_type"], "value").withColumns({c: F.round(c, 6) for c in ("p50", "p95")}),
         "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",

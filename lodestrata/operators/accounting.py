@@ -126,6 +126,26 @@ def latency_percentiles(log: DataFrame, keys: list[str], value: str, ps=(0.5, 0.
     return log.groupBy(*keys).agg(F.count("*").alias("n"), *[f(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps])
 
 
+def sketch(log: DataFrame, keys: list[str], value: str, ident: str) -> DataFrame:
+    """``(*keys, n, quantiles, distinct)``: a KLL sketch of the values and an HLL sketch of the ids of each key.
+
+    Sketches are columns that can be stored and merged over keys and batches (:func:`merge_sketches`), which percentiles and
+    distinct counts can't. Null values and ids are left out of theirs.
+    """
+    return log.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double")).alias("quantiles"), F.hll_sketch_agg(F.col(ident).cast("string")).alias("distinct"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of the unions of rows by ``keys``: of coarser keys, or of several batches."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("quantiles").alias("quantiles"), F.hll_union_agg("distinct").alias("distinct"))
+
+
+def read_sketches(sketches: DataFrame, ps=(0.5, 0.95)) -> DataFrame:
+    """Percentiles, within 2 % of the ranks, and distinct ids, within 5 %, nearly always; null without values."""
+    made = [F.kll_sketch_get_quantile_double("quantiles", F.lit(float(p))).alias(f"p{round(p * 100)}") for p in ps]
+    return sketches.select(*[c for c in sketches.columns if c not in ("quantiles", "distinct")], *made, F.hll_sketch_estimate("distinct").alias("distinct"))
+
+
 def size_ratchet(current: DataFrame, previous: DataFrame, renames: DataFrame, max_tokens: int = 8000) -> DataFrame:
     """Files over the budget that are new or grew, each beside its size under the name it had."""
     origin = current.join(renames, "path", "left").withColumn("origin", F.coalesce("old_path", "path"))
@@ -141,10 +161,20 @@ def oversized_sources(files: DataFrame, max_tokens: int = 8000) -> DataFrame:
 def rolling_budget(log: DataFrame, keys: list[str], ts: str, tokens: str, seconds: int = 1) -> DataFrame:
     """Adds the requests and tokens of the last ``seconds``, a request's own included.
 
-    The window is a range of microseconds within ``keys``; a global one needs keys by time, with the neighbour's sums.
+    Time is cut into stretches as long as the window, which so reaches from a request's own stretch into the one before it and
+    no further. Each request is sent to its own stretch and, to be counted, to the next; a window runs within one stretch. So
+    the requests of one worker are spread over as many tasks as there are stretches. A null time is in no window and gets nulls.
     """
-    w = W.partitionBy(*keys).orderBy(micros(F.col(ts))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return log.withColumn("requests_in_window", F.count("*").over(w)).withColumn("tokens_in_window", F.sum(tokens).over(w))
+    width = seconds * 1_000_000
+    at = micros(F.col(ts))
+    rows = log.withColumn("_at", at).withColumn("_own", F.floor(F.col("_at") / width))
+    met = rows.withColumn("_stretch", F.explode_outer(F.array("_own", F.col("_own") + 1)))
+    w = W.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(-(width - 1), 0)
+    known = F.col("_at").isNotNull()
+    counted = met.withColumn("requests_in_window", F.when(known, F.count("*").over(w))).withColumn("tokens_in_window", F.when(known, F.sum(tokens).over(w)))
+    own = counted.filter(F.col("_own") == F.col("_stretch")).drop("_at", "_own", "_stretch")
+    none = rows.filter(~known).drop("_at", "_own").withColumns({"requests_in_window": F.lit(None).cast("long"), "tokens_in_window": F.lit(None).cast(counted.schema["tokens_in_window"].dataType)})
+    return own.unionByName(none)
 
 
 def in_cooldown(log: DataFrame, keys: list[str], ts: str, end: str) -> DataFrame:
