@@ -212,7 +212,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINE
         grow = zstandard.ZstdDecompressor()
         now, chunks = None, []  # the document whose chunks have come
         for batch in batches:
-            ids, ats = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            ids, zs, ats, pieces = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
             rows: list[tuple] = []
             size = 0
 
@@ -226,9 +226,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINE
                 if at is not None:
                     if doc_id != now:
                         now, chunks = doc_id, []
-                    chunks.append((at, batch.column(4)[i].as_py()))
+                    chunks.append((at, pieces[i]))
                     continue
-                data = grow.decompress(batch.column(2)[i].as_py())
+                data = grow.decompress(zs[i])
                 gone = regions(data, chunks, min_lines, min_words) if doc_id == now and doc_id is not None else []
                 parts, last = [], 0
                 for a, b, _ in gone:
