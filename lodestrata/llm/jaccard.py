@@ -34,37 +34,39 @@ def bands(num: int, den: int, most: int = 2**33) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def layout(tag: int, num: int, den: int) -> tuple[int, int, np.ndarray, int]:
-    """First-level parts, second-level parts, the subsets to enumerate and the least features of a telling signature, for a tag's sets.
+def layout(tag: int, num: int, den: int) -> tuple[int, int, int, np.ndarray]:
+    """First-level parts, differences that a part may hold, second-level parts, and the subsets to enumerate for a tag's sets.
 
     Two linked sets of at most ``hi`` features differ in ``k`` of them at most. With ``n1 * (k2 + 1) > k``
     some first-level part holds ``k2`` differences at most, and so some ``n2 - k2`` of its ``n2`` parts hold none.
     Where that leaves few features to a signature (thresholds below nine tenths), small sets enumerate more
-    subsets.
+    subsets, and large ones have a fifth more parts than that takes, so that :func:`signatures` can pass over their thinnest.
     """
     hi = int(bands(num, den)[tag + 1]) - 1
     k = 2 * hi * (den - num) // (den + num)
-    least = 0
     if k <= 5:
         n1, k2, n2 = 1, k, k + 3
-    elif 9 * (den - num) <= den or k > 24:
+    elif 9 * (den - num) <= den:
         n1, k2, n2 = -(-(k + 1) // 2), 1, 3
-        least = 0 if k <= 24 else 2 if k <= 60 else 3
+    elif k > 24:
+        n1, k2, n2 = -(-6 * (k + 1) // 10), 1, 3
     else:
         n1, k2, n2 = -(-(k + 1) // 5), 4, 8
     chosen = list(combinations(range(n2), n2 - k2))
     subsets = np.zeros((len(chosen), n2), np.uint64)
     for row, own in zip(subsets, chosen):
         row[list(own)] = 1
-    return n1, n2, subsets, least
+    return n1, k2, n2, subsets
 
 
-def signatures(h: np.ndarray, num: int, den: int, complete: bool = True) -> np.ndarray:
-    """The signatures of one set, under the tag of its band and that of the next.
+def signatures(h: np.ndarray, num: int, den: int, every: bool = False) -> np.ndarray:
+    """The signatures of one set, under the tag of its band and that of the next. Sets that link share one for certain.
 
-    Sets that link share one for certain. Unless ``complete``, sets of more than some 100 features leave out signatures of fewer than 2 or 3
-    features, which unrelated texts share: some half of the parts hold one difference at most, so that over the random
-    division of the domain a link is lost with a probability under 1e-7.
+    A set of ``n`` features differs from one that links to it in so many at most that among any ``need`` of its first-level parts one
+    holds ``k2`` differences at most. Its level is the largest count such that in ``need`` parts every subset holds so many
+    features; signatures of fewer features, which unrelated texts share, are left out. That loses no link: the
+    signature that two sets share by the parts of the higher level holds that many features in both, so both enumerate it.
+    With ``every`` those are enumerated too.
     """
     if not len(h):
         return np.empty(0, np.uint64)
@@ -73,16 +75,19 @@ def signatures(h: np.ndarray, num: int, den: int, complete: bool = True) -> np.n
     worth = mix64(h + np.uint64(0x14057B7EF767814F))
     out = []
     for tag in (band, band + 1):
-        n1, n2, subsets, least = layout(tag, num, den)
+        n1, k2, n2, subsets = layout(tag, num, den)
         cell = ((place >> np.uint64(32)) % np.uint64(n1)) * np.uint64(n2) + (place & np.uint64(0xFFFFFFFF)) % np.uint64(n2)
         cells = np.zeros(n1 * n2, np.uint64)
         np.add.at(cells, cell, worth)
         sums = (cells.reshape(n1, 1, n2) * subsets).sum(axis=2, dtype=np.uint64)
         own = np.uint64(tag << 40) + (np.arange(n1, dtype=np.uint64) << np.uint64(12))[:, None] + np.arange(len(subsets), dtype=np.uint64)
         found = mix64(mix64(own) + sums)
-        if least and not complete:
+        if not every:
+            other = min(int(bands(num, den)[tag + 1]) - 1, len(h) * den // num)
+            need = (len(h) + other) * (den - num) // (den + num) // (k2 + 1) + 1
             counts = np.bincount(cell.astype(np.int64), minlength=n1 * n2).astype(np.uint64)
-            found = found[(counts.reshape(n1, 1, n2) * subsets).sum(axis=2, dtype=np.uint64) >= least]
+            held = (counts.reshape(n1, 1, n2) * subsets).sum(axis=2, dtype=np.uint64)
+            found = found[held >= np.sort(held.min(axis=1))[n1 - need]]
         out.append(found.ravel())
     return np.concatenate(out)
 
@@ -106,7 +111,7 @@ def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
 
 
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int, complete: bool = True) -> DataFrame:
+def candidate_edges(docs: DataFrame, n: int, num: int, den: int, every: bool = False) -> DataFrame:
     """``(u, v)``: each document with the smallest one that has a signature of its own.
 
     Within a task, signatures of a few megabytes of text are met first: the smallest document
@@ -116,7 +121,7 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int, complete: bool
 
     def met(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
-        each = [signatures(sets[i], num, den, complete) for i in order]
+        each = [signatures(sets[i], num, den, every) for i in order]
         own = np.repeat(np.asarray(ids, np.int64)[order], [len(s) for s in each])
         keys = np.concatenate([*each, np.empty(0, np.uint64)])
         key, first, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -295,13 +300,13 @@ def verified_edges(docs: DataFrame, groups: DataFrame, n: int, num: int, den: in
     return links.unionByName(_in_tasks(docs, more, n, across))
 
 
-def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN, complete: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN, every: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: the smallest document that links of ``den * |A and B| >= num * |A or B|`` reach.
 
     Sets are of ``n``-word shingles; a text of fewer words is one shingle, and one without
     words (or null) is empty and linked with nothing. Documents with equal sets are one class,
     of which one document is compared. Signatures give candidates and candidate components;
-    within these, each pair of classes that can link is met exactly, so all links are found; for ``complete`` see :func:`signatures`. A row with a null
+    within these, each pair of classes that can link is met exactly, so all links are found; for ``every`` see :func:`signatures`. A row with a null
     ``doc_id`` links with nothing and has a null component; repeated rows give equal rows. Columns beside
     ``doc_id`` and ``text`` are ignored.
     """
@@ -311,7 +316,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: i
     # stored, so that the join with a class that very many documents share can be split
     copied = stored(classes.filter("copies > 1").drop("copies"), "classes")
     same = stored(filled.join(copied, ["n_shingles", "d1", "d2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "same")
-    near = candidate_edges(docs, n, num, den, complete)
+    near = candidate_edges(docs, n, num, den, every)
     groups = connected_components(near.unionByName(same))
     reps = sizes.join(same.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
     members = groups.withColumnRenamed("node", "doc_id").join(reps, "doc_id").select("doc_id", "component", "n_shingles")
