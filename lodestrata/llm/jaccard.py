@@ -22,6 +22,8 @@ NUM, DEN = 90, 100
 BLOCK_FEATURES = 400_000
 #: Texts whose signatures are met within the task before the shuffle.
 LOCAL_BYTES = 8_000_000
+#: Logarithm of the bits of the largest filter of documents (8 MB).
+FILTER_BITS = 26
 
 
 @lru_cache(maxsize=None)
@@ -208,6 +210,22 @@ def _blocks(groups: DataFrame, block_features: int) -> DataFrame:
     return dealt.select("component", "doc_id", "n_shingles", "hub", (F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("many"))).alias("block"))
 
 
+def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is among ``ids``, and a few others, without a shuffle of ``docs``.
+
+    Each id sets two bits of a word of 64 (a Bloom filter), and the words are broadcast: 8 bits for each id, ``FILTER_BITS`` in all at most.
+    Beyond that more others pass, and none of ``ids`` is left out.
+    """
+    words = 1 << max(0, min(FILTER_BITS, (8 * ids.count()).bit_length()) - 6)
+    h = F.xxhash64("doc_id")
+    word = F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(words - 1))
+    first, second = F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), 6) & 63 as int))")
+    own = first.bitwiseOR(second)
+    filled = ids.groupBy(word.alias("_word")).agg(F.bit_or(own).alias("_bits"))
+    met = docs.join(F.broadcast(filled), word == F.col("_word"))
+    return met.filter(F.col("_bits").bitwiseAND(own) == own).select(*docs.columns)
+
+
 def _in_tasks(docs: DataFrame, wanted: DataFrame, n: int, run: Callable[[pa.Table], Iterator[tuple[int, int]]]) -> DataFrame:
     """``(u, v)`` from each task's group of ``wanted(doc_id, task, role)``, with the documents' sorted features as ``feats``."""
 
@@ -227,9 +245,9 @@ def _in_tasks(docs: DataFrame, wanted: DataFrame, n: int, run: Callable[[pa.Tabl
                 found = []
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 2, ["u", "v"])
 
-    tasks = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("task", "role")).alias("tasks"))
+    tasks = stored(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("task", "role")).alias("tasks")), "tasks")
     # merged at every size: few tasks would be broadcast, many would not
-    texts = _bytes(docs).join(tasks.hint("merge"), "doc_id").select("doc_id", "data", "tasks")
+    texts = _perhaps(_bytes(docs), tasks).join(tasks.hint("merge"), "doc_id").select("doc_id", "data", "tasks")
     rows = texts.mapInArrow(sets, "doc_id long, feats array<long>, tasks array<struct<task:long,role:int>>").select("doc_id", "feats", F.inline("tasks"))
     return rows.repartition("task").sortWithinPartitions("task", "doc_id", "role").mapInArrow(each, "u long, v long")
 

@@ -61,3 +61,18 @@ def test_linked_sets_share_a_signature(num, den):
                 shared = np.intersect1d(jaccard.signatures(a, num, den), jaccard.signatures(b, num, den))
                 assert shared.size, (size, thin, cut)
                 assert np.isin(jaccard.signatures(a, num, den), jaccard.signatures(a, num, den, True)).all()
+
+
+def test_texts_of_candidates_only(spark):
+    """Few other rows pass the filter, and none of the wanted ones is held back, however small the filter."""
+    docs = spark.range(20_000).selectExpr("id - 10000 as doc_id", "cast(id as string) as data").unionByName(spark.sql("select cast(null as long) as doc_id, 'x' as data"))
+    for ids, most in ((docs.filter("doc_id % 40 = 0").select("doc_id"), 2_500), (docs.limit(0).select("doc_id"), 0)):
+        want = {r.doc_id for r in ids.collect()}
+        got = {r.doc_id for r in jaccard._perhaps(docs, ids).collect()}
+        assert want <= got and len(got) <= most
+    jaccard.FILTER_BITS, bits = 8, jaccard.FILTER_BITS
+    try:
+        ids = docs.filter("doc_id % 2 = 0").select("doc_id")
+        assert {r.doc_id for r in ids.collect()} <= {r.doc_id for r in jaccard._perhaps(docs, ids).collect()}
+    finally:
+        jaccard.FILTER_BITS = bits
