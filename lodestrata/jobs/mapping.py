@@ -31,10 +31,10 @@ FILES = f"""files AS (SELECT doc_id, 'r' || (doc_id % 3) AS repo,
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as spans ``(k, n, start, end)`` of their order."""
+    """Line items as spans ``(k, n, start, end)`` of their order; quantities are rounded as in SQL."""
     start = (F.col("l_partkey") % 60).cast("long")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), start.alias("start"), (start + F.col("l_quantity").cast("long") % 20 + 1).alias("end"), "l_returnflag"
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), start.alias("start"), (start + F.rint("l_quantity").cast("long") % 20 + 1).alias("end"), "l_returnflag"
     )
 
 

@@ -70,8 +70,11 @@ def f16_spans(s, d):
 
 
 def bodies(s, d):
-    """Line items as units, selections and excerpts of a test file for each order; fifty questions, some of them with no body kept."""
-    own = spans(s, d).withColumnsRenamed({"k": "path"}).withColumn("query_id", F.col("path") % 50)
+    """Line items as units, selections and excerpts of a test file for each order; fifty questions, some of them with no body kept.
+
+    Line items without an order are no file's, as in the SQL.
+    """
+    own = spans(s, d).withColumnsRenamed({"k": "path"}).filter("path is not null").withColumn("query_id", F.col("path") % 50)
     ranges = lambda rows: S.merge_spans(rows.select("query_id", "path", "start", "end"), B.KEYS, gap=1)
     units = own.filter("n > 2").select("query_id", "path", F.col("n").cast("string").alias("name"), "start", F.expr("start + (end - start) div 3").alias("end"), F.lit(900).cast("long").alias("bytes"))
     answers = units.select("query_id", "path", "start", "end", F.expr("CASE WHEN query_id % 5 = 0 THEN 0.3 WHEN query_id % 7 = 1 AND path % 99 = 0 THEN 1.5 ELSE (start * 7 + end * 3 + path) % 10 / 10 END").cast("double").alias("score"))

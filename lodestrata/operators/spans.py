@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def span_islands(spans: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
-    """Adds ``island``: a new one begins where a start lies more than ``gap`` beyond all ends before it."""
-    w = W.partitionBy(*keys).orderBy("start", "end")
+    """Adds ``island``: a new one begins where a start lies more than ``gap`` beyond all ends before it.
+
+    A span whose end is null comes after the others of its start and reaches no further; one without a start is an island of its own.
+    """
+    w = W.partitionBy(*keys).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0)
+    new = F.when(F.col("start") <= before + gap, 0).otherwise(1)
     return spans.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
