@@ -53,3 +53,12 @@ def test_a_quiet_bucket_settles(spark, tmp_path):
     out, _ = run(spark, tmp_path, streamed(spark, tmp_path, files, SCHEMA), watermark="1 day", buckets=1000)
     got = [(r.path, r.version, r.state) for r in out.collect()]
     assert sorted(x for x in got if x[0] != "b") == sorted([(f"a{k}", k, "new") for k in range(30)] + [(f"a{k}", 200 + k, "changed" if k % 2 else "same") for k in range(30)])
+
+
+def test_only_keys_with_new_rows_are_told(spark, tmp_path):
+    hour = dt.timedelta(hours=1)
+    files = [[("r", "a", 1, START, "x"), ("r", "b", 2, START, "x")], [("r", "b", 3, START + hour, "y")], [("r", "b", 4, START + hour, "y"), ("r", "c", 5, START, "x")]]
+    out, _ = run(spark, tmp_path, streamed(spark, tmp_path, files, SCHEMA), watermark="10 days", buckets=1)
+    got = sorted((r._epoch, r.path, r.version, r.state) for r in out.collect())
+    b = [("b", 2, "new"), ("b", 3, "changed"), ("b", 4, "same")]
+    assert got == sorted([(0, "a", 1, "new"), (0, *b[0]), *[(1, *x) for x in b[:2]], *[(2, *x) for x in b], (2, "c", 5, "new")])
